@@ -96,10 +96,11 @@ def number_bars(
     *,
     series: Sequence[str] = ("series",),
     time: str = "datetime",
+    tie: Sequence[str] = (),
     step: int = TIME_STEP,
     **split,
 ) -> DataFrame:
-    """Append `bar_idx`, 0-based, in time order within each series."""
+    """Append `bar_idx`, 0-based, in time order within each series; `tie` orders equal times."""
     cells = measure(df, series, time_levels(df, time, step), **split)
-    out = add_position(df, "bar_idx", groups=list(series), order=[q(time)], cells=cells)
+    out = add_position(df, "bar_idx", groups=list(series), order=[q(time), *map(q, tie)], cells=cells)
     return out.selectExpr(*map(q, df.columns), "bar_idx - 1 AS bar_idx")
