@@ -469,7 +469,7 @@ def parse_logs(spark, sf):
 
 @query
 def logs_preview(spark, sf):
-    return log_preview(run_tables(spark, sf).log_lines)
+    return log_preview(run_tables(spark, sf).log_lines, 6)
 
 
 @query
