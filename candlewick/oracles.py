@@ -130,8 +130,9 @@ RUNS = f"""{RUN_SCORED}, {EVENT_ROWS.format('scored')},
 evaluation AS (SELECT run_id, fold, count(*) AS rows, avg(CAST(target_opportunity AS DOUBLE)) AS baseline
   FROM scored GROUP BY 1, 2),
 base AS (SELECT run_id, count(*) AS n, sum(target_opportunity) AS hits, min(datetime) AS first,
-  max(datetime) AS last, count_if(fold = 'train') AS train, count_if(fold = 'val') AS val,
-  count_if(fold = 'test') AS test FROM scored GROUP BY 1),
+  max(datetime) AS last, CAST(count_if(fold = 'train') AS BIGINT) AS train,
+  CAST(count_if(fold = 'val') AS BIGINT) AS val, CAST(count_if(fold = 'test') AS BIGINT) AS test
+  FROM scored GROUP BY 1),
 sizes AS (SELECT run_id, {', '.join(f"avg(abs({f})) AS {f}" for f in FEATURES)} FROM scored GROUP BY 1),
 importance AS (SELECT run_id, feature, {fixed('v / (1 + v)')} AS importance
   FROM (UNPIVOT sizes ON {', '.join(FEATURES)} INTO NAME feature VALUE v)),
@@ -252,9 +253,9 @@ ORACLES: dict[str, str] = {
     "event_statistics": f"{SCORED}, {EVENT_ROWS.format('scored')}, {stats_cte('fold')} SELECT * FROM stats",
     "event_diagnostics": f"""{SCORED}, {EVENT_ROWS.format('scored')}, {stats_cte('fold')},
   {precision_cte('prec', 'fired', 'fold, event_name')} SELECT * FROM prec JOIN stats USING (fold, event_name)""",
-    "run_ids": f"""WITH {bars_cte()}, m AS (SELECT series, max(datetime) AS at FROM bars GROUP BY 1)
-  SELECT series, concat(series, '_m1_', strftime(at, '%Y-%m-%d_%H%M')) AS run_id,
-  strftime(at, '%Y-%m-%d %H:%M') AS timestamp FROM m""",
+    "run_ids": f"""WITH {bars_cte()}, m AS (SELECT series, max(datetime) AS latest FROM bars GROUP BY 1)
+  SELECT series, concat(series, '_m1_', strftime(latest, '%Y-%m-%d_%H%M')) AS run_id,
+  strftime(latest, '%Y-%m-%d %H:%M') AS timestamp FROM m""",
     "parse_logs": f"""{RUNS} SELECT run_id, event, split, rows, date_start, positive_rate, train_size,
   CAST(NULL AS BIGINT) AS best_iteration, event_columns, CAST(positives AS BIGINT) AS positives, run_dir FROM logged""",
     "run_listing": f"{RUNS} SELECT summary.* FROM summary JOIN status USING (run_id) WHERE missing = ''",

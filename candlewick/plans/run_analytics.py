@@ -266,7 +266,8 @@ def training_summary(tables: RunTables) -> DataFrame:
         "test_rows",
         "tuning_enabled",
         "coalesce(tuning_combinations, log_combinations) AS tuning_combinations",
-        "coalesce(log_tuning_time, format_string('%.1fs', tuning_seconds)) AS tuning_time",
+        "coalesce(log_tuning_time, CASE WHEN tuning_seconds IS NOT NULL THEN "
+        "format_string('%.1fs', tuning_seconds) END) AS tuning_time",
         "coalesce(best_params, log_best_params) AS best_params",
         "validation_score",
         "coalesce(log_train_size, train_rows) AS train_size",
