@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from candlewick.functions.sql import fixed, run_id, run_timestamp, text, truncate_time
 from candlewick.operators import attribution, evaluation, events, features, folds, labels
 from candlewick.operators import models, quality, ranking, sampling, signals, tuning
+from candlewick.operators.cells import over_series
 from candlewick.plans import run_analytics as runs
 from candlewick.plans.training import run_training
 from candlewick.session import stage, work_dir
 from candlewick.sinks.artifacts import snapshot
-from candlewick.sources.artifacts import RunTables
+from candlewick.sources.artifacts import read_runs
 from candlewick.sources.bars import read_bars, split_lines, type_bars
 from candlewick.sources.logs import log_preview, log_value, parse_log
 from candlewick.sources.ticks import bars_from_ticks
@@ -49,9 +51,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf: str, unit: str = "hour") -> DataFrame:
-    return bars_from_ticks(
-        ticks(spark, sf), series="event_type", time="ts", value="value", tie="event_id", unit=unit
-    )
+    return bars_from_ticks(ticks(spark, sf), series="event_type", time="ts", value="value", unit=unit)
 
 
 def signalled(spark: SparkSession, sf: str, unit: str = "hour") -> DataFrame:
@@ -214,22 +214,18 @@ def label_summary(spark, sf):
 
 def long_series(spark, sf):
     everything = ticks(spark, sf).withColumn("event_type", F.lit("all"))
-    return bars_from_ticks(
-        everything, series="event_type", time="ts", value="value", tie="event_id", unit="minute"
-    )
+    return bars_from_ticks(everything, series="event_type", time="ts", value="value", unit="minute")
 
 
 @query
 def blocked_signals(spark, sf):
     df = stage(long_series(spark, sf), "bars", 0)
-    out = signals.add_signals(df, HORIZON, THRESHOLD, tie=(), step=36, **SPLIT)
+    out = signals.add_signals(df, HORIZON, THRESHOLD, tie=(), step=16, **SPLIT)
     return rounded(out.drop("series", "open", "high", "low", "close"), *features.BASE_FEATURES)
 
 
 @query
 def blocked_range_mean(spark, sf):
-    from candlewick.operators.cells import over_series
-
     df = stage(long_series(spark, sf).select("datetime", "high", "low"), "bars", 0)
     out = over_series(
         df,
@@ -237,7 +233,7 @@ def blocked_range_mean(spark, sf):
         before=49,
         series=(),
         tie=(),
-        step=36,
+        step=16,
         **SPLIT,
     )
     return rounded(out.select("datetime", "mean_50"), "mean_50")
@@ -246,7 +242,7 @@ def blocked_range_mean(spark, sf):
 @query
 def global_row_index(spark, sf):
     df = ticks(spark, sf).select("event_id", "ts")
-    return folds.number_bars(df, series=(), time="ts", tie=("event_id",), step=36, **SPLIT)
+    return folds.number_bars(df, series=(), time="ts", tie=("event_id",), step=16, **SPLIT)
 
 
 @query
@@ -371,52 +367,81 @@ def event_statistics(spark, sf):
 # ---- run analytics -------------------------------------------------------------------------------
 
 
-def run_tables(spark, sf) -> RunTables:
-    """Each series as one run: its folds, events and feature sizes stand for the run's artifacts."""
-    df = scored(spark, sf).withColumn("run_id", F.expr(f"concat(series, '{RUN_SUFFIX}')"))
-    by = ["run_id", "fold"]
-    position = f"array_position(array({', '.join(f'{k}D' for k in TOP_K)}), k_percent) - 1 AS position"
-    size = [f"'{f}', avg(abs({f})) / (1.0D + avg(abs({f})))" for f in features.BASE_FEATURES]
-    importance = df.groupBy("run_id").agg(F.expr(f"map({', '.join(size)})").alias("m"))
-    importance = importance.selectExpr("run_id", "explode(m) AS (feature, importance)")
-    importance = importance.selectExpr("run_id", "feature", f"{fixed('importance')} AS importance")
-    base = df.groupBy("run_id").agg(
-        F.expr("count(1) AS n"),
-        F.expr("sum(target_opportunity) AS hits"),
-        F.expr("min(datetime) AS first"),
-        F.expr("max(datetime) AS last"),
-        *[F.expr(f"count_if(fold = '{fold}') AS {fold}") for fold in runs.FOLDS],
-    )
-    meta = base.selectExpr(
-        "run_id",
-        f"array({', '.join(text(f) for f in features.BASE_FEATURES)}) AS feature_columns",
-        "n AS n_estimators",
-        "5L AS max_depth",
-        "0.05D AS learning_rate",
-        "8.0D AS scale_pos_weight",
-        "hits * 5 > n AS tuning_enabled",
-        "false AS shap_enabled",
-        "CASE WHEN hits * 5 > n THEN 8L END AS tuning_combinations",
-        "CASE WHEN hits * 5 > n THEN n / 16.0D END AS tuning_seconds",
-        "CAST(NULL AS STRING) AS best_params",
-    )
-    artifacts = base.selectExpr(
-        "run_id",
-        "explode(array_compact(array('metrics.json', CASE WHEN n % 3 <> 0 THEN 'config.yaml' END, "
-        "CASE WHEN n % 2 = 0 THEN 'feature_importance.csv' END))) AS artifact",
-    )
-    return RunTables(
-        runs=meta,
-        evaluation=evaluation.group_totals(df, by),
-        precision=evaluation.precision_at_k(df, TOP_K, by=by).selectExpr("*", position),
-        event_stats=evaluation.event_statistics(df, by=by),
-        event_precision=evaluation.event_precision(df, TOP_K, by=by),
-        importance=importance.selectExpr(
-            "*", "row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, feature) AS position"
-        ),
-        artifacts=artifacts,
-        log_lines=base.selectExpr("run_id", f"posexplode_outer({LOG}) AS (line_no, line)"),
-    )
+class run_tables:
+    """Each series as one run: its folds, events and feature sizes stand for the run's artifacts.
+
+    Offers the frames of `RunTables`, each built when it is first used.
+    """
+
+    BY = ["run_id", "fold"]
+
+    def __init__(self, spark, sf):
+        self.rows = scored(spark, sf).selectExpr("*", f"concat(series, '{RUN_SUFFIX}') AS run_id")
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return self.rows.groupBy("run_id").agg(
+            F.expr("count(1) AS n"),
+            F.expr("sum(target_opportunity) AS hits"),
+            F.expr("min(datetime) AS first"),
+            F.expr("max(datetime) AS last"),
+            *[F.expr(f"count_if(fold = '{fold}') AS {fold}") for fold in runs.FOLDS],
+        )
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return self.base.selectExpr(
+            "run_id",
+            f"array({', '.join(text(f) for f in features.BASE_FEATURES)}) AS feature_columns",
+            "n AS n_estimators",
+            "5L AS max_depth",
+            "0.05D AS learning_rate",
+            "8.0D AS scale_pos_weight",
+            "hits * 5 > n AS tuning_enabled",
+            "false AS shap_enabled",
+            "CASE WHEN hits * 5 > n THEN 8L END AS tuning_combinations",
+            "CASE WHEN hits * 5 > n THEN n / 16.0D END AS tuning_seconds",
+            "CAST(NULL AS STRING) AS best_params",
+        )
+
+    @cached_property
+    def evaluation(self) -> DataFrame:
+        return evaluation.group_totals(self.rows, self.BY)
+
+    @cached_property
+    def precision(self) -> DataFrame:
+        position = f"array_position(array({', '.join(f'{k}D' for k in TOP_K)}), k_percent) - 1 AS position"
+        return evaluation.precision_at_k(self.rows, TOP_K, by=self.BY).selectExpr("*", position)
+
+    @cached_property
+    def event_stats(self) -> DataFrame:
+        return evaluation.event_statistics(self.rows, by=self.BY)
+
+    @cached_property
+    def event_precision(self) -> DataFrame:
+        return evaluation.event_precision(self.rows, TOP_K, by=self.BY)
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        size = [f"'{f}', avg(abs({f})) / (1.0D + avg(abs({f})))" for f in features.BASE_FEATURES]
+        sizes = self.rows.groupBy("run_id").agg(F.expr(f"map({', '.join(size)})").alias("m"))
+        rows = sizes.selectExpr("run_id", "explode(m) AS (feature, importance)").selectExpr(
+            "run_id", "feature", f"{fixed('importance')} AS importance"
+        )
+        position = "row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, feature) AS position"
+        return rows.selectExpr("*", position)
+
+    @cached_property
+    def artifacts(self) -> DataFrame:
+        return self.base.selectExpr(
+            "run_id",
+            "explode(array_compact(array('metrics.json', CASE WHEN n % 3 <> 0 THEN 'config.yaml' END, "
+            "CASE WHEN n % 2 = 0 THEN 'feature_importance.csv' END))) AS artifact",
+        )
+
+    @cached_property
+    def log_lines(self) -> DataFrame:
+        return self.base.selectExpr("run_id", f"posexplode({LOG}) AS (line_no, line)")
 
 
 # log of a run, built from its counts; noise lines and repeated events included
@@ -609,6 +634,4 @@ def train_and_evaluate(spark, sf):
         "debug": {"output_dir": f"{folder}/debug"},
     }
     run_training(spark, config, bars=stage(hourly(spark, sf), "bars", 0))
-    from candlewick.sources.artifacts import read_runs
-
     return runs.run_summary(read_runs(spark, f"{folder}/runs")).drop("run_id", "timestamp")

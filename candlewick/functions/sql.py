@@ -41,27 +41,22 @@ def clean_text(value: str) -> str:
     return f"lower(btrim(trim({value}), '<>'))"
 
 
-def epoch_micros(df: DataFrame, name: str) -> str:
-    """Microseconds since 1970; NTZ columns never pass through the session time zone."""
+def epoch_seconds(df: DataFrame, name: str) -> str:
+    """Whole seconds since 1970, rounded down; NTZ never passes through the session time zone."""
     col, kind = q(name), df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return f"unix_micros({col})"
     if isinstance(kind, T.DateType):
-        return f"(CAST(unix_date({col}) AS BIGINT) * 86400000000)"
-    fraction = f"CAST(extract(SECOND FROM {col}) * 1000000 AS BIGINT) % 1000000"
-    return f"({_ntz_seconds(col)} * 1000000 + {fraction})"
-
-
-def epoch_seconds(df: DataFrame, name: str) -> str:
-    """Whole seconds since 1970."""
-    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        return _ntz_seconds(q(name))
-    return f"CAST(floor({epoch_micros(df, name)} / 1000000) AS BIGINT)"
+        return f"(CAST(unix_date({col}) AS BIGINT) * 86400)"
+    if isinstance(kind, T.TimestampType):
+        return f"unix_seconds({col})"
+    early = f"{col} < TIMESTAMP_NTZ'1970-01-01 00:00:00' AND {second_fraction(df, name)} > 0"
+    return f"(unix_timestamp({col}) - CASE WHEN {early} THEN 1 ELSE 0 END)"  # it rounds towards 1970
 
 
-def _ntz_seconds(col: str) -> str:
-    days = f"CAST(unix_date(to_date({col})) AS BIGINT)"
-    return f"({days} * 86400 + hour({col}) * 3600 + minute({col}) * 60 + second({col}))"
+def second_fraction(df: DataFrame, name: str) -> str:
+    """Microseconds within the second."""
+    if isinstance(df.schema[name].dataType, T.DateType):
+        return "0L"
+    return f"CAST(extract(SECOND FROM {q(name)}) * 1000000 AS BIGINT) % 1000000"
 
 
 def truncate_time(col: str, unit: str) -> str:

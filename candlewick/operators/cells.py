@@ -1,8 +1,8 @@
 """Order-preserving blocks of bounded size, and what can be computed on them.
 
 A group (a series, a fold, an event subset) may hold most of the table, so no operator here hands a
-whole group to one task. Rows are keyed by `levels`: ever finer keys, such as the time in steps of 51
-days, 72 minutes, 4 seconds, ..., whose lexicographic order agrees with the sort order. A cell is a
+whole group to one task. Rows are keyed by `levels`: ever finer keys, such as the time in steps of 49
+days, 68 minutes, 4 seconds, ..., whose lexicographic order agrees with the sort order. A cell is a
 prefix of these keys. Cells that hold more than `max_rows` rows are split by the next level, so a block
 stays small however the rows are spread. The measured split affects balance only: every operator is
 exact under any split, including none at all, which is the plan for tables known to be small.
@@ -19,18 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.functions.sql import BEFORE, WHOLE, epoch_micros, over, q, qs
+from candlewick.functions.sql import BEFORE, WHOLE, epoch_seconds, over, q, qs, second_fraction
 from candlewick.session import SMALL_BYTES, is_small
 
-MAX_ROWS = 4_000_000  # rows one cell may hold before it is split
+MAX_ROWS = 500_000  # rows one cell may hold before it is split
 MAX_SPLIT = 200_000  # split cells that may be broadcast
-TIME_STEP = 42  # width of a first-level time cell: 2^42 microseconds
+TIME_STEP = 22  # width of a first-level time cell: 2^22 seconds
 
 
 def time_levels(df: DataFrame, time: str, step: int = TIME_STEP) -> list[str]:
-    """Time in cells of 2^step microseconds, then 1024 times finer per level; NULL comes first."""
-    micros = f"coalesce({epoch_micros(df, time)}, {-(2**62)})"
-    return [f"shiftright({micros}, {s})" if s else micros for s in [*range(step, 0, -10), 0]]
+    """Time in cells of 2^step seconds, then 1024 times finer per level; NULL comes first."""
+    seconds = f"coalesce({epoch_seconds(df, time)}, {-(2**62)})"
+    coarse = [f"shiftright({seconds}, {s})" for s in range(step, 0, -10)]
+    return [*coarse, seconds, f"coalesce({second_fraction(df, time)}, 0L)"]
 
 
 def score_levels(score: str) -> list[str]:

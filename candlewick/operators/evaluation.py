@@ -51,8 +51,8 @@ def precision_at_k(
 
     No sort of the table: rows are counted per score cell (combined map-side). Cells above a cut count
     in full. Only the one cell per (group, k) that the cut runs through is ordered row by row.
-    `df` is scanned a few times, so hand in a stored table (see `stage`) or a cheap frame. A small table
-    is ranked directly. Further keywords go to `measure`.
+    `df` is scanned three times, each time for a few columns, so hand in a stored table (see `stage`). A
+    small table is ranked directly. Further keywords go to `measure`.
     """
     by = list(by)
     series = [name for name in series if name not in by]
@@ -61,9 +61,6 @@ def precision_at_k(
     order = score_order(score, time, series)
     if not cells.columns:
         return _precision_in_place(slim, top_k, by, label, order)
-    if slim.select(*by).distinct().limit(max_cuts + 1).count() * len(top_k) > max_cuts:
-        ranked = add_position(slim, "_rank", groups=by, order=order, cells=cells)
-        return _precision_by_rank(ranked, top_k, by, label)
     tagged = cells.assign(slim)
     keys = [*by, *cells.columns]
     blocks = tagged.groupBy(*keys).agg(
@@ -80,6 +77,11 @@ def precision_at_k(
         .selectExpr("*", "_last - _ahead AS _take")
         .drop("_n", "_pos")
     )
+    found = cuts.limit(max_cuts + 1).collect()  # one row per (group, k)
+    if len(found) > max_cuts:
+        ranked = add_position(slim, "_rank", groups=by, order=order, cells=cells)
+        return _precision_by_rank(ranked, top_k, by, label)
+    cuts = df.sparkSession.createDataFrame(found, cuts.schema)
     # equal rows are merged before they are ordered, so copies of one row cannot pile up in a task
     cut_cells = F.broadcast(cuts.select(*keys).distinct())
     merged = (

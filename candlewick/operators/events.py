@@ -12,8 +12,8 @@ from candlewick.operators.cells import over_series
 from candlewick.operators.features import earlier, last_rows
 
 EVENT_PREFIX = "event_"
-PART = 5  # rows per partial aggregate
-PARTS = 10  # partial aggregates per flag: 50 rows
+PART = 10  # rows per partial aggregate
+PARTS = 5  # partial aggregates per flag: 50 rows
 LOOKBACK = 49  # rows before a bar that its flags depend on, given the features
 FEATURE_LOOKBACK = 13  # rows atr_14 itself looks back
 
@@ -26,7 +26,7 @@ def flag(test: str) -> str:
 def event_columns(df: DataFrame, window: str) -> DataFrame:
     """Add the event flags over a given window, from atr_14 and ret_3.
 
-    The 50-row mean and deviation are merged from ten 5-row parts: sums for the mean; means and
+    The 50-row mean and deviation are merged from five 10-row parts: sums for the mean; means and
     variances for the sample deviation, which keeps it numerically stable.
     """
     parts = df.selectExpr(

@@ -16,10 +16,10 @@ HORIZON = 5
 THRESHOLD = 0.002
 
 
-def label_column(df: DataFrame, window: str, horizon: int, threshold: float) -> DataFrame:
-    """Add the label over a given window."""
+def label_value(window: str, horizon: int, threshold: float) -> str:
+    """The label over a given window."""
     move = f"try_divide(lead(close, {horizon}) OVER ({window}), close) - 1.0D"
-    return df.selectExpr("*", f"CAST(abs({move}) > {float(threshold)!r}D AS INT) AS {LABEL}")
+    return f"CAST(abs({move}) > {float(threshold)!r}D AS INT)"
 
 
 def add_label(
@@ -29,9 +29,11 @@ def add_label(
 
     The last `horizon` bars of a series have no label.
     """
-    return over_series(
-        df, lambda part, window: label_column(part, window, horizon, threshold), after=horizon, **over
-    )
+
+    def build(part: DataFrame, window: str) -> DataFrame:
+        return part.selectExpr("*", f"{label_value(window, horizon, threshold)} AS {LABEL}")
+
+    return over_series(df, build, after=horizon, **over)
 
 
 def value_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

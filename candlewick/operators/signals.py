@@ -23,7 +23,9 @@ def add_signals(
     """Same columns as add_features, add_events and add_label in turn, with a single shuffle."""
 
     def build(part: DataFrame, window: str) -> DataFrame:
-        out = events.event_columns(features.feature_columns(part, window), window)
-        return labels.label_column(out, window, horizon, threshold) if label else out
+        extra = {labels.LABEL: labels.label_value(window, horizon, threshold)} if label else {}
+        out = events.event_columns(features.feature_columns(part, window, **extra), window)
+        rest = [name for name in out.columns if name not in extra]
+        return out.select(*rest, *extra)
 
     return over_series(df, build, before=LOOKBACK, after=horizon if label else 0, **over)

@@ -288,16 +288,21 @@ def row_funnel(tables: RunTables) -> DataFrame:
     return training_summary(tables).selectExpr("run_id", stages).filter("rows IS NOT NULL")
 
 
+def _sides(left: str, right: str, names: dict[str, str]) -> list[str]:
+    """Aggregates that put a column of the left and of the right run side by side."""
+    return [
+        f"max(CASE WHEN run_id = {text(run)} THEN {value} END) AS {name.format(side)}"
+        for side, run in (("left", left), ("right", right))
+        for value, name in names.items()
+    ]
+
+
 def compare_importance(importance: DataFrame, left: str, right: str, n: int = TOP_FEATURES) -> DataFrame:
     """Top features of two runs side by side: those of the left run in order, then new right ones."""
     top = top_importance(importance.filter(f"run_id IN ({text(left)}, {text(right)})"), n)
-    sides = [
-        top.filter(f"run_id = {text(run)}").selectExpr(
-            "feature", f"rank AS _{side}", f"importance AS {side}_importance"
-        )
-        for run, side in ((left, "left"), (right, "right"))
-    ]
-    return sides[0].join(sides[1], "feature", "full_outer").selectExpr(
+    names = {"importance": "{}_importance", "rank": "_{}"}
+    both = top.groupBy("feature").agg(*[F.expr(a) for a in _sides(left, right, names)])
+    return both.selectExpr(
         "feature",
         f"CAST(row_number() OVER (ORDER BY coalesce(_left, {n} + _right)) AS INT) AS position",
         "left_importance",
@@ -307,15 +312,9 @@ def compare_importance(importance: DataFrame, left: str, right: str, n: int = TO
 
 def compare_events(tables: RunTables, left: str, right: str) -> DataFrame:
     """Event figures of two runs per fold and event; NULL on the side that lacks the event."""
-    series = event_series(tables)
-    values = ("event_rate", "trade_rate", "precision_at_0_5")
-    sides = [
-        series.filter(f"run_id = {text(run)}").selectExpr(
-            "fold", "event_name", *[f"{value} AS {side}_{value}" for value in values]
-        )
-        for run, side in ((left, "left"), (right, "right"))
-    ]
-    return sides[0].join(sides[1], ["fold", "event_name"], "full_outer")
+    both = event_series(tables).filter(f"run_id IN ({text(left)}, {text(right)})")
+    names = {value: "{}_" + value for value in ("event_rate", "trade_rate", "precision_at_0_5")}
+    return both.groupBy("fold", "event_name").agg(*[F.expr(a) for a in _sides(left, right, names)])
 
 
 def default_partner(tables: RunTables, left: str) -> str | None:

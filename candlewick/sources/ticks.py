@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.sql import epoch_micros, q, truncate_time
-
-TIE_SPACE = "20000000000000000000BD"  # more than the number of BIGINT values
+from candlewick.functions.sql import q, truncate_time
 
 
 def bars_from_ticks(
-    df: DataFrame, *, series: str, time: str, value: str, tie: str, unit: str = "hour"
+    df: DataFrame, *, series: str, time: str, value: str, tie: str | None = None, unit: str = "hour"
 ) -> DataFrame:
     """OHLC bars per series and minute or hour; `tie` orders observations of the same instant.
 
-    One aggregation, combined map-side, so a busy bar does not load one task. Instant and tie are packed
-    into one decimal, a type hash aggregation can keep in place; a struct would force a sort.
+    One aggregation, combined map-side, so a busy bar does not load one task. Without a tie the instant
+    alone orders the ticks and Spark aggregates by hash; with one it has to sort.
     """
-    instant = f"CAST({epoch_micros(df, time)} AS DECIMAL(18, 0))"
     ticks = df.selectExpr(
         f"{q(series)} AS series",
         f"{truncate_time(q(time), unit)} AS datetime",
         f"{q(value)} AS _value",
-        f"CAST({instant} * {TIE_SPACE} + CAST({q(tie)} AS DECIMAL(19, 0)) AS DECIMAL(38, 0)) AS _at",
+        f"{q(time) if tie is None else f'struct({q(time)}, {q(tie)})'} AS _at",
     )
     return ticks.groupBy("series", "datetime").agg(
         F.expr("min_by(_value, _at) AS open"),

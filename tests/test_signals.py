@@ -57,7 +57,7 @@ def expected(frame, horizon, threshold):
     return f
 
 
-@pytest.mark.parametrize("split", [{}, {"small_bytes": 0}, {"small_bytes": 0, "max_rows": 40, "step": 33}])
+@pytest.mark.parametrize("split", [{}, {"small_bytes": 0}, {"small_bytes": 0, "max_rows": 40, "step": 13}])
 def test_signals_match_the_definitions(spark, split):
     bars = random_bars(spark, {"a": 700, "b": 90, "c": 3, "d": 61}, gap=5)
     got = add_signals(bars, 7, 0.01, **split).toPandas()
@@ -73,7 +73,7 @@ def test_signals_match_the_definitions(spark, split):
 
 def test_one_hot_series_is_split_and_exact(spark):
     bars = random_bars(spark, {"hot": 3000, "cold": 30})
-    cells = measure(bars, ["series"], time_levels(bars, "datetime", 33), max_rows=50, small_bytes=0)
+    cells = measure(bars, ["series"], time_levels(bars, "datetime", 13), max_rows=50, small_bytes=0)
     assert len(cells.split) >= 1
     biggest = cells.assign(bars).groupBy("series", *cells.columns).count().agg({"count": "max"}).head()[0]
     assert biggest <= 50
@@ -84,7 +84,7 @@ def test_repeated_times_keep_every_row(spark):
     bars = linear_bars(spark, 90)
     doubled = bars.unionByName(bars.selectExpr("series", "datetime", "open", "high + 1 AS high", "low", "close"))
     plain = add_signals(doubled)
-    cut = add_signals(doubled, small_bytes=0, max_rows=8, step=30)
+    cut = add_signals(doubled, small_bytes=0, max_rows=8, step=10)
     assert cut.count() == 180
     same_rows(plain, cut)
 
@@ -92,19 +92,28 @@ def test_repeated_times_keep_every_row(spark):
 def test_identical_copies_keep_every_row(spark):
     bars = linear_bars(spark, 80)
     copies = bars.unionByName(bars).unionByName(bars)
-    same_rows(add_signals(copies), add_signals(copies, small_bytes=0, max_rows=8, step=30))
+    same_rows(add_signals(copies), add_signals(copies, small_bytes=0, max_rows=8, step=10))
+
+
+def test_times_around_1970(spark):
+    times = ["1969-12-31 23:59:5" + t for t in ("8", "8.2", "8.9", "9", "9.5", "9.999999")]
+    times += ["1970-01-01 00:00:0" + t for t in ("0", "0.000001", "0.2", "1")]
+    bars = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(times)], "series STRING, t STRING, close DOUBLE")
+    bars = bars.selectExpr("series", "CAST(t AS TIMESTAMP_NTZ) AS datetime", "close")
+    got = number_bars(bars, small_bytes=0, max_rows=1).collect()
+    assert all(r["bar_idx"] == r["close"] for r in got)
 
 
 def test_series_without_name(spark):
     bars = random_bars(spark, {"a": 300}).drop("series")
     build = lambda df, window: range_mean(df, "m", window, 20)
     plain = over_series(bars, build, before=19, series=())
-    same_rows(plain, over_series(bars, build, before=19, series=(), small_bytes=0, max_rows=30, step=31))
+    same_rows(plain, over_series(bars, build, before=19, series=(), small_bytes=0, max_rows=30, step=11))
 
 
 def test_more_crowded_cells_than_may_be_broadcast(spark):
     bars = random_bars(spark, {"a": 400})
-    levels = time_levels(bars, "datetime", 30)
+    levels = time_levels(bars, "datetime", 10)
     few = measure(bars, ["series"], levels, max_rows=1, max_split=2, small_bytes=0)
     assert all(part.count() <= 2 for part in few.split)
 
@@ -156,7 +165,7 @@ def test_zero_price_gives_null_not_an_error(spark):
 
 def test_row_index(spark):
     bars = random_bars(spark, {"a": 500, "b": 20})
-    split = number_bars(bars, small_bytes=0, max_rows=30, step=32)
+    split = number_bars(bars, small_bytes=0, max_rows=30, step=12)
     same_rows(number_bars(bars), split)
     assert sorted(r[0] for r in split.filter("series = 'a'").select("bar_idx").collect()) == list(range(500))
 
