@@ -21,7 +21,7 @@ from candlewick.operators.cells import over_series
 from candlewick.plans import run_analytics as runs
 from candlewick.plans.training import run_training
 from candlewick.session import stage, work_dir
-from candlewick.sinks.artifacts import snapshot
+from candlewick.sinks.artifacts import append_tables, snapshot, write_snapshot
 from candlewick.sources.artifacts import read_runs
 from candlewick.sources.bars import read_bars, split_lines, type_bars
 from candlewick.sources.logs import log_preview, log_value, parse_log
@@ -188,6 +188,15 @@ def select_numeric(spark, sf):
     return rounded(df.select("series", "datetime", *names), *features.BASE_FEATURES)
 
 
+@query
+def event_levels(spark, sf):
+    def build(part, window):
+        return events.event_levels(features.feature_columns(part, window), window)
+
+    df = over_series(hourly(spark, sf), build, before=signals.LOOKBACK, tie=())
+    return rounded(df.select("series", "datetime", "atr_mean_50", "ret_std_50"), "atr_mean_50", "ret_std_50")
+
+
 @query
 def event_signals(spark, sf):
     return signalled(spark, sf).select("series", "datetime", *["event_vol_spike", "event_impulse"])
@@ -316,6 +325,13 @@ def first_bars(spark, sf):
     return snapshot(hourly(spark, sf))
 
 
+@query
+def snapshot_sink(spark, sf):
+    path = f"{work_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(hourly(spark, sf), path, 500)
+    return read_bars(spark, path)
+
+
 # ---- ranking and evaluation ----------------------------------------------------------------------
 
 
@@ -359,6 +375,12 @@ def event_diagnostics(spark, sf):
     return evaluation.event_diagnostics(scored(spark, sf), TOP_K)
 
 
+@query
+def nested_precision(spark, sf):
+    nested = evaluation.nest_precision(evaluation.precision_at_k(scored(spark, sf), TOP_K), ["fold"])
+    return nested.selectExpr("fold", "size(precision_at_k) AS entries", "inline(precision_at_k)")
+
+
 @query
 def event_statistics(spark, sf):
     return evaluation.event_statistics(scored(spark, sf))
@@ -507,6 +529,18 @@ def skipped_runs(spark, sf):
     return runs.skipped_runs(run_tables(spark, sf).artifacts)
 
 
+@query
+def run_lookup(spark, sf):
+    return runs.find_run(run_tables(spark, sf), RIGHT_RUN)
+
+
+@query
+def metrics_sink(spark, sf):
+    root = f"{work_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    append_tables({"precision": run_tables(spark, sf).precision.drop("position")}, root)
+    return spark.read.parquet(f"{root}/precision").filter(f"run_id <> '{LEFT_RUN}'")
+
+
 @query
 def run_summary(spark, sf):
     return runs.run_summary(run_tables(spark, sf))

@@ -23,11 +23,11 @@ def flag(test: str) -> str:
     return f"coalesce(CAST({test} AS INT), 0)"
 
 
-def event_columns(df: DataFrame, window: str) -> DataFrame:
-    """Add the event flags over a given window, from atr_14 and ret_3.
+def event_levels(df: DataFrame, window: str) -> DataFrame:
+    """Add the levels the flags compare with: `atr_mean_50` and `ret_std_50`, over 50 rows each.
 
-    The 50-row mean and deviation are merged from five 10-row parts: sums for the mean; means and
-    variances for the sample deviation, which keeps it numerically stable.
+    They are merged from five 10-row parts: sums for the mean; means and variances for the sample
+    deviation, which keeps it numerically stable.
     """
     parts = df.selectExpr(
         "*",
@@ -41,18 +41,22 @@ def event_columns(df: DataFrame, window: str) -> DataFrame:
     def each(name: str) -> list[str]:
         return [name, *[f"{name}_{i}" for i in range(1, PARTS)]]
 
-    parts = parts.selectExpr(
-        "*",
-        f"({' + '.join(each('_sum'))}) / {PART * PARTS}.0D AS _atr_mean",
-        f"({' + '.join(each('_mean'))}) / {PARTS}.0D AS _ret_mean",
-    )
+    parts = parts.selectExpr("*", f"({' + '.join(each('_mean'))}) / {PARTS}.0D AS _ret_mean")
     within = " + ".join(each("_var"))
     between = " + ".join(f"({m} - _ret_mean) * ({m} - _ret_mean)" for m in each("_mean"))
-    deviation = f"sqrt({PART}.0D * ({within} + {between}) / {PART * PARTS - 1}.0D)"
     return parts.selectExpr(
         *map(q, df.columns),
-        f"{flag('atr_14 > _atr_mean')} AS event_vol_spike",
-        f"{flag(f'abs(ret_3) > {deviation}')} AS event_impulse",
+        f"({' + '.join(each('_sum'))}) / {PART * PARTS}.0D AS atr_mean_50",
+        f"sqrt({PART}.0D * ({within} + {between}) / {PART * PARTS - 1}.0D) AS ret_std_50",
+    )
+
+
+def event_columns(df: DataFrame, window: str) -> DataFrame:
+    """Add the event flags over a given window, from atr_14 and ret_3."""
+    return event_levels(df, window).selectExpr(
+        *map(q, df.columns),
+        f"{flag('atr_14 > atr_mean_50')} AS event_vol_spike",
+        f"{flag('abs(ret_3) > ret_std_50')} AS event_impulse",
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from candlewick.functions.sql import q
 from candlewick.operators.labels import LABEL
 from candlewick.operators.ranking import SCORE
+from candlewick.session import work_dir
 
 DEFAULTS = {
     "max_depth": 5,
@@ -34,6 +35,7 @@ def train_model(
     Each tree passes over the rows once per level; hand in a stored frame.
     """
     params = {**DEFAULTS, **(params or {})}
+    work_dir(df.sparkSession)  # boosting checkpoints there every few trees
     weight = f"CASE WHEN {q(label)} = 1 THEN {float(params['scale_pos_weight'])!r}D ELSE 1.0D END"
     rows = df.selectExpr(
         *map(q, features), f"CAST({q(label)} AS DOUBLE) AS _label", f"{weight} AS _weight"

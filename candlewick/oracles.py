@@ -204,6 +204,8 @@ ORACLES: dict[str, str] = {
   UNION ALL SELECT 'event_impulse', 'event', '1.0', count(event_impulse) FROM sig""",
     "select_features": f"{SIGNALS} SELECT {q('series datetime ret_3 atr_14')} FROM sig",
     "select_numeric": f"""{SIGNALS} SELECT {q('series datetime open high low close atr_14 atr_28 ret_3 ret_6 range_ratio event_vol_spike event_impulse')} FROM sig""",
+    "event_levels": f"""{SIGNALS} SELECT series, datetime, {fixed('atr_mean')} AS atr_mean_50,
+  {fixed('ret_std')} AS ret_std_50 FROM flags""",
     "event_signals": f"{SIGNALS} SELECT series, datetime, event_vol_spike, event_impulse FROM sig",
     "event_frequency": f"""{SIGNALS}, {EVENT_ROWS.format('sig')}
   SELECT series, event_name, count(*) AS frequency FROM fired GROUP BY 1, 2""",
@@ -242,6 +244,7 @@ ORACLES: dict[str, str] = {
   SELECT series, datetime, position, split, CASE WHEN position < start THEN 'train' ELSE 'test' END AS role
   FROM s WHERE position < start + n // 4""",
     "first_bars": f"WITH {bars_cte()} SELECT * FROM bars ORDER BY datetime, series LIMIT 1000",
+    "snapshot_sink": f"WITH {bars_cte()} SELECT * FROM bars ORDER BY datetime, series LIMIT 500",
     "rank": f"""{SCORED} SELECT series, datetime, fold, row_number() OVER (PARTITION BY fold
   ORDER BY p_opportunity DESC, datetime, series) AS rank_opportunity FROM scored""",
     "top_scores": f"""{SCORED} SELECT fold, CAST(rk AS INTEGER) AS rank, series, datetime, p_opportunity FROM (
@@ -250,6 +253,8 @@ ORACLES: dict[str, str] = {
     "precision_at_k": f"{SCORED}, {precision_cte('prec', 'scored', 'fold')} SELECT * FROM prec",
     "fold_evaluation": f"""{SCORED}, {precision_cte('prec', 'scored', 'fold')}
   SELECT prec.*, n AS rows FROM prec JOIN (SELECT fold, count(*) AS n FROM scored GROUP BY 1) USING (fold)""",
+    "nested_precision": f"""{SCORED}, {precision_cte('prec', 'scored', 'fold')}
+  SELECT *, CAST(4 AS INTEGER) AS entries FROM prec""",
     "event_statistics": f"{SCORED}, {EVENT_ROWS.format('scored')}, {stats_cte('fold')} SELECT * FROM stats",
     "event_diagnostics": f"""{SCORED}, {EVENT_ROWS.format('scored')}, {stats_cte('fold')},
   {precision_cte('prec', 'fired', 'fold, event_name')} SELECT * FROM prec JOIN stats USING (fold, event_name)""",
@@ -261,6 +266,9 @@ ORACLES: dict[str, str] = {
     "run_listing": f"{RUNS} SELECT summary.* FROM summary JOIN status USING (run_id) WHERE missing = ''",
     "skipped_runs": f"""{RUNS} SELECT run_id, concat('missing artifacts: ', missing) AS reason FROM status
   WHERE missing <> ''""",
+    "run_lookup": f"""{RUNS} SELECT summary.* FROM summary JOIN status USING (run_id)
+  WHERE missing = '' AND run_id = 'view{SUFFIX}'""",
+    "metrics_sink": f"{RUNS} SELECT * FROM prec WHERE run_id <> 'click{SUFFIX}'",
     "run_summary": f"{RUNS} SELECT * FROM summary",
     "scorecard": f"""{RUNS}, v AS (SELECT run_id, train_precision_at_0_5, val_precision_at_0_5, test_precision_at_0_5,
     val_baseline, test_baseline, val_lift_at_0_5, test_lift_at_0_5,

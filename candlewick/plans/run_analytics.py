@@ -102,6 +102,12 @@ def list_runs(tables: RunTables) -> DataFrame:
     return summary.orderBy(F.desc("timestamp"), F.desc("run_id"))
 
 
+def find_run(tables: RunTables, run_id: str) -> DataFrame:
+    """Summary of one run; no row if it is unknown or incomplete."""
+    found = run_summary(tables).filter(f"run_id = {text(run_id)}")
+    return found.join(complete_runs(tables.artifacts), "run_id", "left_semi")
+
+
 def scorecard(tables: RunTables) -> DataFrame:
     """Quality and stability verdict of each run."""
     facts = fold_facts(tables).selectExpr(
