@@ -4,7 +4,8 @@ A group (a series, a fold, an event subset) may hold most of the table, so no op
 whole group to one task. Rows are keyed by `levels`: ever finer keys, such as the time in steps of 49
 days, 68 minutes, 4 seconds, ..., whose lexicographic order agrees with the sort order. A cell is a
 prefix of these keys. Cells that hold more than `max_rows` rows are split by the next level, so a block
-stays small however the rows are spread. The measured split affects balance only: every operator is
+stays small however the rows are spread. What no level can split are copies of one row; they are merged
+and counted instead. The measured split affects balance only: every operator is
 exact under any split, including none at all, which is the plan for tables known to be small.
 
 Levels and sort terms are SQL text over the columns of the frame.
@@ -19,7 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.functions.sql import BEFORE, WHOLE, epoch_seconds, over, q, qs, second_fraction
+from candlewick.functions.sql import (
+    BEFORE,
+    UPTO,
+    WHOLE,
+    epoch_seconds,
+    over,
+    q,
+    qs,
+    second_fraction,
+)
+from candlewick.operators.copies import expand_copies, merge_copies
 from candlewick.session import SMALL_BYTES, is_small
 
 MAX_ROWS = 500_000  # rows one cell may hold before it is split
@@ -47,13 +58,33 @@ def hex_levels(key: str) -> list[str]:
     return [*digits, q(key)]
 
 
+def sortable(df: DataFrame) -> list[str]:
+    """Columns that can be compared and grouped."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
+def row_hash(df: DataFrame, without: Sequence[str]) -> str:
+    """Hash over the other columns: separates rows that agree in all earlier sort columns."""
+    rest = [name for name in sortable(df) if name not in without]
+    return f"xxhash64({qs(rest)})" if rest else "0L"
+
+
+def hash_levels(key: str) -> list[str]:
+    """A BIGINT hash in 1024 cells, then exact."""
+    return [f"shiftright({key}, 54)", key]
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Key of every row: group columns, levels, and for each level the cells to split further."""
+    """Key of every row: group columns, levels, and for each level the cells to split further.
+
+    `copies` lists cells that stay crowded at the last level.
+    """
 
     groups: tuple[str, ...]
     levels: tuple[str, ...] = ()
     split: tuple[DataFrame, ...] = ()
+    copies: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -94,7 +125,7 @@ def measure(
     names = [f"_c{i}" for i in range(len(levels))]
     live = df.selectExpr(*map(q, groups), *[f"{lv} AS {name}" for lv, name in zip(levels, names)])
     split: list[DataFrame] = []
-    for depth in range(len(levels) - 1):
+    for depth in range(len(levels)):
         keys = [*groups, *names[: depth + 1]]
         crowded = live.groupBy(*keys).count().filter(f"count > {max_rows}").drop("count")
         found = crowded.limit(max_split + 1).collect()
@@ -102,22 +133,14 @@ def measure(
             break
         if len(found) > max_split:
             return measure(df, groups, levels, max_rows=max_rows * 4, max_split=max_split, small_bytes=0)
-        split.append(df.sparkSession.createDataFrame(found, crowded.schema))
-        live = live.join(F.broadcast(split[-1]), keys, "left_semi")
+        part = df.sparkSession.createDataFrame(found, crowded.schema)
+        if depth == len(levels) - 1:
+            return Cells(tuple(groups), tuple(levels), tuple(split), part)
+        split.append(part)
+        live = live.join(F.broadcast(part), keys, "left_semi")
     return Cells(tuple(groups), tuple(levels), tuple(split))
 
 
-def total_order(df: DataFrame, first: Sequence[str], tie: Sequence[str] | None) -> list[str]:
-    """Sort columns that decide every tie; rows equal in all of them are interchangeable.
-
-    `tie=()` states that the first columns are unique already.
-    """
-    if tie is not None:
-        return [*first, *tie]
-    rest = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return [*first, *[name for name in rest if name not in first]]
-
-
 def over_series(
     df: DataFrame,
     build: Callable[[DataFrame, str], DataFrame],
@@ -137,15 +160,49 @@ def over_series(
     it and the `after` rows following it; `window` is the text inside OVER (...) up to the frame. The
     table is shuffled once, by block. Rows far enough from the ends of their block are finished there.
     Only the few rows at block ends go on to the next coarser block, where their neighbours from the
-    adjoining blocks meet them; the last step is the series itself. Further keywords go to `measure`.
+    adjoining blocks meet them; the last step is the series itself.
+
+    `tie` orders rows of the same time; `()` states that there are none, and by default a hash of the
+    other columns does, then the columns themselves. Further keywords go to `measure`.
     """
     series = list(series)
-    cells = cells or measure(df, series, time_levels(df, time, step), **split)
-    order = qs(name for name in total_order(df, [time], tie) if name not in series)
-    reach = before + after
-    keys = cells.columns
+    levels, order = time_levels(df, time, step), [q(time), *map(q, tie or ())]
+    if tie is None:
+        order += [row_hash(df, [*series, time]), *[q(c) for c in sortable(df) if c not in (*series, time)]]
+        levels += hash_levels(order[1])
+    cells = cells or measure(df, series, levels, **split)
+    if cells.copies is not None and tie is None and len(sortable(df)) == len(df.columns):
+        return _over_copies(df, build, before, after, series, order, cells)
+    return _over_blocks(cells.assign(df), build, before, after, series, order, cells)
+
+
+def _over_copies(df, build, before, after, series, order, cells: Cells) -> DataFrame:
+    """`over_series` where some rows have more copies than a block may hold.
+
+    All copies with `before` equal rows ahead and `after` behind get the same values. So the ends of
+    such a run are kept in full, and one row stands for its middle.
+    """
+    tagged, keys = cells.assign(df), [*series, *cells.columns]
+    listed = F.broadcast(cells.copies)
+    ends = before + after
+    runs = merge_copies(tagged.join(listed, keys, "left_semi").select(*tagged.columns)).selectExpr(
+        "*", f"explode(sequence(1L, least(_times, {2 * ends + 1}L))) AS _copy"
+    )
+    middle = f"_copy = {ends + 1} AND _times > {2 * ends + 1}"
+    runs = runs.selectExpr(
+        *map(q, tagged.columns), "_copy", f"CASE WHEN {middle} THEN _times - {2 * ends} ELSE 1L END AS _times"
+    )
+    rest = tagged.join(listed, keys, "left_anti").selectExpr(*map(q, tagged.columns), "1L AS _copy", "1L AS _times")
+    out = _over_blocks(rest.unionByName(runs), build, before, after, series, [*order, "_copy"], cells)
+    names = [name for name in out.columns if name not in ("_copy", "_times")]
+    again = expand_copies(out.filter("_times > 1").drop("_copy"))
+    return out.filter("_times = 1").select(*names).unionByName(again.select(*names))
+
+
+def _over_blocks(frame, build, before, after, series, order, cells: Cells) -> DataFrame:
+    """Finish the rows inside the blocks, then those at block ends in ever coarser blocks."""
+    order, reach, keys = ", ".join(order), before + after, cells.columns
     out: DataFrame | None = None
-    frame = cells.assign(df)
     if keys:
         frame = frame.selectExpr("*", "true AS _open")
     while True:
@@ -193,7 +250,18 @@ def add_position(
     tagged = cells.assign(df)
     blocks = tagged.groupBy(*keys).agg(F.expr("count(1) AS _n"))
     offsets = block_offsets(blocks, groups, cells.columns).drop("_n")
+    runs = None
+    if cells.copies is not None and len(sortable(df)) == len(df.columns):
+        listed = F.broadcast(cells.copies)
+        upto = f"sum(_times) {over(map(q, keys), [*order, *map(q, df.columns)], UPTO)} - _times AS _before"
+        merged = merge_copies(tagged.join(listed, keys, "left_semi").select(*tagged.columns))
+        runs = expand_copies(merged.selectExpr("*", upto)).selectExpr(
+            *map(q, tagged.columns), "_before + _copy AS _row"
+        )
+        tagged = tagged.join(listed, keys, "left_anti").select(*tagged.columns)
     inside = tagged.selectExpr("*", f"{number} AS _row")
+    if runs is not None:
+        inside = inside.unionByName(runs)
     return inside.join(offsets, keys).selectExpr(*map(q, df.columns), f"_ahead + _row AS {q(name)}")
 
 
@@ -208,6 +276,7 @@ def first_rows(
 ) -> DataFrame:
     """The first n rows of a total order, for n of any size, without sorting a large table.
 
+    The order must decide between any two rows that differ, and all columns must be comparable.
     Counts per cell show which cell the cut falls into; while that cell is crowded, only its rows are
     counted again by the next level. Cells before the cut are kept whole, and one cell is sorted.
     """
@@ -235,9 +304,10 @@ def first_rows(
             return keyed.filter(ahead | inside).select(*df.columns)
         if cut[0]["_n"] <= max_rows:
             break
-    numbered = keyed.filter(inside).selectExpr("*", f"row_number() {over([], order)} AS _row")
-    return (
-        keyed.filter(ahead)
-        .select(*df.columns)
-        .unionByName(numbered.filter(f"_row <= {left}").select(*df.columns))
+    # copies are merged before they are ordered, so they cannot pile up in a task
+    merged = merge_copies(keyed.filter(inside).select(*df.columns))
+    upto = f"sum(_times) {over([], order, UPTO)}"
+    taken = merged.selectExpr(
+        *map(q, df.columns), f"greatest(0L, least(_times, {left} - ({upto} - _times))) AS _times"
     )
+    return keyed.filter(ahead).select(*df.columns).unionByName(expand_copies(taken).select(*df.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions.sql import boundary, q, time_limit
-from candlewick.operators.cells import TIME_STEP, add_position, measure, time_levels
+from candlewick.operators.cells import TIME_STEP, add_position, hash_levels, measure, row_hash, time_levels
 from candlewick.operators.labels import LABEL, label_summary, value_counts
 
 FOLDS = ("train", "val", "test")
@@ -84,9 +84,10 @@ def expanding_splits(
 def number_rows(
     df: DataFrame, *, series: Sequence[str] = ("series",), time: str = "datetime", **split
 ) -> DataFrame:
-    """Append `position`, 0-based, in the order of time, then series, over the whole table."""
-    order = [q(name) for name in [time, *series]]
-    cells = measure(df, [], time_levels(df, time), **split)
+    """Append `position`, 0-based, in the order of time, series, hash of the row, over the whole table."""
+    rest = row_hash(df, [time, *series])
+    order = [*map(q, [time, *series]), rest]
+    cells = measure(df, [], [*time_levels(df, time), *map(q, series), *hash_levels(rest)], **split)
     out = add_position(df, "position", groups=[], order=order, cells=cells)
     return out.selectExpr(*map(q, df.columns), "position - 1 AS position")
 
@@ -101,6 +102,9 @@ def number_bars(
     **split,
 ) -> DataFrame:
     """Append `bar_idx`, 0-based, in time order within each series; `tie` orders equal times."""
-    cells = measure(df, series, time_levels(df, time, step), **split)
-    out = add_position(df, "bar_idx", groups=list(series), order=[q(time), *map(q, tie)], cells=cells)
+    rest = row_hash(df, [*series, time, *tie])
+    levels = [*time_levels(df, time, step), *map(q, tie), *hash_levels(rest)]
+    cells = measure(df, series, levels, **split)
+    order = [q(time), *map(q, tie), rest]
+    out = add_position(df, "bar_idx", groups=list(series), order=order, cells=cells)
     return out.selectExpr(*map(q, df.columns), "bar_idx - 1 AS bar_idx")

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from candlewick.functions.sql import over, q
-from candlewick.operators.cells import add_position, measure, score_levels, time_levels
+from candlewick.operators.cells import (
+    add_position,
+    hash_levels,
+    measure,
+    row_hash,
+    score_levels,
+    time_levels,
+)
 
 SCORE = "p_opportunity"
 RANK = "rank_opportunity"
@@ -29,10 +36,13 @@ def add_rank(
 ) -> DataFrame:
     """Append rank_opportunity: 1 for the highest score of the fold, no two rows alike.
 
-    Further keywords go to `measure`.
+    Equal scores rank by time, then series, then a hash of the row. Further keywords go to `measure`.
     """
-    cells = measure(df, by, [*score_levels(score), *time_levels(df, time)], **split)
-    return add_position(df, RANK, groups=list(by), order=score_order(score, time, series), cells=cells)
+    rest = row_hash(df, [*by, score, time, *series])
+    levels = [*score_levels(score), *time_levels(df, time), *map(q, series), *hash_levels(rest)]
+    cells = measure(df, by, levels, **split)
+    order = [*score_order(score, time, series), rest]
+    return add_position(df, RANK, groups=list(by), order=order, cells=cells)
 
 
 def best_per_group(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.sql import epoch_seconds, q, sample_key
-from candlewick.operators.cells import first_rows, hex_levels, total_order
+from candlewick.functions.sql import epoch_seconds, q, sample_key, second_fraction
+from candlewick.operators.cells import first_rows, hash_levels, hex_levels, row_hash, sortable
 from candlewick.operators.labels import LABEL
 
 
@@ -26,8 +26,10 @@ def sample_rows(
     Further keywords go to `first_rows`.
     """
     keyed = df.selectExpr("*", f"{sample_key(seed, *map(q, series), epoch_seconds(df, time))} AS _key")
-    order = [q(name) for name in total_order(keyed, ["_key", time], None)]
-    return first_rows(keyed, n, order=order, levels=hex_levels("_key"), **cut).drop("_key")
+    rest = row_hash(df, [*series, time])
+    order = ["_key", *map(q, [time, *series]), rest, *map(q, sortable(df))]
+    levels = [*hex_levels("_key"), second_fraction(df, time), *map(q, series), *hash_levels(rest)]
+    return first_rows(keyed, n, order=order, levels=levels, **cut).drop("_key")
 
 
 def downsample_negatives(

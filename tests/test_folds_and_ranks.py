@@ -105,6 +105,17 @@ def test_rank_and_precision_example(spark):
         assert (row["candidate_count"], row["precision_at_k"], row["baseline"]) == (2, 1.0, 0.5)
 
 
+def test_rank_of_copies(spark):
+    df = scored(spark, 60)
+    copies = df.unionByName(df.limit(1).selectExpr("*", "explode(sequence(1, 300)) AS i").drop("i"))
+    cut = add_rank(copies, small_bytes=0, max_rows=4)
+    same_rows(add_rank(copies), cut)
+    for split in ({}, {"small_bytes": 0, "max_rows": 4}):
+        got = precision_at_k(copies, [50], **split).orderBy("fold").collect()
+        want = brute_force(copies.collect(), [50])
+        assert [r["precision_at_k"] for r in got] == pytest.approx([want[r["fold"], 50.0][2] for r in got])
+
+
 def brute_force(rows, ks):
     out = {}
     for fold in {r["fold"] for r in rows}:

@@ -95,6 +95,27 @@ def test_identical_copies_keep_every_row(spark):
     same_rows(add_signals(copies), add_signals(copies, small_bytes=0, max_rows=8, step=10))
 
 
+def test_many_copies_of_one_bar(spark):
+    bars = random_bars(spark, {"a": 200, "b": 90})
+    one = bars.filter("series = 'a'").orderBy("datetime").limit(100).orderBy("datetime", ascending=False).limit(1)
+    copies = bars.unionByName(one.selectExpr("*", "explode(sequence(1, 500)) AS i").drop("i"))
+    cells = measure(copies, ["series"], ["shiftright(unix_timestamp(datetime), 8)", "unix_timestamp(datetime)"], max_rows=80, small_bytes=0)
+    assert cells.copies.count() == 1
+    cut = add_signals(copies, max_rows=80, small_bytes=0, step=8)
+    assert cut.count() == 790
+    same_rows(add_signals(copies), cut)
+    numbered = number_bars(copies, max_rows=80, small_bytes=0, step=8)
+    assert sorted(r[0] for r in numbered.filter("series = 'a'").select("bar_idx").collect()) == list(range(700))
+    same_rows(number_bars(copies), numbered)
+
+
+def test_many_ties_that_differ(spark):
+    bars = random_bars(spark, {"a": 150})
+    tied = bars.selectExpr("* EXCEPT (datetime)", "TIMESTAMP_NTZ'2025-01-01' + make_dt_interval(0, 0, CAST(close AS INT) % 3) AS datetime")
+    same_rows(add_signals(tied), add_signals(tied, max_rows=5, small_bytes=0, step=12))
+    same_rows(number_bars(tied), number_bars(tied, max_rows=5, small_bytes=0))
+
+
 def test_times_around_1970(spark):
     times = ["1969-12-31 23:59:5" + t for t in ("8", "8.2", "8.9", "9", "9.5", "9.999999")]
     times += ["1970-01-01 00:00:0" + t for t in ("0", "0.000001", "0.2", "1")]
