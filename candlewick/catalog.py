@@ -398,7 +398,8 @@ class run_tables:
     BY = ["run_id", "fold"]
 
     def __init__(self, spark, sf):
-        self.rows = scored(spark, sf).selectExpr("*", f"concat(series, '{RUN_SUFFIX}') AS run_id")
+        rows = scored(spark, sf).selectExpr("*", f"concat(series, '{RUN_SUFFIX}') AS run_id")
+        self.rows = stage(rows, "runs", 0)  # several tables are drawn from it
 
     @cached_property
     def base(self) -> DataFrame:

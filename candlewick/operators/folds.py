@@ -24,7 +24,7 @@ def time_split(df: DataFrame, train_end, val_end, time: str = "datetime") -> Dat
     """Append `fold`: train up to and including train_end, val up to and including val_end, then test."""
     first, second = boundary(train_end), boundary(val_end)
     if first >= second:
-        raise ValueError("split.train_end must be earlier than split.val_end")
+        raise ValueError(f"train_end {first} must come before val_end {second}")
     at = q(time)
     return df.selectExpr(
         "*",
@@ -43,7 +43,7 @@ def check_folds(df: DataFrame) -> dict[str, int]:
     sizes = fold_sizes(df)
     empty = [name for name in FOLDS if not sizes.get(name)]
     if empty:
-        raise ValueError(f"Empty dataset split(s): {empty}")
+        raise ValueError(f"Folds without rows: {empty}")
     return sizes
 
 

@@ -41,9 +41,9 @@ def check_bars(df: DataFrame, required: Sequence[str] = REQUIRED) -> None:
         raise ValueError(f"Missing required columns: {absent}")
     found = {row["rule"]: row["violations"] for row in validation_report(df).collect()}
     if found["zero rows"]:
-        raise ValueError("Loaded data has zero rows")
+        raise ValueError("The bar table is empty")
     if found["datetime"]:
-        raise ValueError("Datetime column contains unparseable values")
+        raise ValueError("Some rows have no readable datetime")
     for name in PRICES:
         if found[name]:
-            raise ValueError(f"Column contains non-numeric or missing values: {name}")
+            raise ValueError(f"Some rows have no number in column {name}")

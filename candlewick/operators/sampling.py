@@ -37,15 +37,15 @@ def downsample_negatives(
 ) -> DataFrame:
     """All positives and min(negatives, positives * ratio) negatives."""
     if ratio < 1:
-        raise ValueError("sampling.ratio must be at least 1")
+        raise ValueError("The ratio of negatives to positives must be 1 or more")
     y = q(label)
     counts = df.agg(
         F.expr(f"count_if({y} = 1) AS positive"), F.expr(f"count_if({y} = 0) AS negative")
     ).head()
     if not counts["positive"]:
-        raise ValueError("Cannot downsample training data without positive labels")
+        raise ValueError("No positive rows to sample negatives for")
     if not counts["negative"]:
-        raise ValueError("Cannot downsample training data without negative labels")
+        raise ValueError("No negative rows to sample from")
     wanted = min(counts["negative"], counts["positive"] * ratio)
     negatives = df.filter(f"{y} = 0")
     if wanted < counts["negative"]:

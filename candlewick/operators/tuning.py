@@ -37,7 +37,7 @@ def grid_points(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
     """All combinations; names in alphabetical order, the last one varying fastest."""
     total = prod(len(values) for values in grid.values())
     if total > MAX_COMBINATIONS:
-        raise ValueError(f"Grid too large: {total} combinations exceed the maximum of {MAX_COMBINATIONS}.")
+        raise ValueError(f"Grid too large: {total} combinations, at most {MAX_COMBINATIONS} are allowed")
     names = sorted(grid)
     return [dict(zip(names, values)) for values in product(*[grid[name] for name in names])]
 

@@ -23,7 +23,7 @@ def make_run_id(config: Mapping[str, Any], at: datetime | None = None) -> str:
     """<model>_<dataset>_<YYYY-MM-DD>_<HHMM>."""
     run = config.get("run") or {}
     at = at or datetime.now()
-    return f"{run.get('model', 'xgb7')}_{run.get('dataset', 'm1')}_{at:%Y-%m-%d_%H%M}"
+    return f"{run.get('model', 'gbt')}_{run.get('dataset', 'bars')}_{at:%Y-%m-%d_%H%M}"
 
 
 def free_run_id(spark: SparkSession, root: str, base: str) -> str:

@@ -81,7 +81,7 @@ def type_bars(raw: DataFrame, series_columns: Sequence[str] = ("series",)) -> Da
     elif "date" in columns and "time" in columns:
         value, dropped = "concat_ws(' ', `date`, `time`)", {"date", "time"}
     else:
-        raise ValueError("Expected either datetime or date/time columns")
+        raise ValueError("Bars need a datetime column, or date and time")
     first = raw.selectExpr(f"{value} AS first").head(1)
     stamp = f"{parse_time(value, first[0]['first'] if first else None)} AS datetime"
     out = []

@@ -11,6 +11,6 @@ from candlewick.session import local_session
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, app="tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()

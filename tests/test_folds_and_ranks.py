@@ -16,7 +16,7 @@ from candlewick.operators.ranking import add_rank
 from candlewick.operators.sampling import downsample_negatives, sample_rows, sampling_summary
 from helpers import START, linear_bars, same_rows
 
-SPLIT = {"small_bytes": 0, "max_rows": 20}
+SPLIT = {"small_bytes": 0, "max_rows": 30}
 
 
 def labelled(spark, values):
@@ -24,7 +24,7 @@ def labelled(spark, values):
     return spark.createDataFrame(rows, "series STRING, datetime TIMESTAMP_NTZ, target_opportunity INT")
 
 
-def scored(spark, rows=600, seed=3, ties=True):
+def scored(spark, rows=300, seed=3, ties=True):
     rng = random.Random(seed)
     data = []
     for i in range(rows):
@@ -43,7 +43,7 @@ def test_split_borders_are_inclusive(spark):
     assert check_folds(df) == {"train": 2, "val": 2, "test": 2}
     rows = {r["fold"]: r for r in fold_summary(df).collect()}
     assert rows["val"]["rows"] == 2 and rows["val"]["positive_rate"] == 0.5
-    with pytest.raises(ValueError, match="earlier"):
+    with pytest.raises(ValueError, match="before"):
         time_split(df, "2025-01-02", "2025-01-02")
     with pytest.raises(ValueError, match="test"):
         check_folds(df.filter("fold <> 'test'"))
@@ -69,11 +69,11 @@ def test_downsampling_keeps_positives_and_is_exact(spark):
         "negative_after": 4,
     }
     assert downsample_negatives(df, 50).count() == 10
-    with pytest.raises(ValueError, match="at least 1"):
+    with pytest.raises(ValueError, match="1 or more"):
         downsample_negatives(df, 0)
-    with pytest.raises(ValueError, match="without positive"):
+    with pytest.raises(ValueError, match="No positive"):
         downsample_negatives(df.filter("target_opportunity = 0"), 2)
-    with pytest.raises(ValueError, match="without negative"):
+    with pytest.raises(ValueError, match="No negative"):
         downsample_negatives(df.filter("target_opportunity = 1"), 2)
 
 

@@ -216,7 +216,7 @@ def test_model_columns(spark):
     assert model_columns(df, {"features": {"groups": ["volatility", "momentum"]}}) == ["atr_14", "ret_3"]
     assert model_columns(df, {"features": {}}) == ["atr_14", "ret_3", "event_vol_spike"]
     assert model_columns(df) == ["atr_14", "ret_3", "event_vol_spike"]
-    with pytest.raises(ValueError, match="No numeric"):
+    with pytest.raises(ValueError, match="No feature"):
         model_columns(df, {"features": {"enabled": []}})
     bars = linear_bars(spark, 5).selectExpr("*", "1 AS target_opportunity", "2 AS rank_opportunity")
     assert model_columns(bars) == ["open", "high", "low", "close"]
