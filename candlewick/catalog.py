@@ -532,7 +532,7 @@ def skipped_runs(spark, sf):
 
 @query
 def run_lookup(spark, sf):
-    return runs.find_run(run_tables(spark, sf), RIGHT_RUN)
+    return runs.find_run(run_tables(spark, sf), "error" + RUN_SUFFIX)
 
 
 @query

@@ -97,7 +97,7 @@ def run_summary(tables: RunTables) -> DataFrame:
 
 
 def list_runs(tables: RunTables) -> DataFrame:
-    """Summaries of the complete runs, newest first by `run_rank`."""
+    """Summaries of the complete runs, newest first."""
     summary = run_summary(tables).join(complete_runs(tables.artifacts), "run_id", "left_semi")
     return summary.orderBy(F.desc("timestamp"), F.desc("run_id"))
 
