@@ -1,7 +1,7 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-Texts become lower-case runs of letters and digits; a shingle is five such words in a row, or the whole sequence where
-there are fewer. An item leaks into a document that holds at least 80 % of the item's distinct shingles.
+Texts become lower-case words between white space; a shingle is five words in a row, or the whole sequence where there
+are fewer. An item leaks into a document that holds at least 80 % of the item's distinct shingles.
 
 Search: size-partitioned MinHash containment. Items are partitioned by shingle count, each partition spanning a factor
 of two. Within a partition an item is represented by its k smallest shingle hashes, k being one more than the number of
@@ -25,11 +25,11 @@ from candlewick.llm.common import documents, small, store, table
 
 WORDS = 5
 CONTAINMENT = 0.8
-NO_WORD = r"[^\p{L}\p{N}]+"
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _with_words(df: DataFrame, text: str) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NO_WORD), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACE), lambda w: w != "")
     return df.withColumn("_w", words)
 
 
@@ -78,10 +78,11 @@ def leaks(
 ) -> DataFrame:
     """One row per document and item that it holds: doc, item, n_shingles, n_found, containment."""
     shingles = store(item_shingles(items, item, item_text, words), "item-shingles")
-    hashed = _with_words(docs.select(F.col(doc).alias("doc"), text), text)
+    keyed = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("body"), text)
+    hashed = _with_words(keyed, text).select("doc", "body", "_w")
     probes = small(sketches(shingles, containment))
     found = (
-        hashed.select("doc", F.xxhash64(text).alias("body"), F.explode(_hashes(words)).alias("h"))
+        hashed.select("doc", "body", F.explode(_hashes(words)).alias("h"))
         .join(probes, "h")
         .select("doc", "body", "item")
         .distinct()
@@ -90,10 +91,8 @@ def leaks(
     suspects = small(candidates.select("doc", "body").distinct())
     # null keys are keys too
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
-    texts = hashed.withColumn("body", F.xxhash64(text)).join(
-        suspects.select(F.col("doc").alias("_doc"), F.col("body").alias("_body")), same, "left_semi"
-    )
-    held = texts.select("doc", "body", F.explode(F.array_distinct(_shingles(words))).alias("shingle"))
+    texts = keyed.join(suspects.select(F.col("doc").alias("_doc"), F.col("body").alias("_body")), same, "left_semi")
+    held = _with_words(texts, text).select("doc", "body", F.explode(F.array_distinct(_shingles(words))).alias("shingle"))
     wanted = candidates.select(
         F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("item").alias("_item")
     )
