@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from candlewick.llm.decontamination import op1_decontamination
+from candlewick.llm.jaccard_join import op9_jaccard_join
+from candlewick.llm.packing import op2_packing
 from candlewick.llm.quality_rules import op6_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_packing,
+        op6_quality_rules,
+        op9_jaccard_join,
+    )
+}
 ORACLES: dict[str, str] = {}
