@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from candlewick.llm.decontamination import op1_decontamination
 from candlewick.llm.jaccard_join import op9_jaccard_join
+from candlewick.llm.lm_scoring import op8_lm_scoring
 from candlewick.llm.packing import op2_packing
 from candlewick.llm.quality_rules import op6_quality_rules
 
@@ -13,6 +14,7 @@ QUERIES = {
         op1_decontamination,
         op2_packing,
         op6_quality_rules,
+        op8_lm_scoring,
         op9_jaccard_join,
     )
 }
