@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from candlewick.llm.decontamination import op1_decontamination
 from candlewick.llm.jaccard_join import op9_jaccard_join
+from candlewick.llm.language_id import op4_language_id
 from candlewick.llm.lm_scoring import op8_lm_scoring
 from candlewick.llm.packing import op2_packing
+from candlewick.llm.quality_classifier import op3_quality_classifier
 from candlewick.llm.quality_rules import op6_quality_rules
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     for f in (
         op1_decontamination,
         op2_packing,
+        op3_quality_classifier,
+        op4_language_id,
         op6_quality_rules,
         op8_lm_scoring,
         op9_jaccard_join,
