@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from candlewick.llm.decontamination import op1_decontamination
+from candlewick.llm.html_extraction import op7_html_extraction
 from candlewick.llm.jaccard_join import op9_jaccard_join
 from candlewick.llm.language_id import op4_language_id
 from candlewick.llm.lm_scoring import op8_lm_scoring
@@ -18,6 +19,7 @@ QUERIES = {
         op3_quality_classifier,
         op4_language_id,
         op6_quality_rules,
+        op7_html_extraction,
         op8_lm_scoring,
         op9_jaccard_join,
     )
