@@ -10,6 +10,7 @@ from candlewick.llm.lm_scoring import op8_lm_scoring
 from candlewick.llm.packing import op2_packing
 from candlewick.llm.quality_classifier import op3_quality_classifier
 from candlewick.llm.quality_rules import op6_quality_rules
+from candlewick.llm.token_files import op5_token_output
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +19,7 @@ QUERIES = {
         op2_packing,
         op3_quality_classifier,
         op4_language_id,
+        op5_token_output,
         op6_quality_rules,
         op7_html_extraction,
         op8_lm_scoring,
