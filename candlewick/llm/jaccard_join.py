@@ -272,5 +272,13 @@ def joined(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3
     )
 
 
+def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `df`, all columns, of the document with the smallest id of each component. Of rows with equal ids one
+    stays; rows without an id all stay."""
+    found = joined(df, doc, text, size, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(doc))
+    stay = df.filter(F.col(doc).isNotNull()).join(store(found.distinct(), "survivors"), doc, "left_semi")
+    return stay.dropDuplicates([doc]).unionByName(df.filter(F.col(doc).isNull()))
+
+
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return joined(documents(spark, sf))

@@ -10,6 +10,7 @@ from candlewick.llm.lm_scoring import op8_lm_scoring
 from candlewick.llm.packing import op2_packing
 from candlewick.llm.quality_classifier import op3_quality_classifier
 from candlewick.llm.quality_rules import op6_quality_rules
+from candlewick.llm.suffix_dedup import op10_suffix_dedup
 from candlewick.llm.token_files import op5_token_output
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
         op7_html_extraction,
         op8_lm_scoring,
         op9_jaccard_join,
+        op10_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm.common import store, table
 from candlewick.llm.decontamination import decontaminated
+from candlewick.llm.jaccard_join import one_of_each
+from candlewick.llm.packing import packed
 from candlewick.llm.quality_rules import ledger, verdicts
+from candlewick.llm.suffix_dedup import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
@@ -18,17 +21,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     return verdicts(ledger(docs, keep=docs.columns)).filter("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """One document of each group connected by a similarity of 0.8 or more on shingles of five words."""
+    return one_of_each(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """Documents without the passages of 200 bytes or more that occur anywhere else."""
+    return without_repeats(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminated(docs, table(spark, sf, "benchmark", "item_id", "text"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return packed(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", packing),
 ]
 
-# fitted search plans and packing have no SQL; tests compare with brute force
+# links, repeated strings and packing have no SQL; tests compare with brute force
 ORACLE_SQL = None
 
 
