@@ -112,8 +112,10 @@ def measured(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
         lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")),
         lambda a: a["n"],
     )
+    # A filter on a verdict must stay above the measurements: pushed below, it would repeat them for every rule. Spark
+    # pushes no filter below an expression that depends on the partition.
     columns = {
-        "n_words": F.size("_w"),
+        "n_words": F.size("_w") + 0 * F.spark_partition_id(),
         "word_chars": F.length(F.array_join("_w", "")),
         "n_symbols": _count("_t", SYMBOLS),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
