@@ -35,7 +35,7 @@ SAMPLE = 200
 RUN_SUFFIX = "_m1_2024-01-30_2300"
 LEFT_RUN, RIGHT_RUN = "click" + RUN_SUFFIX, "view" + RUN_SUFFIX
 # tiny cells, so that small test tables take the plan for large ones
-SPLIT = {"small_bytes": 0, "max_rows": 500}
+SPLIT = {"max_rows": 500}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,14 +228,14 @@ def long_series(spark, sf):
 
 @query
 def blocked_signals(spark, sf):
-    df = stage(long_series(spark, sf), "bars", 0)
+    df = stage(long_series(spark, sf), "bars")
     out = signals.add_signals(df, HORIZON, THRESHOLD, tie=(), step=16, **SPLIT)
     return rounded(out.drop("series", "open", "high", "low", "close"), *features.BASE_FEATURES)
 
 
 @query
 def blocked_range_mean(spark, sf):
-    df = stage(long_series(spark, sf).select("datetime", "high", "low"), "bars", 0)
+    df = stage(long_series(spark, sf).select("datetime", "high", "low"), "bars")
     out = over_series(
         df,
         lambda part, window: features.range_mean(part, "mean_50", window, 50),
@@ -297,8 +297,8 @@ def downsample(spark, sf):
 
 @query
 def downsample_cells(spark, sf):
-    df = stage(train_rows(spark, sf), "train", 0)
-    out = sampling.downsample_negatives(df, RATIO, small_bytes=0, max_rows=1)
+    df = stage(train_rows(spark, sf), "train")
+    out = sampling.downsample_negatives(df, RATIO, max_rows=1)
     return out.select("series", "datetime", "target_opportunity")
 
 
@@ -342,7 +342,7 @@ def rank(spark, sf):
 
 @query
 def rank_cells(spark, sf):
-    df = stage(scored(spark, sf), "scored", 0)
+    df = stage(scored(spark, sf), "scored")
     return ranking.add_rank(df, **SPLIT).select("series", "datetime", "fold", "rank_opportunity")
 
 
@@ -361,7 +361,7 @@ def precision_at_k(spark, sf):
 
 @query
 def precision_at_k_cells(spark, sf):
-    df = stage(scored(spark, sf), "scored", 0)
+    df = stage(scored(spark, sf), "scored")
     return evaluation.precision_at_k(df, TOP_K, **SPLIT)
 
 
@@ -399,7 +399,7 @@ class run_tables:
 
     def __init__(self, spark, sf):
         rows = scored(spark, sf).selectExpr("*", f"concat(series, '{RUN_SUFFIX}') AS run_id")
-        self.rows = stage(rows, "runs", 0)  # several tables are drawn from it
+        self.rows = stage(rows, "runs")  # several tables are drawn from it
 
     @cached_property
     def base(self) -> DataFrame:
@@ -605,7 +605,7 @@ MODEL_FEATURES = ["atr_14", "ret_3", "ret_6", "range_ratio", "event_vol_spike"]
 
 
 def fitted(spark, sf):
-    df = stage(folded(spark, sf), "modelled", 0)
+    df = stage(folded(spark, sf), "modelled")
     train = sampling.downsample_negatives(df.filter("fold = 'train'"), RATIO)
     return df, train, models.train_model(train, MODEL_FEATURES, MODEL)
 
@@ -668,5 +668,5 @@ def train_and_evaluate(spark, sf):
         "features": {"enabled": MODEL_FEATURES},
         "debug": {"output_dir": f"{folder}/debug"},
     }
-    run_training(spark, config, bars=stage(hourly(spark, sf), "bars", 0))
+    run_training(spark, config, bars=stage(hourly(spark, sf), "bars"))
     return runs.run_summary(read_runs(spark, f"{folder}/runs")).drop("run_id", "timestamp")

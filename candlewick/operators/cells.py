@@ -5,8 +5,9 @@ whole group to one task. Rows are keyed by `levels`: ever finer keys, such as th
 days, 68 minutes, 4 seconds, ..., whose lexicographic order agrees with the sort order. A cell is a
 prefix of these keys. Cells that hold more than `max_rows` rows are split by the next level, so a block
 stays small however the rows are spread. What no level can split are copies of one row; they are merged
-and counted instead. The measured split affects balance only: every operator is
-exact under any split, including none at all, which is the plan for tables known to be small.
+and counted instead. A group that is not crowded itself stays one block: the group is the coarsest cell.
+The measured split affects balance only: every operator is exact under any split, including none at all.
+NULL is a key like any other.
 
 Levels and sort terms are SQL text over the columns of the frame.
 """
@@ -31,10 +32,10 @@ from candlewick.functions.sql import (
     second_fraction,
 )
 from candlewick.operators.copies import expand_copies, merge_copies
-from candlewick.session import SMALL_BYTES, is_small
+from candlewick.session import stage
 
 MAX_ROWS = 500_000  # rows one cell may hold before it is split
-MAX_SPLIT = 200_000  # split cells that may be broadcast
+BROADCAST_ROWS = 200_000  # rows of a table of cells that may be broadcast; beyond, it is shuffled
 TIME_STEP = 22  # width of a first-level time cell: 2^22 seconds
 
 
@@ -74,6 +75,35 @@ def hash_levels(key: str) -> list[str]:
     return [f"shiftright({key}, 54)", key]
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name; NULL equals NULL."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    rest = [q(c) for c in right.columns if c not in keys]
+    other = right.selectExpr(*[f"{q(k)} AS {n}" for k, n in zip(keys, names)], *rest)
+    same = F.lit(True)
+    for key, name in zip(keys, names):
+        same = same & F.col(q(key)).eqNullSafe(F.col(name))
+    return left.join(other, same, how).drop(*names)
+
+
+@dataclass(frozen=True)
+class Listed:
+    """A stored table of cells, and whether it is few enough rows to broadcast."""
+
+    rows: DataFrame
+    few: bool
+
+    @staticmethod
+    def of(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> Listed:
+        rows = stage(df, name)
+        return Listed(rows, rows.count() <= limit)
+
+    def matched(self, left: DataFrame, keys: Sequence[str], how: str = "inner", **more: str) -> DataFrame:
+        """`matched` with `left`; `more` are further columns, name=expression."""
+        right = self.rows.selectExpr("*", *[f"{e} AS {n}" for n, e in more.items()]) if more else self.rows
+        return matched(left, F.broadcast(right) if self.few else right, keys, how)
+
+
 @dataclass(frozen=True)
 class Cells:
     """Key of every row: group columns, levels, and for each level the cells to split further.
@@ -83,8 +113,8 @@ class Cells:
 
     groups: tuple[str, ...]
     levels: tuple[str, ...] = ()
-    split: tuple[DataFrame, ...] = ()
-    copies: DataFrame | None = None
+    split: tuple[Listed, ...] = ()
+    copies: Listed | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -97,8 +127,7 @@ class Cells:
         out = df.selectExpr("*", f"{self.levels[0]} AS _c0")
         for i, crowded in enumerate(self.split):
             keys = [*self.groups, *self.columns[: i + 1]]
-            flagged = F.broadcast(crowded.selectExpr("*", "true AS _split"))
-            out = out.join(flagged, keys, "left").selectExpr("*", f"{self.levels[i + 1]} AS _fine")
+            out = crowded.matched(out, keys, "left", _split="true").selectExpr("*", f"{self.levels[i + 1]} AS _fine")
             none = f"CAST(0 AS {out.schema['_fine'].dataType.simpleString()})"
             out = out.selectExpr("*", f"CASE WHEN _split THEN _fine ELSE {none} END AS _c{i + 1}")
             out = out.drop("_split", "_fine")
@@ -106,38 +135,29 @@ class Cells:
 
 
 def measure(
-    df: DataFrame,
-    groups: Sequence[str],
-    levels: Sequence[str],
-    *,
-    max_rows: int = MAX_ROWS,
-    max_split: int = MAX_SPLIT,
-    small_bytes: int = SMALL_BYTES,
+    df: DataFrame, groups: Sequence[str], levels: Sequence[str], *, max_rows: int = MAX_ROWS
 ) -> Cells:
-    """Count rows per cell and find the crowded ones, level by level; a small table stays whole.
+    """Count rows per group, then per cell, and find the crowded ones, level by level.
 
-    Reads only the key columns and combines counts map-side; as a rule one pass finds nothing to split.
-    At most rows / max_rows cells can be crowded. If even that is too many to broadcast, cells may grow.
+    Reads only the key columns and combines counts map-side. As a rule the first pass finds no crowded group.
+    At most rows / max_rows cells can be crowded; their list is a stored table, broadcast only if it is short.
     """
     groups = list(groups)
-    if is_small(df, small_bytes):
-        return Cells(tuple(groups))
     names = [f"_c{i}" for i in range(len(levels))]
     live = df.selectExpr(*map(q, groups), *[f"{lv} AS {name}" for lv, name in zip(levels, names)])
-    split: list[DataFrame] = []
+    if not live.groupBy(*groups).count().filter(f"count > {max_rows}").take(1):
+        return Cells(tuple(groups))
+    split: list[Listed] = []
     for depth in range(len(levels)):
         keys = [*groups, *names[: depth + 1]]
         crowded = live.groupBy(*keys).count().filter(f"count > {max_rows}").drop("count")
-        found = crowded.limit(max_split + 1).collect()
-        if not found:
+        part = Listed.of(crowded, "crowded")
+        if not part.rows.take(1):
             break
-        if len(found) > max_split:
-            return measure(df, groups, levels, max_rows=max_rows * 4, max_split=max_split, small_bytes=0)
-        part = df.sparkSession.createDataFrame(found, crowded.schema)
         if depth == len(levels) - 1:
             return Cells(tuple(groups), tuple(levels), tuple(split), part)
         split.append(part)
-        live = live.join(F.broadcast(part), keys, "left_semi")
+        live = part.matched(live, keys, "left_semi")
     return Cells(tuple(groups), tuple(levels), tuple(split))
 
 
@@ -183,16 +203,16 @@ def _over_copies(df, build, before, after, series, order, cells: Cells) -> DataF
     such a run are kept in full, and one row stands for its middle.
     """
     tagged, keys = cells.assign(df), [*series, *cells.columns]
-    listed = F.broadcast(cells.copies)
     ends = before + after
-    runs = merge_copies(tagged.join(listed, keys, "left_semi").select(*tagged.columns)).selectExpr(
+    crowded = cells.copies.matched(tagged, keys, "left_semi")
+    runs = merge_copies(crowded.select(*tagged.columns)).selectExpr(
         "*", f"explode(sequence(1L, least(_times, {2 * ends + 1}L))) AS _copy"
     )
     middle = f"_copy = {ends + 1} AND _times > {2 * ends + 1}"
     runs = runs.selectExpr(
         *map(q, tagged.columns), "_copy", f"CASE WHEN {middle} THEN _times - {2 * ends} ELSE 1L END AS _times"
     )
-    rest = tagged.join(listed, keys, "left_anti").selectExpr(*map(q, tagged.columns), "1L AS _copy", "1L AS _times")
+    rest = cells.copies.matched(tagged, keys, "left_anti").selectExpr(*map(q, tagged.columns), "1L AS _copy", "1L AS _times")
     out = _over_blocks(rest.unionByName(runs), build, before, after, series, [*order, "_copy"], cells)
     names = [name for name in out.columns if name not in ("_copy", "_times")]
     again = expand_copies(out.filter("_times > 1").drop("_copy"))
@@ -228,12 +248,28 @@ def _over_blocks(frame, build, before, after, series, order, cells: Cells) -> Da
 
 def block_offsets(blocks: DataFrame, groups: Sequence[str], columns: Sequence[str], **sums: str) -> DataFrame:
     """Sums over the earlier blocks of the group, from a table of one row per block: `_ahead` of the
-    block sizes `_n`, and further ones as new_name=column."""
-    window = over(map(q, groups), map(q, columns), BEFORE)
+    block sizes `_n`, and further ones as new_name=column.
+
+    Added up level by level: blocks within their parent, parents within theirs, so that no task sees all blocks
+    of a large group.
+    """
     wanted = {"_ahead": "_n", **sums}
-    return blocks.selectExpr(
+    if not columns:
+        return blocks.selectExpr("*", *[f"0L AS {name}" for name in wanted])
+    *above, last = columns
+    window = over(map(q, [*groups, *above]), [q(last)], BEFORE)
+    inside = blocks.selectExpr(
         "*", *[f"coalesce(sum({column}) {window}, 0L) AS {name}" for name, column in wanted.items()]
     )
+    if not above:
+        return inside
+    keys, depth = [*groups, *above], len(columns)
+    ups = [f"_up{depth}_{i}" for i in range(len(wanted))]
+    totals = {f"_sum{depth}_{i}": column for i, column in enumerate(wanted.values())}
+    parents = blocks.groupBy(*keys).agg(*[F.expr(f"sum({column}) AS {name}") for name, column in totals.items()])
+    parents = block_offsets(parents.withColumn("_n", F.lit(0)), groups, above, **dict(zip(ups, totals)))
+    joined = matched(inside, parents.select(*keys, *ups), keys)
+    return joined.selectExpr(*map(q, blocks.columns), *[f"{name} + {up} AS {name}" for name, up in zip(wanted, ups)])
 
 
 def add_position(
@@ -252,17 +288,16 @@ def add_position(
     offsets = block_offsets(blocks, groups, cells.columns).drop("_n")
     runs = None
     if cells.copies is not None and len(sortable(df)) == len(df.columns):
-        listed = F.broadcast(cells.copies)
         upto = f"sum(_times) {over(map(q, keys), [*order, *map(q, df.columns)], UPTO)} - _times AS _before"
-        merged = merge_copies(tagged.join(listed, keys, "left_semi").select(*tagged.columns))
+        merged = merge_copies(cells.copies.matched(tagged, keys, "left_semi").select(*tagged.columns))
         runs = expand_copies(merged.selectExpr("*", upto)).selectExpr(
             *map(q, tagged.columns), "_before + _copy AS _row"
         )
-        tagged = tagged.join(listed, keys, "left_anti").select(*tagged.columns)
+        tagged = cells.copies.matched(tagged, keys, "left_anti").select(*tagged.columns)
     inside = tagged.selectExpr("*", f"{number} AS _row")
     if runs is not None:
         inside = inside.unionByName(runs)
-    return inside.join(offsets, keys).selectExpr(*map(q, df.columns), f"_ahead + _row AS {q(name)}")
+    return matched(inside, offsets, keys).selectExpr(*map(q, df.columns), f"_ahead + _row AS {q(name)}")
 
 
 def first_rows(
@@ -272,7 +307,6 @@ def first_rows(
     order: Sequence[str],
     levels: Sequence[str],
     max_rows: int = MAX_ROWS,
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """The first n rows of a total order, for n of any size, without sorting a large table.
 
@@ -280,8 +314,6 @@ def first_rows(
     Counts per cell show which cell the cut falls into; while that cell is crowded, only its rows are
     counted again by the next level. Cells before the cut are kept whole, and one cell is sorted.
     """
-    if is_small(df, small_bytes):
-        return df.orderBy(*[F.expr(term) for term in order]).limit(n)
     names = [f"_c{i}" for i in range(len(levels))]
     keyed = df.selectExpr("*", *[f"{lv} AS {name}" for lv, name in zip(levels, names)])
     ahead = F.lit(False)  # rows certainly inside
@@ -290,7 +322,7 @@ def first_rows(
     for name in names:
         counts = keyed.filter(inside).groupBy(name).agg(F.expr("count(1) AS _n"))
         cut = (
-            block_offsets(counts, [], [name])
+            counts.selectExpr("*", f"coalesce(sum(_n) {over([], [name], BEFORE)}, 0L) AS _ahead")
             .filter(f"_ahead < {left} AND _ahead + _n >= {left}")
             .collect()
         )

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.sql import UPTO, WHOLE, candidate_count, over, q, safe_ratio, text
+from candlewick.functions.sql import UPTO, candidate_count, over, q, safe_ratio, text
 from candlewick.operators.cells import (
-    add_position,
+    Listed,
     block_offsets,
+    matched,
     measure,
+    row_hash,
     score_levels,
     time_levels,
 )
@@ -21,7 +23,6 @@ from candlewick.operators.ranking import SCORE, score_order
 
 TOP_K = (0.5, 1.0, 2.0)
 PRECISION = ("k_percent", "candidate_count", "candidate_rate", "precision_at_k", "baseline")
-MAX_CUTS = 100_000  # (group, k) pairs whose cut may be broadcast
 
 
 def _each_k(top_k: Sequence[float]) -> str:
@@ -44,109 +45,94 @@ def precision_at_k(
     label: str = LABEL,
     time: str = "datetime",
     series: Sequence[str] = ("series",),
-    max_cuts: int = MAX_CUTS,
     **split,
 ) -> DataFrame:
     """Share of positives among the best k percent of each group, for every group and k.
 
-    No sort of the table: rows are counted per score cell (combined map-side). Cells above a cut count
-    in full. Only the one cell per (group, k) that the cut runs through is ordered row by row.
-    `df` is scanned three times, each time for a few columns, so hand in a stored table (see `stage`). A
-    small table is ranked directly. Further keywords go to `measure`.
+    The best rows are those that `add_rank` puts first, whatever the ties. No sort of the table: rows are counted
+    per score cell (combined map-side). Cells above a cut count in full. Only the one cell per (group, k) that the
+    cut runs through is ordered row by row. `df` is scanned three times, twice for a few columns, so hand in a
+    stored table (see `stage`). NULL is a group like any other. Without any k there are no rows. Further keywords
+    go to `measure`.
     """
+    return _precision(df, top_k, by, score, label, time, series, split).drop("rows")
+
+
+def _precision(df, top_k, by, score, label, time, series, split) -> DataFrame:
+    """`precision_at_k` with the rows of each group."""
     by = list(by)
     series = [name for name in series if name not in by]
     slim = df.select(*by, score, label, time, *series)
     cells = measure(slim, by, [*score_levels(score), *time_levels(df, time)], **split)
-    order = score_order(score, time, series)
-    if not cells.columns:
-        return _precision_in_place(slim, top_k, by, label, order)
-    tagged = cells.assign(slim)
     keys = [*by, *cells.columns]
-    blocks = tagged.groupBy(*keys).agg(
-        F.expr("count(1) AS _n"), F.expr(f"sum(CAST({q(label)} AS BIGINT)) AS _pos")
+    blocks = cells.assign(slim).groupBy(*keys).agg(
+        F.expr("count(1) AS _n"), F.expr(f"coalesce(sum(CAST({q(label)} AS BIGINT)), 0L) AS _pos")
     )
-    group = over(map(q, by), map(q, cells.columns), WHOLE)
-    cuts = (
-        block_offsets(blocks, by, cells.columns, _pos_ahead="_pos")
-        .selectExpr("*", f"sum(_n) {group} AS _rows", f"sum(_pos) {group} AS _positives")
-        .selectExpr("*", _each_k(top_k))
+    totals = blocks.groupBy(*by).agg(F.expr("sum(_n) AS _rows"), F.expr("sum(_pos) AS _positives"))
+    each_k = _each_k(top_k) if top_k else "explode(CAST(array() AS ARRAY<DOUBLE>)) AS k_percent"
+    cuts = Listed.of(
+        matched(block_offsets(blocks, by, cells.columns, _pos_ahead="_pos"), totals, by)
+        .selectExpr("*", each_k)
         .selectExpr("*", f"{candidate_count('_rows', 'k_percent')} AS candidate_count")
         .selectExpr("*", "least(candidate_count, _rows) AS _last")
         .filter("_ahead < _last AND _ahead + _n >= _last")
         .selectExpr("*", "_last - _ahead AS _take")
-        .drop("_n", "_pos")
+        .drop("_n", "_pos"),
+        "cuts",
     )
-    found = cuts.limit(max_cuts + 1).collect()  # one row per (group, k)
-    if len(found) > max_cuts:
-        ranked = add_position(slim, "_rank", groups=by, order=order, cells=cells)
-        return _precision_by_rank(ranked, top_k, by, label)
-    cuts = df.sparkSession.createDataFrame(found, cuts.schema)
     # equal rows are merged before they are ordered, so copies of one row cannot pile up in a task
-    cut_cells = F.broadcast(cuts.select(*keys).distinct())
+    order = [*score_order(score, time, series), "_rest"]
+    rest = row_hash(df, [*by, score, time, *series])
+    tagged = cells.assign(df.selectExpr(*map(q, slim.columns), f"{rest} AS _rest"))
+    cut_cells = Listed(cuts.rows.select(*keys).distinct(), cuts.few)
     merged = (
-        tagged.join(cut_cells, keys, "left_semi")
-        .groupBy(*keys, score, time, *series, label)
+        cut_cells.matched(tagged, keys, "left_semi")
+        .groupBy(*keys, score, time, *series, "_rest", label)
         .agg(F.expr("count(1) AS _n"))
+        .selectExpr("*", f"sum(_n) {over(map(q, keys), order, UPTO)} AS _upto")
     )
-    upto = f"sum(_n) {over(map(q, keys), [*order, q(label)], UPTO)} AS _upto"
     kept = f"greatest(0L, least(_n, _take - (_upto - _n))) * CAST({q(label)} AS BIGINT)"
     inside = (
-        merged.selectExpr("*", upto)
-        .join(F.broadcast(cuts.select(*keys, "k_percent", "_take")), keys)
+        Listed(cuts.rows.select(*keys, "k_percent", "_take"), cuts.few)
+        .matched(merged, keys)
         .groupBy(*by, "k_percent")
         .agg(F.expr(f"sum({kept}) AS _inside"))
     )
-    return cuts.join(F.broadcast(inside), [*by, "k_percent"], "left").selectExpr(
+    return matched(cuts.rows, inside, [*by, "k_percent"], "left").selectExpr(
         *map(q, by),
         "k_percent",
         "candidate_count",
         "CAST(candidate_count AS DOUBLE) / CAST(_rows AS DOUBLE) AS candidate_rate",
         f"{safe_ratio('_pos_ahead + coalesce(_inside, 0L)', '_last')} AS precision_at_k",
         f"{safe_ratio('_positives', '_rows')} AS baseline",
+        "_rows AS rows",
     )
 
 
-def _precision_by_rank(ranked: DataFrame, top_k, by, label) -> DataFrame:
-    """Precision for more groups than may be broadcast, from the rank of every row."""
-    cuts = (
-        group_totals(ranked, by, label)
-        .selectExpr("*", _each_k(top_k))
-        .selectExpr("*", f"{candidate_count('rows', 'k_percent')} AS candidate_count")
-    )
-    return _hit_rate(ranked.join(cuts, by).filter("_rank <= candidate_count"), by, label)
-
-
-def _precision_in_place(slim: DataFrame, top_k, by, label, order) -> DataFrame:
-    """Precision of a small table: one sort per group serves the rank, the size and the baseline."""
-    keys = list(map(q, by))
-    ranked = (
-        slim.selectExpr(
-            "*",
-            f"row_number() {over(keys, order)} AS _rank",
-            f"count(1) {over(keys, order, WHOLE)} AS rows",
-            f"avg(CAST({q(label)} AS DOUBLE)) {over(keys, order, WHOLE)} AS baseline",
-        )
-        .selectExpr("*", _each_k(top_k))
-        .selectExpr("*", f"{candidate_count('rows', 'k_percent')} AS candidate_count")
-    )
-    return _hit_rate(ranked.filter("_rank <= candidate_count"), by, label)
-
-
-def _hit_rate(candidates: DataFrame, by, label) -> DataFrame:
-    return (
-        candidates.groupBy(*by, "k_percent", "candidate_count", "rows", "baseline")
-        .agg(F.expr(f"avg(CAST({q(label)} AS DOUBLE)) AS precision_at_k"))
-        .selectExpr("*", "CAST(candidate_count AS DOUBLE) / CAST(rows AS DOUBLE) AS candidate_rate")
-        .select(*by, *PRECISION)
-    )
-
+def fold_evaluation(
+    df: DataFrame,
+    top_k: Sequence[float] = TOP_K,
+    *,
+    by: Sequence[str] = ("fold",),
+    expected: Sequence[str] = (),
+    score: str = SCORE,
+    label: str = LABEL,
+    time: str = "datetime",
+    series: Sequence[str] = ("series",),
+    **split,
+) -> DataFrame:
+    """One row per fold and k: rows and baseline of the fold beside its precision at k.
 
-def fold_evaluation(df: DataFrame, top_k: Sequence[float] = TOP_K, **options) -> DataFrame:
-    """One row per fold and k: rows and baseline of the fold beside its precision at k."""
-    by = list(options.get("by", ("fold",)))
-    rows = group_totals(df, by, options.get("label", LABEL)).select(*by, "rows")
-    return precision_at_k(df, top_k, **options).join(rows, by)
+    Values in `expected`, of a single grouping column, that have no rows are reported with zeros.
+    """
+    found = _precision(df, top_k, by, score, label, time, series, split)
+    if not expected or not top_k:
+        return found
+    pairs = [(name, float(k)) for name in expected for k in top_k]
+    wanted = df.sparkSession.createDataFrame(pairs, f"{q(by[0])} string, k_percent double")
+    absent = matched(wanted, found.select(by[0]).distinct(), list(by), "left_anti")
+    zeros = "0L AS candidate_count, 0.0D AS candidate_rate, 0.0D AS precision_at_k, 0.0D AS baseline, 0L AS rows"
+    return found.unionByName(absent.selectExpr("*", *zeros.split(", ")))
 
 
 def nest_precision(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -162,7 +148,9 @@ def event_statistics(df: DataFrame, *, by: Sequence[str] = ("fold",), label: str
         f"avg(CASE WHEN {q(name)} = 1 THEN CAST({q(label)} AS DOUBLE) END) AS trade_rate)"
         for name in event_names(df)
     ]
-    totals = df.groupBy(*by).agg(F.expr("count(1) AS _rows"), F.expr(f"array({', '.join(events)}) AS _e"))
+    kind = "ARRAY<STRUCT<event_name: STRING, frequency: BIGINT, trade_rate: DOUBLE>>"
+    made = f"CAST(array({', '.join(events)}) AS {kind})" if events else f"CAST(array() AS {kind})"
+    totals = df.groupBy(*by).agg(F.expr("count(1) AS _rows"), F.expr(f"{made} AS _e"))
     keys = list(map(q, by))
     return (
         totals.selectExpr(*keys, "_rows", "inline(_e)")
@@ -183,6 +171,13 @@ def event_precision(
 def event_diagnostics(
     df: DataFrame, top_k: Sequence[float] = TOP_K, *, by: Sequence[str] = ("fold",), **options
 ) -> DataFrame:
-    """Event statistics beside the precision at k inside the event, one row per fold, event and k."""
+    """Event statistics beside the precision at k inside the event, one row per fold, event and k.
+
+    Without event columns there are no rows.
+    """
     stats = event_statistics(df, by=by, label=options.get("label", LABEL))
-    return event_precision(df, top_k, by=by, **options).join(stats, [*by, "event_name"])
+    if not event_names(df):
+        empty = "k_percent double, candidate_count long, candidate_rate double, precision_at_k double, baseline double"
+        none = df.sparkSession.createDataFrame([], empty)
+        return stats.crossJoin(none).select(*by, "event_name", *PRECISION, "frequency", "event_rate", "trade_rate")
+    return matched(event_precision(df, top_k, by=by, **options), stats, [*by, "event_name"])

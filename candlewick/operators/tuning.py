@@ -20,7 +20,7 @@ from candlewick.operators.folds import expanding_role, number_rows
 from candlewick.operators.labels import LABEL
 from candlewick.operators.models import score, train_model
 from candlewick.operators.ranking import SCORE
-from candlewick.session import SMALL_BYTES, stage
+from candlewick.session import stage
 
 MAX_COMBINATIONS = 200
 
@@ -63,7 +63,6 @@ def grid_search(
     series: Sequence[str] = ("series",),
     time: str = "datetime",
     parallelism: int = 2,
-    small_bytes: int = SMALL_BYTES,
 ) -> SearchResult:
     """Fit every combination on every split; the highest mean F1 wins, the first of equals.
 
@@ -73,8 +72,8 @@ def grid_search(
     points = grid_points(grid)
     started = clock.monotonic()
     wanted = dict.fromkeys([*features, label, time, *series])
-    numbered = number_rows(df.select(*wanted), series=series, time=time, small_bytes=small_bytes)
-    numbered = stage(numbered.select(*dict.fromkeys([*features, label]), "position"), "grid", 0)
+    numbered = number_rows(df.select(*wanted), series=series, time=time)
+    numbered = stage(numbered.select(*dict.fromkeys([*features, label]), "position"), "grid")
     rows = numbered.count()
     if rows < splits + 1:
         raise ValueError(f"Cannot make {splits} splits of {rows} rows")

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-SMALL_BYTES = 32 * 1024 * 1024  # below this, one task may hold a whole group
-
-
 def local_session(cpus: int | str = "*", app: str = "candlewick", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -33,7 +30,7 @@ def local_session(cpus: int | str = "*", app: str = "candlewick", **conf: str) -
 def work_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master, where driver and executors are one process, may take a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,34 +38,23 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="candlewick-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
 
 
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether Spark's own size estimate of the plan stays below `limit` bytes.
-
-    Decides between a plain plan and one that costs extra passes but splits large groups. Both give the
-    same rows, so the estimate need not be exact; without one the table counts as large.
-    """
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < limit
-    except AttributeError:
-        return False
-
-
-def stage(df: DataFrame, name: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Write `df` once to the work folder and read it back, unless it is small.
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the work folder and read it back.
 
     Used where a result is scanned several times (ranking, repeated fits): it cuts the lineage,
     survives the loss of executors, and stays columnar, so later scans read only their columns.
+    The table goes when the application ends.
     """
-    if is_small(df, small_bytes):
-        return df
     spark = df.sparkSession
     path = f"{work_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,9 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from candlewick.operators.copies import expand_copies
 from candlewick.operators.evaluation import (
     event_diagnostics,
     event_statistics,
@@ -11,12 +13,19 @@ from candlewick.operators.evaluation import (
     nest_precision,
     precision_at_k,
 )
-from candlewick.operators.folds import check_folds, complete_rows, expanding_splits, fold_summary, time_split
+from candlewick.operators.folds import (
+    check_folds,
+    complete_rows,
+    expanding_splits,
+    fold_summary,
+    number_bars,
+    time_split,
+)
 from candlewick.operators.ranking import add_rank
 from candlewick.operators.sampling import downsample_negatives, sample_rows, sampling_summary
 from helpers import START, linear_bars, same_rows
 
-SPLIT = {"small_bytes": 0, "max_rows": 30}
+SPLIT = {"max_rows": 30}
 
 
 def labelled(spark, values):
@@ -82,7 +91,7 @@ def test_sample_of_exact_size(spark, n):
     df = scored(spark, 300)
     plain = sample_rows(df, n)
     assert plain.count() == min(n, 300)
-    same_rows(plain, sample_rows(df, n, small_bytes=0, max_rows=1))
+    same_rows(plain, sample_rows(df, n, max_rows=1))
 
 
 def test_sample_among_copies(spark):
@@ -90,7 +99,7 @@ def test_sample_among_copies(spark):
     copies = bars
     for _ in range(5):
         copies = copies.unionByName(bars)
-    assert sample_rows(copies, 25, small_bytes=0, max_rows=1).count() == 25
+    assert sample_rows(copies, 25, max_rows=1).count() == 25
 
 
 def test_rank_and_precision_example(spark):
@@ -100,7 +109,7 @@ def test_rank_and_precision_example(spark):
         "series STRING, datetime TIMESTAMP_NTZ, fold STRING, p_opportunity DOUBLE, target_opportunity INT",
     )
     assert [r["rank_opportunity"] for r in add_rank(df).orderBy("datetime").collect()] == [3, 1, 2, 4]
-    for split in ({}, {"small_bytes": 0}):
+    for split in ({}, {"max_rows": 7}):
         row = precision_at_k(df, [50], **split).head()
         assert (row["candidate_count"], row["precision_at_k"], row["baseline"]) == (2, 1.0, 0.5)
 
@@ -108,9 +117,9 @@ def test_rank_and_precision_example(spark):
 def test_rank_of_copies(spark):
     df = scored(spark, 60)
     copies = df.unionByName(df.limit(1).selectExpr("*", "explode(sequence(1, 300)) AS i").drop("i"))
-    cut = add_rank(copies, small_bytes=0, max_rows=4)
+    cut = add_rank(copies, max_rows=4)
     same_rows(add_rank(copies), cut)
-    for split in ({}, {"small_bytes": 0, "max_rows": 4}):
+    for split in ({}, {"max_rows": 4}):
         got = precision_at_k(copies, [50], **split).orderBy("fold").collect()
         want = brute_force(copies.collect(), [50])
         assert [r["precision_at_k"] for r in got] == pytest.approx([want[r["fold"], 50.0][2] for r in got])
@@ -135,7 +144,7 @@ def brute_force(rows, ks):
 
 
 @pytest.mark.parametrize("ties", [True, False])
-@pytest.mark.parametrize("split", [{}, {"small_bytes": 0}, SPLIT, {**SPLIT, "max_cuts": 1}])
+@pytest.mark.parametrize("split", [{}, {"max_rows": 7}, SPLIT])
 def test_precision_against_brute_force(spark, ties, split):
     df = scored(spark, ties=ties)
     ks = [0.5, 1, 7, 33.3, 100, 150]
@@ -162,8 +171,8 @@ def test_rank_in_cells(spark, ties):
 
 def test_rows_without_a_score_rank_last(spark):
     df = scored(spark, 50).selectExpr("* EXCEPT (p_opportunity)", "nullif(p_opportunity, 0.5D) AS p_opportunity")
-    same_rows(add_rank(df), add_rank(df, small_bytes=0, max_rows=3))
-    assert add_rank(df, small_bytes=0).count() == 50
+    same_rows(add_rank(df), add_rank(df, max_rows=3))
+    assert add_rank(df).count() == 50
 
 
 def test_evaluation_and_events(spark):
@@ -185,7 +194,7 @@ def test_evaluation_and_events(spark):
 
 def test_expanding_splits(spark):
     df = labelled(spark, [0] * 11)
-    for split in ({}, {"small_bytes": 0, "max_rows": 2}):
+    for split in ({}, {"max_rows": 2}):
         rows = expanding_splits(df, 3, **split).collect()
         for i in range(3):
             test = sorted(r["position"] for r in rows if r["split"] == i and r["role"] == "test")
@@ -194,3 +203,57 @@ def test_expanding_splits(spark):
             assert test == [start, start + 1] and train == list(range(start))
     with pytest.raises(ValueError, match="Cannot make"):
         expanding_splits(df.limit(2), 3)
+
+
+def untidy(spark):
+    """400 rows, a quarter without fold, a third without series, with few different scores."""
+    return spark.range(400).selectExpr(
+        "CASE WHEN id % 4 <> 0 THEN concat('f', id % 3) END AS fold",
+        "CASE WHEN id % 3 <> 0 THEN concat('s', id % 2) END AS series",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id DIV 2 AS INT)) AS datetime",
+        "CAST(id % 7 AS DOUBLE) / 7 AS p_opportunity",
+        "CAST(id % 5 = 0 AS INT) AS target_opportunity",
+    )
+
+
+def test_null_groups_keep_their_rows_under_any_split(spark):
+    df = untidy(spark)
+    for split in ({"max_rows": 3}, {"max_rows": 40}):
+        same_rows(add_rank(df), add_rank(df, **split))
+        same_rows(number_bars(df), number_bars(df, **split))
+        same_rows(fold_evaluation(df, [1, 10, 50]), fold_evaluation(df, [1, 10, 50], **split))
+    assert add_rank(df, max_rows=3).count() == 400
+    assert {r["fold"]: r["rows"] for r in fold_evaluation(df, [10], max_rows=3).collect()}[None] == 100
+
+
+def test_precision_counts_the_rows_that_rank_first(spark):
+    tied = spark.range(40).selectExpr(
+        "'a' AS series", "'val' AS fold", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS datetime", "0.5D AS p_opportunity",
+        "CAST(id % 3 = 0 AS INT) AS target_opportunity", "id",
+    )
+    for df in (tied, untidy(spark)):
+        ranked = add_rank(df).collect()
+        for fold in {r["fold"] for r in ranked}:
+            rows = [r for r in ranked if r["fold"] == fold]
+            n = -(-len(rows) * 25 // 100)
+            hits = sum(r["target_opportunity"] for r in rows if r["rank_opportunity"] <= n)
+            for split in ({}, {"max_rows": 2}):
+                got = precision_at_k(df, [25], **split).filter(F.col("fold").eqNullSafe(fold)).head()
+                assert (got["candidate_count"], got["precision_at_k"]) == (n, hits / n)
+
+
+def test_expected_folds_and_missing_events(spark):
+    df = untidy(spark).filter("fold = 'f1'")
+    rows = {r["fold"]: r for r in fold_evaluation(df, [10], expected=["f1", "f2"]).collect()}
+    assert rows["f1"]["rows"] > 0
+    assert rows["f2"][1:] == (10.0, 0, 0.0, 0.0, 0.0, 0)
+    assert event_diagnostics(df, [10]).count() == 0
+    assert precision_at_k(df, []).count() == 0
+
+
+def test_copies_are_written_by_many_tasks(spark):
+    merged = spark.range(200).selectExpr("id", "1500L AS _times")
+    out = expand_copies(merged.repartition(1))
+    sizes = out.repartition(16, "id").count(), out.selectExpr("spark_partition_id() AS p").distinct().count()
+    assert sizes[0] == 300_000
+    assert sizes[1] > 1

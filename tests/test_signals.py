@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from candlewick.operators.cells import measure, over_series, time_levels
+from candlewick.operators.cells import Listed, measure, over_series, time_levels
 from candlewick.operators.events import add_events, event_summary
 from candlewick.operators.features import (
     BASE_FEATURES,
@@ -57,7 +57,7 @@ def expected(frame, horizon, threshold):
     return f
 
 
-@pytest.mark.parametrize("split", [{}, {"small_bytes": 0}, {"small_bytes": 0, "max_rows": 40, "step": 13}])
+@pytest.mark.parametrize("split", [{}, {"max_rows": 7}, {"max_rows": 40, "step": 13}])
 def test_signals_match_the_definitions(spark, split):
     bars = random_bars(spark, {"a": 700, "b": 90, "c": 3, "d": 61}, gap=5)
     got = add_signals(bars, 7, 0.01, **split).toPandas()
@@ -73,7 +73,7 @@ def test_signals_match_the_definitions(spark, split):
 
 def test_one_hot_series_is_split_and_exact(spark):
     bars = random_bars(spark, {"hot": 3000, "cold": 30})
-    cells = measure(bars, ["series"], time_levels(bars, "datetime", 13), max_rows=50, small_bytes=0)
+    cells = measure(bars, ["series"], time_levels(bars, "datetime", 13), max_rows=50)
     assert len(cells.split) >= 1
     biggest = cells.assign(bars).groupBy("series", *cells.columns).count().agg({"count": "max"}).head()[0]
     assert biggest <= 50
@@ -84,7 +84,7 @@ def test_repeated_times_keep_every_row(spark):
     bars = linear_bars(spark, 90)
     doubled = bars.unionByName(bars.selectExpr("series", "datetime", "open", "high + 1 AS high", "low", "close"))
     plain = add_signals(doubled)
-    cut = add_signals(doubled, small_bytes=0, max_rows=8, step=10)
+    cut = add_signals(doubled, max_rows=8, step=10)
     assert cut.count() == 180
     same_rows(plain, cut)
 
@@ -92,19 +92,19 @@ def test_repeated_times_keep_every_row(spark):
 def test_identical_copies_keep_every_row(spark):
     bars = linear_bars(spark, 80)
     copies = bars.unionByName(bars).unionByName(bars)
-    same_rows(add_signals(copies), add_signals(copies, small_bytes=0, max_rows=8, step=10))
+    same_rows(add_signals(copies), add_signals(copies, max_rows=8, step=10))
 
 
 def test_many_copies_of_one_bar(spark):
     bars = random_bars(spark, {"a": 200, "b": 90})
     one = bars.filter("series = 'a'").orderBy("datetime").limit(100).orderBy("datetime", ascending=False).limit(1)
     copies = bars.unionByName(one.selectExpr("*", "explode(sequence(1, 500)) AS i").drop("i"))
-    cells = measure(copies, ["series"], ["shiftright(unix_timestamp(datetime), 8)", "unix_timestamp(datetime)"], max_rows=80, small_bytes=0)
+    cells = measure(copies, ["series"], ["shiftright(unix_timestamp(datetime), 8)", "unix_timestamp(datetime)"], max_rows=80)
     assert cells.copies.count() == 1
-    cut = add_signals(copies, max_rows=80, small_bytes=0, step=8)
+    cut = add_signals(copies, max_rows=80, step=8)
     assert cut.count() == 790
     same_rows(add_signals(copies), cut)
-    numbered = number_bars(copies, max_rows=80, small_bytes=0, step=8)
+    numbered = number_bars(copies, max_rows=80, step=8)
     assert sorted(r[0] for r in numbered.filter("series = 'a'").select("bar_idx").collect()) == list(range(700))
     same_rows(number_bars(copies), numbered)
 
@@ -112,8 +112,8 @@ def test_many_copies_of_one_bar(spark):
 def test_many_ties_that_differ(spark):
     bars = random_bars(spark, {"a": 150})
     tied = bars.selectExpr("* EXCEPT (datetime)", "TIMESTAMP_NTZ'2025-01-01' + make_dt_interval(0, 0, CAST(close AS INT) % 3) AS datetime")
-    same_rows(add_signals(tied), add_signals(tied, max_rows=5, small_bytes=0, step=12))
-    same_rows(number_bars(tied), number_bars(tied, max_rows=5, small_bytes=0))
+    same_rows(add_signals(tied), add_signals(tied, max_rows=5, step=12))
+    same_rows(number_bars(tied), number_bars(tied, max_rows=5))
 
 
 def test_times_around_1970(spark):
@@ -121,7 +121,7 @@ def test_times_around_1970(spark):
     times += ["1970-01-01 00:00:0" + t for t in ("0", "0.000001", "0.2", "1")]
     bars = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(times)], "series STRING, t STRING, close DOUBLE")
     bars = bars.selectExpr("series", "CAST(t AS TIMESTAMP_NTZ) AS datetime", "close")
-    got = number_bars(bars, small_bytes=0, max_rows=1).collect()
+    got = number_bars(bars, max_rows=1).collect()
     assert all(r["bar_idx"] == r["close"] for r in got)
 
 
@@ -129,14 +129,16 @@ def test_series_without_name(spark):
     bars = random_bars(spark, {"a": 300}).drop("series")
     build = lambda df, window: range_mean(df, "m", window, 20)
     plain = over_series(bars, build, before=19, series=())
-    same_rows(plain, over_series(bars, build, before=19, series=(), small_bytes=0, max_rows=30, step=11))
+    same_rows(plain, over_series(bars, build, before=19, series=(), max_rows=30, step=11))
 
 
-def test_more_crowded_cells_than_may_be_broadcast(spark):
-    bars = random_bars(spark, {"a": 400})
-    levels = time_levels(bars, "datetime", 10)
-    few = measure(bars, ["series"], levels, max_rows=1, max_split=2, small_bytes=0)
-    assert all(part.count() <= 2 for part in few.split)
+def test_more_crowded_cells_than_may_be_broadcast(spark, monkeypatch):
+    bars = random_bars(spark, {"a": 400, "b": 30})
+    want = number_bars(bars)
+    monkeypatch.setattr(Listed.of, "__defaults__", (1,))
+    cells = measure(bars, ["series"], time_levels(bars, "datetime", 10), max_rows=2)
+    assert not any(part.few for part in cells.split)
+    same_rows(want, number_bars(bars, max_rows=2, step=10))
 
 
 def test_warm_up(spark):
@@ -186,7 +188,7 @@ def test_zero_price_gives_null_not_an_error(spark):
 
 def test_row_index(spark):
     bars = random_bars(spark, {"a": 500, "b": 20})
-    split = number_bars(bars, small_bytes=0, max_rows=30, step=12)
+    split = number_bars(bars, max_rows=30, step=12)
     same_rows(number_bars(bars), split)
     assert sorted(r[0] for r in split.filter("series = 'a'").select("bar_idx").collect()) == list(range(500))
 
