@@ -177,6 +177,50 @@ logged AS (
 """
 CELLS = "k_label, precision_at_k, candidate_rate, candidate_count"
 
+# many ties, rows without fold, a series without name; NULL comes first, as in Spark
+UNTIDY = f"""{SCORED}, untidy AS (SELECT nullif(series, 'click') AS series, datetime,
+  CASE WHEN extract(hour FROM datetime) % 4 <> 0 THEN fold END AS fold,
+  floor(p_opportunity * CAST(4 AS DOUBLE)) / CAST(4 AS DOUBLE) AS p_opportunity, target_opportunity FROM scored)"""
+ORDER_UNTIDY = "p_opportunity DESC, datetime, series NULLS FIRST"
+RANK_UNTIDY = f"""{UNTIDY} SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {ORDER_UNTIDY}) AS rank_opportunity
+  FROM untidy"""
+EVALUATION_UNTIDY = f"""{UNTIDY}, {precision_cte('prec', 'untidy', 'fold').replace('datetime, series)', 'datetime, series NULLS FIRST)')},
+  sizes AS (SELECT fold, count(*) AS n FROM untidy GROUP BY 1)
+  SELECT prec.*, n AS rows FROM prec JOIN sizes ON prec.fold IS NOT DISTINCT FROM sizes.fold"""
+
+
+def leaf(weight: str, source: str = "sampled") -> str:
+    """A tree of depth 1 on a flag: the weighted mean of labels in {-1, 1} per value."""
+    w = f"CASE WHEN target_opportunity = 1 THEN CAST({weight} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
+    return f"""SELECT event_vol_spike AS flag, sum({w}) AS weight,
+    sum({w} * (2 * target_opportunity - 1)) / sum({w}) AS leaf FROM {source}"""
+
+
+STUMP = f"""{SAMPLED}, fit AS ({leaf('4')} GROUP BY 1),
+base AS (SELECT sum(weight * leaf) / sum(weight) AS margin FROM fit),
+modelled AS (SELECT f.*, leaf, {fixed('1 / (1 + exp(-2 * leaf))')} AS p_opportunity,
+  1 / (1 + exp(-2 * leaf)) AS p FROM folded f JOIN fit ON flag = event_vol_spike)"""
+STUMP_EVALUATION = f"""{STUMP}, judged AS (SELECT * FROM modelled WHERE fold <> 'train' UNION ALL
+  SELECT m.* FROM modelled m JOIN sampled s ON m.series = s.series AND m.datetime = s.datetime WHERE m.fold = 'train'),
+  {precision_cte('prec', 'judged', 'fold')}
+  SELECT prec.*, n AS rows FROM prec JOIN (SELECT fold, count(*) AS n FROM judged GROUP BY 1) USING (fold)"""
+PHI = f"SELECT m.series, m.datetime, 'event_vol_spike' AS feature, 2 * (leaf - margin) AS phi FROM modelled m, base WHERE fold = 'val'"
+GRID = f"""{SAMPLED}, numbered AS (SELECT *, row_number() OVER (ORDER BY datetime, series) - 1 AS pos, count(*) OVER () AS n
+  FROM sampled),
+points AS (SELECT unnest([1, 8]) AS w), splits AS (SELECT unnest([0, 1]) AS split),
+parts AS (SELECT *, CASE WHEN pos < n - (2 - split) * (n // 3) THEN 'train'
+  WHEN pos < n - (2 - split) * (n // 3) + n // 3 THEN 'test' END AS role FROM numbered, points, splits),
+fits AS ({leaf('w', "parts WHERE role = 'train'").replace('SELECT event', 'SELECT w, split, event')} GROUP BY w, split, event_vol_spike),
+hits AS (SELECT p.w, p.split, count_if(leaf > 0 AND target_opportunity = 1) AS hit,
+  count_if(leaf > 0) + count_if(target_opportunity = 1) AS found
+  FROM parts p JOIN fits f ON p.w = f.w AND p.split = f.split AND flag = event_vol_spike WHERE role = 'test' GROUP BY 1, 2),
+f1 AS (SELECT w, split, CASE WHEN found > 0 THEN CAST(2 AS DOUBLE) * hit / found ELSE CAST(0 AS DOUBLE) END AS f FROM hits),
+wide AS (SELECT w, max(CASE WHEN split = 0 THEN f END) AS a, max(CASE WHEN split = 1 THEN f END) AS b FROM f1 GROUP BY w),
+means AS (SELECT *, (a + b) / 2 AS m FROM wide)
+SELECT concat('{{"scale_pos_weight": ', w, '}}') AS params, {fixed('a')} AS split0_test_score, {fixed('b')} AS split1_test_score,
+  {fixed('m')} AS mean_test_score, {fixed('sqrt(((a - m) * (a - m) + (b - m) * (b - m)) / 2)')} AS std_test_score,
+  CAST(rank() OVER (ORDER BY m DESC) AS INTEGER) AS rank_test_score FROM means"""
+
 ORACLES: dict[str, str] = {
     "bars": f"WITH {bars_cte()} SELECT * FROM bars",
     "bars_per_minute": f"WITH {bars_cte(unit='minute')} SELECT * FROM bars",
@@ -247,6 +291,29 @@ ORACLES: dict[str, str] = {
     "snapshot_sink": f"WITH {bars_cte()} SELECT * FROM bars ORDER BY datetime, series LIMIT 500",
     "rank": f"""{SCORED} SELECT series, datetime, fold, row_number() OVER (PARTITION BY fold
   ORDER BY p_opportunity DESC, datetime, series) AS rank_opportunity FROM scored""",
+    "rank_untidy": RANK_UNTIDY,
+    "rank_untidy_cells": RANK_UNTIDY,
+    "fold_evaluation_untidy": EVALUATION_UNTIDY,
+    "fold_evaluation_untidy_cells": EVALUATION_UNTIDY,
+    "fold_evaluation_empty_fold": f"""{SCORED}, {precision_cte('prec', 'scored', 'fold')}
+  SELECT prec.*, n AS rows FROM prec JOIN (SELECT fold, count(*) AS n FROM scored GROUP BY 1) USING (fold)
+  WHERE fold <> 'val'
+  UNION ALL SELECT 'val', k_percent, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE),
+  CAST(0 AS BIGINT) FROM {KS} k""",
+    "series_row_index_untidy": f"""{UNTIDY} SELECT series, datetime, p_opportunity, row_number() OVER (PARTITION BY series
+  ORDER BY datetime, p_opportunity) - 1 AS bar_idx FROM untidy""",
+    "train_score": f"""{STUMP} SELECT series, datetime, fold, p_opportunity, row_number() OVER (PARTITION BY fold
+  ORDER BY p_opportunity DESC, datetime, series) AS rank_opportunity FROM modelled""",
+    "model_precision": STUMP_EVALUATION,
+    "validation_loss": f"""{STUMP} SELECT {fixed('avg(-ln(greatest(CAST(1e-15 AS DOUBLE), CASE WHEN target_opportunity = 1 THEN p ELSE 1 - p END)))')}
+  AS log_loss FROM modelled WHERE fold = 'val'""",
+    "model_importance": """SELECT CAST(0 AS INTEGER) AS position, 'event_vol_spike' AS feature, CAST(1 AS DOUBLE) AS importance
+  FROM (SELECT count(*) FROM events)""",
+    "grid_search": GRID,
+    "shap_values": f"{STUMP} SELECT series, datetime, feature, {fixed('phi')} AS phi FROM ({PHI})",
+    "shap_importance": f"""{STUMP}, phi AS (SELECT *, row_number() OVER (ORDER BY
+    md5(concat('42|', series, '|', CAST(CAST(epoch(datetime) AS BIGINT) AS VARCHAR)))) AS rk FROM ({PHI}))
+  SELECT feature, {fixed('avg(abs(phi))')} AS mean_abs_shap FROM phi WHERE rk <= 200 GROUP BY 1""",
     "top_scores": f"""{SCORED} SELECT fold, CAST(rk AS INTEGER) AS rank, series, datetime, p_opportunity FROM (
   SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p_opportunity DESC, datetime, series) AS rk
   FROM scored) WHERE rk <= 20""",
