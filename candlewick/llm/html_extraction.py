@@ -5,7 +5,7 @@ features: depth, text and its density in the subtree, link density, punctuation,
 place in the page, and whether its tag or attribute tokens name boilerplate or content. Gradient-boosted trees, fitted by
 Spark on the nodes of a bounded sample of TRAIN_PAGES pages, give the probability that a node is content if its parent
 is. Labels for the fit come from the pages: elements that name themselves boilerplate, or stand outside an article, are
-not content. Each example is also shown with the statistics of another node, so that no chance regularity of the text
+not content. Each example is also shown with the statistics of other nodes, so that no chance regularity of the text
 outweighs a name, without the hint that it stands outside an article, and link lists without any name.
 
 Decoding is hierarchical: what stands in a dropped element is dropped with it, and an element is kept only if all above
@@ -275,13 +275,18 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(x)
                     labels.append(float(y))
         x, y = np.array(rows, dtype=np.float64).reshape(len(rows), FEATURES), np.array(labels)
-        blind, other = x.copy(), x.copy()
+        blind, random = x.copy(), np.random.default_rng(7)
         blind[:, -1] = 0
-        other[:, :-4] = x[np.random.default_rng(7).permutation(len(x)), :-4]
+        mixed = [x, blind]
+        for source in (x, blind, blind):
+            other = source.copy()
+            for column in range(1, FEATURES - 4):
+                other[:, column] = random.permutation(x[:, column])
+            other[:, 0] = random.integers(0, 12, len(x))
+            mixed.append(other)
         unnamed = blind[(y == 0) & (x[:, 3] > 0.5)]
         unnamed[:, -4:] = 0
-        x = np.concatenate([x, blind, other, other * ([1.0] * (FEATURES - 1) + [0.0]), unnamed])
-        y = np.concatenate([y, y, y, y, np.zeros(len(unnamed))])
+        x, y = np.concatenate([*mixed, unnamed]), np.concatenate([np.tile(y, len(mixed)), np.zeros(len(unnamed))])
         yield pa.RecordBatch.from_pydict(
             {"x": pa.array(x.tolist(), pa.list_(pa.float64())), "label": pa.array(y, pa.float64())}
         )

@@ -144,12 +144,17 @@ def train(examples: DataFrame, text: str = "text", lang: str = "lang", per_langu
     rows = examples.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("turn")
     )
+    # the hash of the last text wanted of each language is found without the texts; copies count once
     number = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
-    sample = rows.withColumn("k", number).filter(F.col("k") <= per_language).drop("k")
-    # one group of eight bits per task; the sample is bounded, so each may read it whole
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    chosen = rows.select("lang", "turn").distinct().withColumn("k", number).filter(F.col("k") <= per_language)
+    last = {r["lang"]: r["turn"] for r in chosen.groupBy("lang").agg(F.max("turn").alias("turn")).collect()}
+    names = sorted(last)
     if not names:
         return None
+    cuts = examples.sparkSession.createDataFrame([(x, last[x]) for x in names], "lang string, cut long")
+    sample = rows.join(F.broadcast(cuts), "lang").filter(F.col("turn") <= F.col("cut")).drop("cut")
+    sample = sample.dropDuplicates(["lang", "turn"])
+    # one group of eight bits per task; the sample is bounded, so each may read it whole
     codewords = code(len(names))
     groups = -(-codewords.shape[1] // 8)
     weights = np.zeros(((1 << BITS) + 1, codewords.shape[1]), dtype=np.float32)
