@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.sql import k_label, mean_present, run_timestamp, safe_ratio, text
 from candlewick.operators.ranking import best_per_group
-from candlewick.sources.artifacts import RunTables
+from candlewick.sources.artifacts import RunTables, artifact_status, complete_runs
 from candlewick.sources.logs import log_preview, log_value, parse_log
 
-# Artifacts a run must have, in the order in which missing ones are reported.
-REQUIRED_ARTIFACTS = ("metrics.json", "config.yaml", "feature_importance.csv")
 FOLDS = ("train", "val", "test")
 HEADLINE_K = 0.5
 TOP_FEATURES = 10
@@ -25,26 +23,11 @@ class RunNotFound(LookupError):
     """No complete run of that id."""
 
 
-def artifact_status(artifacts: DataFrame) -> DataFrame:
-    """Per run the reason to skip it; NULL for a complete run."""
-    missing = [
-        f"CASE WHEN count_if(artifact = '{name}') = 0 THEN '{name}' END" for name in REQUIRED_ARTIFACTS
-    ]
-    status = artifacts.groupBy("run_id").agg(F.expr(f"concat_ws(', ', {', '.join(missing)}) AS _missing"))
-    reason = "CASE WHEN _missing <> '' THEN concat('missing artifacts: ', _missing) END AS reason"
-    return status.selectExpr("run_id", reason)
-
-
 def skipped_runs(artifacts: DataFrame) -> DataFrame:
-    """Incomplete runs and what they lack."""
+    """Runs left out and the reason."""
     return artifact_status(artifacts).filter("reason IS NOT NULL")
 
 
-def complete_runs(artifacts: DataFrame) -> DataFrame:
-    """Ids of the complete runs."""
-    return artifact_status(artifacts).filter("reason IS NULL").select("run_id")
-
-
 def _pick(value: str, fold: str) -> str:
     return f"max(CASE WHEN fold = '{fold}' THEN {value} END)"
 

@@ -15,10 +15,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlewick.functions.sql import text
 from candlewick.sources.logs import read_log_lines, run_of
 
+# Artifacts a run must have, in the order in which missing ones are reported.
+REQUIRED_ARTIFACTS = ("metrics.json", "config.yaml", "feature_importance.csv")
 PRECISION_TYPE = (
     "ARRAY<STRUCT<k_percent: DOUBLE, candidate_count: BIGINT, candidate_rate: DOUBLE, "
     "precision_at_k: DOUBLE, baseline: DOUBLE>>"
@@ -54,59 +57,88 @@ class RunTables:
     log_lines: DataFrame  # run_id, line_no, line
 
 
+def complete_runs(artifacts: DataFrame) -> DataFrame:
+    """Ids of the runs that have all artifacts, all readable."""
+    return artifact_status(artifacts).filter("reason IS NULL").select("run_id")
+
+
+def artifact_status(artifacts: DataFrame) -> DataFrame:
+    """Per run the reason to skip it; NULL for a complete run."""
+    missing = [
+        f"CASE WHEN count_if(artifact = '{name}') = 0 THEN '{name}' END" for name in REQUIRED_ARTIFACTS
+    ]
+    status = artifacts.groupBy("run_id").agg(
+        F.expr(f"concat_ws(', ', {', '.join(missing)}) AS _missing"),
+        F.expr("array_sort(collect_set(CASE WHEN artifact LIKE 'unreadable %' THEN artifact END)) AS _bad"),
+    )
+    reason = (
+        "CASE WHEN _missing <> '' THEN concat('missing artifacts: ', _missing) "
+        "WHEN size(_bad) > 0 THEN array_join(_bad, ', ') END AS reason"
+    )
+    return status.selectExpr("run_id", reason)
+
+
 def read_documents(spark: SparkSession, root: str, artifact: str) -> DataFrame:
     """One small document per run as (run_id, body)."""
     files = spark.read.text(f"{root}/*/{artifact}", wholetext=True)
     return files.selectExpr(f"{run_of('_metadata.file_path', artifact)} AS run_id", "value AS body")
 
 
-def read_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """metrics.json of every run as (run_id, m)."""
-    docs = read_documents(spark, root, "metrics.json")
-    return docs.selectExpr(
-        "run_id",
-        f"from_json(CASE WHEN trim(body) LIKE '{{%' THEN body ELSE raise_error(concat("
-        f"'Expected JSON object in run ', run_id)) END, '{METRICS_TYPE}') AS m",
-    )
+READABLE = "coalesce(schema_of_variant(try_parse_json(body)) LIKE 'OBJECT%', false)"
+
+
+def read_metrics(documents: DataFrame) -> DataFrame:
+    """Readable metrics documents as (run_id, m)."""
+    return documents.filter(READABLE).selectExpr("run_id", f"from_json(body, '{METRICS_TYPE}') AS m")
 
 
 def _as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Config documents, JSON or YAML, to JSON."""
 
-    def convert(body: str) -> str:
+    def convert(body: str) -> str | None:
+        """NULL for what is no mapping."""
         try:
             data = json.loads(body)
         except json.JSONDecodeError:
             import yaml  # only needed for configs written as YAML blocks
 
-            data = yaml.safe_load(body)
-        if not isinstance(data, dict):
-            raise ValueError("Expected a mapping in config.yaml")
-        return json.dumps(data, default=str)
+            try:
+                data = yaml.safe_load(body)
+            except yaml.YAMLError:
+                return None
+        return json.dumps(data, default=str) if isinstance(data, dict) else None
 
     for batch in batches:
         yield batch.assign(body=[convert(body) for body in batch["body"]])
 
 
-def read_configs(spark: SparkSession, root: str) -> DataFrame:
-    """config.yaml of every run as (run_id, config_json, c)."""
-    docs = read_documents(spark, root, "config.yaml")
-    docs = docs.mapInPandas(_as_json, "run_id STRING, body STRING")
-    return docs.selectExpr(
+def json_configs(documents: DataFrame) -> DataFrame:
+    """Config documents as (run_id, body), body being JSON or NULL."""
+    return documents.mapInPandas(_as_json, "run_id STRING, body STRING")
+
+
+def read_configs(documents: DataFrame) -> DataFrame:
+    """Config documents in JSON as (run_id, config_json, c)."""
+    return documents.filter("body IS NOT NULL").selectExpr(
         "run_id", "body AS config_json", f"from_json(body, '{CONFIG_TYPE}') AS c"
     )
 
 
 def read_importance(spark: SparkSession, root: str) -> DataFrame:
-    """feature_importance.csv of every run, `position` counting up from the top of the file."""
-    lines = spark.read.schema("feature STRING, importance DOUBLE").csv(
-        f"{root}/*/feature_importance.csv", header=True, enforceSchema=True
+    """feature_importance.csv of every run, `position` counting up from the top of the file; columns go by name."""
+    docs = read_documents(spark, root, "feature_importance.csv").selectExpr(
+        "run_id", r"split(trim(body), '\\r?\\n') AS _lines"
+    )
+    named = docs.selectExpr(
+        "run_id", "split(lower(_lines[0]), ' *, *') AS _names", "posexplode(slice(_lines, 2, size(_lines))) AS (position, _line)"
     )
-    return lines.selectExpr(
-        f"{run_of('_metadata.file_path', 'feature_importance.csv')} AS run_id",
-        "_metadata.file_block_start + monotonically_increasing_id() AS position",
-        "feature",
-        "importance",
+    named = named.filter("trim(_line) <> ''")
+    cell = "get(split(_line, ','), CAST(array_position(_names, '{0}') AS INT) - 1)"
+    return named.selectExpr(
+        "run_id",
+        "CAST(position AS BIGINT) AS position",
+        f"trim({cell.format('feature')}) AS feature",
+        f"try_cast(trim({cell.format('importance')}) AS DOUBLE) AS importance",
     )
 
 
@@ -129,7 +161,14 @@ def read_runs(spark: SparkSession, root: str) -> RunTables | None:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    metrics, configs = read_metrics(spark, root), read_configs(spark, root)
+    # incomplete runs are not read; what cannot be read is listed as an artifact of that name, a reason to skip the run
+    whole = complete_runs(artifacts)
+    documents = read_documents(spark, root, "metrics.json").join(whole, "run_id", "left_semi")
+    settings = json_configs(read_documents(spark, root, "config.yaml").join(whole, "run_id", "left_semi"))
+    bad = documents.filter(f"NOT {READABLE}").selectExpr("run_id", "'unreadable metrics.json' AS artifact")
+    bad = bad.unionAll(settings.filter("body IS NULL").selectExpr("run_id", "'unreadable config.yaml' AS artifact"))
+    artifacts = artifacts.unionAll(bad)
+    metrics, configs = read_metrics(documents), read_configs(settings)
     folds = metrics.selectExpr("run_id", "explode(m.evaluation) AS (fold, f)")
     events = metrics.selectExpr("run_id", "explode(m.event_diagnostics) AS (fold, events)").selectExpr(
         "run_id", "fold", "posexplode(events) AS (position, e)"

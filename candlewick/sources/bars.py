@@ -48,7 +48,10 @@ def parse_time(value: str, first: str | None) -> str:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings under cleaned names; the separator follows from the header line."""
+    """All columns as strings under cleaned names; the separator follows from the header line.
+
+    Files whose header names the columns in another order raise an error when they are read.
+    """
     try:
         head = spark.read.text(path).head(1)
     except AnalysisException as error:
@@ -57,7 +60,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
         raise
     header = head[0]["value"].lstrip("﻿") if head else ""
     if "," in header:
-        raw = spark.read.csv(path, header=True, inferSchema=False)
+        raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
         return raw.toDF(*[clean_header(name) for name in raw.columns])
     return split_lines(spark.read.text(path), header)
 
@@ -66,7 +69,10 @@ def split_lines(lines: DataFrame, header: str) -> DataFrame:
     """Blank-separated lines of a `value` column to string columns; header lines are dropped."""
     names = [clean_header(name) for name in header.split()]
     rows = lines.filter(f"trim(value) <> '' AND value <> {text(header)}")
-    parts = rows.selectExpr("split(trim(value), '\\\\s+') AS _parts")
+    words = r"split(lower(trim(value)), '\\s+')"
+    other = f"array_sort({words}) = array({', '.join(text(w) for w in sorted(header.lower().split()))})"
+    checked = f"CASE WHEN {other} THEN raise_error(concat('Another order of columns: ', value)) ELSE value END"
+    parts = rows.selectExpr(f"{checked} AS value").selectExpr("split(trim(value), '\\\\s+') AS _parts")
     return parts.selectExpr(*[f"get(_parts, {i}) AS {q(name)}" for i, name in enumerate(names)])
 
 

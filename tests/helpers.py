@@ -1,13 +1,13 @@
 from datetime import datetime, timedelta
 
-START = datetime(2025, 1, 1)
+START = datetime(2023, 6, 5, 9)
 BAR_SCHEMA = "series STRING, datetime TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE"
 
 
 def linear_bars(spark, rows=120, series="bars"):
     data = [
-        (series, START + timedelta(minutes=i), 1000 + i - 0.1, 1000 + i + 0.5, 1000 + i - 0.5, 1000.0 + i)
-        for i in range(rows)
+        (series, START + timedelta(minutes=i), p - 0.25, p + 0.625, p - 0.375, p)
+        for i, p in ((i, 64.0 + 0.5 * i) for i in range(rows))
     ]
     return spark.createDataFrame(data, BAR_SCHEMA)
 

@@ -48,10 +48,10 @@ def scored(spark, rows=300, seed=3, ties=True):
 
 
 def test_split_borders_are_inclusive(spark):
-    df = time_split(labelled(spark, [0, 1, 0, 1, 0, 1]), "2025-01-01 00:01", "2025-01-01 00:03")
-    assert check_folds(df) == {"train": 2, "val": 2, "test": 2}
+    df = time_split(labelled(spark, [1, 0, 0, 1, 1, 0, 0]), "2023-06-05 09:02", "2023-06-05 09:04")
+    assert check_folds(df) == {"train": 3, "val": 2, "test": 2}
     rows = {r["fold"]: r for r in fold_summary(df).collect()}
-    assert rows["val"]["rows"] == 2 and rows["val"]["positive_rate"] == 0.5
+    assert rows["val"]["rows"] == 2 and rows["val"]["positive_rate"] == 1.0
     with pytest.raises(ValueError, match="before"):
         time_split(df, "2025-01-02", "2025-01-02")
     with pytest.raises(ValueError, match="test"):
@@ -103,15 +103,15 @@ def test_sample_among_copies(spark):
 
 
 def test_rank_and_precision_example(spark):
-    rows = [(0, 0.2), (1, 0.9), (1, 0.7), (0, 0.1)]
+    rows = [(1, 0.35), (0, 0.6), (1, 0.85), (0, 0.05), (1, 0.5)]
     df = spark.createDataFrame(
         [("a", START + timedelta(minutes=i), "val", p, y) for i, (y, p) in enumerate(rows)],
         "series STRING, datetime TIMESTAMP_NTZ, fold STRING, p_opportunity DOUBLE, target_opportunity INT",
     )
-    assert [r["rank_opportunity"] for r in add_rank(df).orderBy("datetime").collect()] == [3, 1, 2, 4]
+    assert [r["rank_opportunity"] for r in add_rank(df).orderBy("datetime").collect()] == [4, 2, 1, 5, 3]
     for split in ({}, {"max_rows": 7}):
-        row = precision_at_k(df, [50], **split).head()
-        assert (row["candidate_count"], row["precision_at_k"], row["baseline"]) == (2, 1.0, 0.5)
+        row = precision_at_k(df, [60], **split).head()
+        assert (row["candidate_count"], row["precision_at_k"], row["baseline"]) == (3, 2 / 3, 0.6)
 
 
 def test_rank_of_copies(spark):
