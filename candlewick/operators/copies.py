@@ -23,6 +23,8 @@ def expand_copies(df: DataFrame) -> DataFrame:
         "*", f"explode(sequence(0L, (_times - 1) DIV {CHUNK}L)) AS _chunk"
     )
     first, last = f"_chunk * {CHUNK} + 1", f"least(_times, (_chunk + 1) * {CHUNK})"
-    key = F.xxhash64(*df.columns)  # the chunk alone would send all rows with few copies to one task
-    numbered = chunks.repartition(key, "_chunk").selectExpr("*", f"explode(sequence({first}, {last})) AS _copy")
+    # The chunk alone would send all rows with few copies to one task. The number is given, as Spark would otherwise
+    # merge partitions that look small before the rows are multiplied.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = chunks.repartition(tasks, F.xxhash64(*df.columns), "_chunk").selectExpr("*", f"explode(sequence({first}, {last})) AS _copy")
     return numbered.drop("_chunk")
