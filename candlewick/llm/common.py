@@ -17,7 +17,7 @@ from candlewick.session import work_dir
 # Upper bounds of what may be broadcast.
 BROADCAST_ROWS = 100_000
 # Text bytes of one block of documents, the unit that a Python task works on.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 

@@ -93,7 +93,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _tables()[1][data]
 
 
-def parts(offsets: np.ndarray, limit: int = 2 << 20) -> list[tuple[int, int]]:
+def parts(offsets: np.ndarray, limit: int = (1 << 20) - 4096) -> list[tuple[int, int]]:
     """Text ranges of at most `limit` bytes, or of one text."""
     found, first = [], 0
     while first < len(offsets) - 1:
