@@ -32,7 +32,8 @@ class Asked:
             {
                 "block": pa.array([block] * self.ranges, pa.int32()),
                 "range": pa.array(range(self.ranges), pa.int32()),
-                "names": pa.array([self.names[a:b].tobytes() for a, b in cuts], pa.binary()),
+                # ascending names as differences: within a range their leading bytes are mostly zero
+                "names": pa.array([planes(np.diff(self.names[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()),
                 "counts": pa.array([planes(counts[a:b]) for a, b in cuts], pa.binary()),
             }
         )
@@ -44,14 +45,14 @@ class Asked:
             if i >= 0:
                 a, b = self.bounds[i], self.bounds[i + 1]
                 hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a).astype(bool)
-                found[a:b][hit] = unplanes(more)
+                found[a:b][hit] = unplanes(more, np.uint32)
         return found
 
 
 def answer(table: pa.Table) -> pa.Table:
     """Per block, the counts over all blocks of the names it asked for: a bit where above one, then those."""
-    names = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")]
-    counts = np.concatenate([unplanes(x.as_py()) for x in table.column("counts")])
+    names = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("names")]
+    counts = np.concatenate([unplanes(x.as_py(), np.uint32) for x in table.column("counts")])
     values, inverse = np.unique(np.concatenate(names), return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(values)).astype(np.uint32)[inverse]
     masks, more, at = [], [], 0
@@ -70,10 +71,18 @@ def answer(table: pa.Table) -> pa.Table:
     )
 
 
+def answer_or_pass(table: pa.Table) -> pa.Table:
+    """`answer`; a negative range is the state of one block, which comes back as it is."""
+    if table.column("range")[0].as_py() >= 0:
+        return answer(table)
+    return table.rename_columns(["block", "range", "mask", "more"])
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of equal significance together, so that high zero bytes compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 4).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+def unplanes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)

@@ -13,13 +13,14 @@ reserves one count, c(h) + 1 becoming its denominator.
 
 The counts live in tables partitioned by ranges of the context's hash, packed as arrays. Texts are dealt into blocks of
 bounded size; a block asks every range, in one array, for the distinct pairs it holds, and the answer comes back in the
-same order, so a pair crosses the network once per block instead of once per token. A range counts the training shares of
+same order, so a pair crosses the network once per block instead of once per token, and not at all if its context
+occurs in no other block. A range counts the training shares of
 what it was asked and answers with the counts; what the discounts need (counts of counts) is added up from all answers.
 Contexts with more than a thousandth of all tokens, at most a thousand, are spread over all ranges by their next word,
 and their sums are gathered apart. What is moved grows with the distinct pairs of the corpus; nothing goes through the
 driver.
 
-Words are 64-bit hashes. Null or empty texts consist of their end. Rows with a null id count as training rows. Repeated
+Words are told apart by 64-bit hashes. Null or empty texts consist of their end. Rows with a null id count as training rows. Repeated
 rows are counted and scored each. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -31,6 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocks, documents, ship
+from candlewick.llm.exchange import planes as pack
+from candlewick.llm.exchange import ranges_of
+from candlewick.llm.exchange import unplanes as unpack
 from candlewick.llm.textarrays import mix, word_hashes
 
 HIGHEST = 5  # counts above are taken as they are
@@ -40,17 +44,6 @@ STATS = 2 + HIGHEST + 1  # sum, types, types by count 1 .. HIGHEST + 1
 SUMS = 2 * (1 + HIGHEST)  # per context: high counts and types by count of its pairs, then of its next words
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Bytes of equal significance together, so that high zero bytes compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def unpack(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
 def statistics(counts: np.ndarray) -> np.ndarray:
     """Sum, number of types, and numbers of types with count 1 to HIGHEST + 1."""
     seen = counts[counts > 0].astype(np.int64)
@@ -120,12 +113,8 @@ class Tokens:
         return np.add.reduceat(values, self.offsets[:-1]) if len(values) else np.zeros(0)
 
 
-def ranges_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
 ASK = "block int, range int, words binary, counts binary"
-ANSWER = "block int, range int, kind int, counts binary, stats binary, sums binary"
+ANSWER = "block int, range int, kind int, counts binary, stats binary, sums binary, names binary"
 
 
 def _ask_words(ranges: int):
@@ -138,7 +127,7 @@ def _ask_words(ranges: int):
             {
                 "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int32()),
                 "range": pa.array(range(ranges), pa.int32()),
-                "words": pa.array([t.words[a:b].tobytes() for a, b in cuts], pa.binary()),
+                "words": pa.array([pack(np.diff(t.words[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()),
                 "counts": pa.array([pack(counts[a:b]) for a, b in cuts], pa.binary()),
             }
         )
@@ -146,7 +135,9 @@ def _ask_words(ranges: int):
     return run
 
 
-def _answers(table: pa.Table, kind: int, counts: list[bytes], stats: np.ndarray, sums: list[bytes]) -> pa.Table:
+def _answers(
+    table: pa.Table, kind: int, counts: list[bytes], stats: np.ndarray, sums: list[bytes], names: list[bytes] | None = None
+) -> pa.Table:
     n = len(table)
     return pa.table(
         {
@@ -156,18 +147,32 @@ def _answers(table: pa.Table, kind: int, counts: list[bytes], stats: np.ndarray,
             "counts": pa.array(counts, pa.binary()),
             "stats": pa.array([stats.tobytes()] * n, pa.binary()),
             "sums": pa.array(sums, pa.binary()),
+            "names": pa.array(names or [b""] * n, pa.binary()),
         }
     )
 
 
-def _answer_words(table: pa.Table) -> pa.Table:
-    asked = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")]
-    counts = [unpack(x.as_py(), np.uint32) for x in table.column("counts")]
-    _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.uint32) if len(inverse) else inverse
-    cuts = np.cumsum([0, *map(len, asked)])
-    back = total[inverse].astype(np.uint32)
-    return _answers(table, 1, [pack(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total), [b""] * len(table))
+def _answer_words(ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The training counts of all blocks; in `sums` a bit for each word that occurs in the asking block alone; short
+        names, small for frequent words, that stand for the hashes from now on."""
+        asked = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("words")]
+        counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("counts")])
+        distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+        blocks_with = np.bincount(inverse, minlength=len(distinct))  # a block asks for a word once
+        names = np.empty(len(distinct), np.uint64)
+        names[np.lexsort((distinct, -total))] = np.arange(len(distinct), dtype=np.uint64)
+        names = names * np.uint64(ranges) + np.uint64(table.column("range")[0].as_py())
+        cuts = np.cumsum([0, *map(len, asked)])
+        back, alone = total[inverse].astype(np.uint32), blocks_with[inverse] == 1
+        pieces = list(zip(cuts, cuts[1:]))
+        return _answers(
+            table, 1, [pack(back[a:b]) for a, b in pieces], statistics(total),
+            [np.packbits(alone[a:b]).tobytes() for a, b in pieces], [pack(names[inverse[a:b]]) for a, b in pieces],
+        )
+
+    return run
 
 
 def _totals(answers: pa.Table, kind: int) -> tuple[list[int], np.ndarray]:
@@ -178,38 +183,52 @@ def _totals(answers: pa.Table, kind: int) -> tuple[list[int], np.ndarray]:
     return rows, np.sum(stats, axis=0) if stats else np.zeros(STATS, np.int64)
 
 
-def _word_counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _word_counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training counts and names of the block's words, which of them occur in this block alone, and the statistics."""
     rows, stats = _totals(answers, 1)
     counts = [unpack(answers.column("counts")[i].as_py(), np.uint32) for i in rows]
-    return np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.int64), stats
+    names = [unpack(answers.column("names")[i].as_py(), np.uint64) for i in rows]
+    bits = [np.frombuffer(answers.column("sums")[i].as_py(), np.uint8) for i in rows]
+    alone = [np.unpackbits(b, count=len(c)).astype(bool) for b, c in zip(bits, counts)]
+    return np.concatenate(counts).astype(np.int64), np.concatenate(names), np.concatenate(alone), stats
 
 
-def _dealt(t: Tokens, context: np.ndarray, word: np.ndarray, counts: np.ndarray, total: int, ranges: int):
-    """The range of each pair, whether its context is spread, and an order by range, spread ones last, then context."""
-    hashes = np.append(t.words, BEGIN)
+def _dealt(names, context: np.ndarray, word: np.ndarray, counts: np.ndarray, alone: np.ndarray, total: int, ranges: int):
+    """Names of the contexts; the range of each pair; whether its context is spread; which pairs are asked for, by range,
+    spread ones last, then context; which are not.
+
+    A context that occurs in no other block is followed nowhere else: its counts are known here.
+    """
+    contexts = np.append(names, BEGIN)
+    own = np.append(alone, False)[context]
     hot = np.append(counts * HOT_SHARE > total, True)
     spread = hot[context]
-    keys = np.where(spread, mix(hashes[context] + mix(t.words[word])), hashes[context])
-    of = ranges_of(keys, ranges)
-    return hashes, of, spread, np.argsort(of * 2 + spread, kind="stable")
+    keys = mix(contexts)[context]
+    of = ranges_of(np.where(spread, mix(keys + mix(names)[word]), keys), ranges)
+    asked = np.flatnonzero(~own)
+    return contexts, of, spread, asked[np.argsort((of * 2 + spread)[asked], kind="stable")], np.flatnonzero(own)
+
+
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
 
 
 def _ask_pairs(ranges: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(docs)
-        counts, stats = _word_counts(answers)
+        counts, names, alone, stats = _word_counts(answers)
         context, word, pairs, _, _ = t.pairs()
-        hashes, of, spread, order = _dealt(t, context, word, counts, int(stats[0]), ranges)
+        contexts, of, spread, order, own = _dealt(names, context, word, counts, alone, int(stats[0]), ranges)
+        known = statistics(pairs[own]).tobytes()
         context, word, pairs, of, spread = (x[order] for x in (context, word, pairs, of, spread))
         bounds = np.searchsorted(of, np.arange(ranges + 1))
         columns = {c: [] for c in ("contexts", "runs", "next", "next_counts", "pairs", "unspread")}
         for a, b in zip(bounds[:-1], bounds[1:]):
-            new = np.ones(b - a, dtype=bool)
-            new[1:] = context[a + 1 : b] != context[a : b - 1]
-            at = np.flatnonzero(new)
-            columns["contexts"].append(hashes[context[a:b][at]].tobytes())
+            at = _begins(context[a:b])
+            columns["contexts"].append(pack(contexts[context[a:b][at]]))
             columns["runs"].append(pack(np.diff(np.append(at, b - a)).astype(np.uint32)))
-            columns["next"].append(t.words[word[a:b]].tobytes())
+            columns["next"].append(pack(names[word[a:b]]))
             columns["next_counts"].append(pack(counts[word[a:b]].astype(np.uint32)))
             columns["pairs"].append(pack(pairs[a:b].astype(np.uint32)))
             columns["unspread"].append(int((~spread[a:b][at]).sum()))
@@ -219,6 +238,7 @@ def _ask_pairs(ranges: int):
                 "block": pa.array([block] * ranges, pa.int32()),
                 "range": pa.array(range(ranges), pa.int32()),
                 **{c: pa.array(columns[c], pa.int32() if c == "unspread" else pa.binary()) for c in columns},
+                "known": pa.array([known] + [b""] * (ranges - 1), pa.binary()),
             }
         )
 
@@ -226,7 +246,8 @@ def _ask_pairs(ranges: int):
 
 
 ASK_PAIRS = (
-    "block int, range int, contexts binary, runs binary, next binary, next_counts binary, pairs binary, unspread int"
+    "block int, range int, contexts binary, runs binary, next binary, next_counts binary, pairs binary, unspread int, "
+    "known binary"
 )
 
 
@@ -243,21 +264,23 @@ def _context_sums(pairs: np.ndarray, following: np.ndarray, begins: np.ndarray)
 
 def _answer_pairs(table: pa.Table) -> pa.Table:
     get = lambda c, kind: [unpack(x.as_py(), kind) for x in table.column(c)]
-    contexts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("contexts")]
+    contexts = get("contexts", np.uint64)
     runs = get("runs", np.uint32)
-    following = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("next")])
+    following = np.concatenate(get("next", np.uint64))
+    known = [np.frombuffer(x.as_py(), np.int64) for x in table.column("known")]
+    known = np.sum([np.zeros(STATS, np.int64), *(x for x in known if len(x))], axis=0)
     unspread = table.column("unspread").to_pylist()
     sizes = [int(r.sum()) for r in runs]
     if not len(following):
         nothing = [b""] * len(table)
-        return _answers(table, 2, nothing, statistics(np.zeros(0, np.int64)), nothing)
+        return _answers(table, 2, nothing, known, nothing)
     context = np.repeat(np.concatenate(contexts), np.concatenate(runs))
     order = np.lexsort((following, context))
     context, following = context[order], following[order]
     pairs = np.concatenate(get("pairs", np.uint32))[order].astype(np.int64)
     counts = np.concatenate(get("next_counts", np.uint32))[order].astype(np.int64)
-    new_context = np.ones(len(context), dtype=bool)
-    new_context[1:] = context[1:] != context[:-1]
+    new_context = np.zeros(len(context), dtype=bool)
+    new_context[_begins(context)] = True
     new = new_context.copy()
     new[1:] |= following[1:] != following[:-1]
     firsts = np.flatnonzero(new)
@@ -270,7 +293,7 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *sizes])
     own = [sums[:, np.searchsorted(names, c[:u])] for c, u in zip(contexts, unspread)]
     result = _answers(
-        table, 2, [pack(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total),
+        table, 2, [pack(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total) + known,
         [b"".join(pack(row.astype(np.uint32)) for row in s) for s in own],
     )
     # sums of spread contexts go out once per range, named
@@ -286,6 +309,7 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
             "counts": pa.array([hot.tobytes()], pa.binary()),
             "stats": pa.array([b""], pa.binary()),
             "sums": pa.array([sums[:, at].tobytes()], pa.binary()),
+            "names": pa.array([b""], pa.binary()),
         }
     )
     return pa.concat_tables([result.cast(spread.schema), spread])
@@ -309,6 +333,7 @@ def _gather_spread(blocks: int):
                 "counts": pa.array([distinct.tobytes()] * blocks, pa.binary()),
                 "stats": pa.array([b""] * blocks, pa.binary()),
                 "sums": pa.array([total.astype(np.int64).tobytes()] * blocks, pa.binary()),
+                "names": pa.array([b""] * blocks, pa.binary()),
             }
         )
 
@@ -337,18 +362,21 @@ def backoff(sums: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> tuple[np.nda
 def _score(ranges: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(docs)
-        counts, stats = _word_counts(answers)
+        counts, names, alone, stats = _word_counts(answers)
         unigrams = Unigrams(stats)
-        context, word, _, inverse, _ = t.pairs()
-        hashes, of, spread, order = _dealt(t, context, word, counts, int(stats[0]), ranges)
+        context, word, pairs, inverse, _ = t.pairs()
+        contexts, of, spread, order, own = _dealt(names, context, word, counts, alone, int(stats[0]), ranges)
         rows, pair_stats = _totals(answers, 2)
         d = discounts(pair_stats)
-        seen = np.empty(len(order), dtype=np.int64)
+        seen = pairs.astype(np.int64)
         seen[order] = np.concatenate([unpack(answers.column("counts")[i].as_py(), np.uint32) for i in rows])
         # sums by context: unspread ones come in the order of the asking, spread ones by name
-        sums = np.zeros((SUMS, len(hashes)), dtype=np.int64)
-        asked = order[~spread[order]]
-        asked = context[asked][np.concatenate([[True], context[asked][1:] != context[asked][:-1]])] if len(asked) else asked
+        sums = np.zeros((SUMS, len(contexts)), dtype=np.int64)
+        if len(own):
+            begins = _begins(context[own])
+            sums[:, context[own][begins]] = _context_sums(pairs[own], counts[word[own]], begins)
+        asked = context[order[~spread[order]]]
+        asked = asked[_begins(asked)]
         at = 0
         for i in rows:
             raw = answers.column("sums")[i].as_py()
@@ -358,11 +386,11 @@ def _score(ranges: int):
             at += n
         kinds = answers.column("kind").to_pylist()
         for i in (i for i, k in enumerate(kinds) if k == 3):
-            names = np.frombuffer(answers.column("counts")[i].as_py(), np.uint64)
+            hot = np.frombuffer(answers.column("counts")[i].as_py(), np.uint64)
             values = np.frombuffer(answers.column("sums")[i].as_py(), np.int64).reshape(SUMS, -1)
-            where = {h: j for j, h in enumerate(names.tolist())}
-            for c in np.unique(context[spread]).tolist():
-                sums[:, c] = values[:, where[int(hashes[c])]]
+            where = {h: j for j, h in enumerate(hot.tolist())}
+            for c in np.unique(context[order[spread[order]]]).tolist():
+                sums[:, c] = values[:, where[int(contexts[c])]]
         size, alpha = backoff(sums, d, unigrams)
         p = unigrams(counts)[word]
         backed = np.where(np.isnan(alpha[context]), p, alpha[context] * p)
@@ -396,7 +424,7 @@ def scored(df: DataFrame, held_out: str, doc: str = "doc_id", text: str = "text"
     block = F.pmod(F.xxhash64(doc, text), F.lit(n)).cast("int")
     docs = flagged.select(block.alias("block"), F.col(doc).alias("doc_id"), F.col(text).alias("text"), "held_out")
     words = docs.groupBy("block").applyInArrow(_ask_words(n), ASK)
-    words = words.groupBy("range").applyInArrow(_answer_words, ANSWER)
+    words = words.groupBy("range").applyInArrow(_answer_words(n), ANSWER)
     pairs = docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(n), ASK_PAIRS)
     pairs = pairs.groupBy("range").applyInArrow(_answer_pairs, ANSWER)
     spread = pairs.filter("block < 0").groupBy("kind").applyInArrow(_gather_spread(n), ANSWER)

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocks, documents, ship
-from candlewick.llm.exchange import ANSWER, ASK, Asked, answer
+from candlewick.llm.exchange import ANSWER, ASK, Asked, answer_or_pass
 from candlewick.llm.textarrays import Hasher, flat, mix, parts
+from candlewick.llm.tokens import spread
 
 LENGTH = 200
 GRAM = 12
+BLOCK_BYTES = 4 << 20  # the anchors of a block and what they ask take a multiple of its text
 SPLITS = (2, 5, 5, 5)  # parts of an interval of offsets, level by level, down to single ones
 
 _CORE, _HULL = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -81,7 +83,7 @@ class Block:
         return self.offsets[owner], self.offsets[owner + 1]
 
     def hashes(self, at: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """Hashes of spans (begin, end) near ascending positions `at`, which lie in the same text."""
+        """Hashes of the bytes from `before` ahead of each ascending position `at` to `after` it, within one text."""
         found = [np.zeros(len(at), np.uint64) for _ in spans]
         edges = np.searchsorted(at, self.cuts)
         for i in range(len(self.ranges)):
@@ -90,8 +92,9 @@ class Block:
                 continue
             first = self.cuts[i]
             hasher = Hasher(self.data[first : self.cuts[i + 1]])
-            for out, (begin, end) in zip(found, spans):
-                out[a:b] = hasher(begin[a:b] - first, end[a:b] - first)
+            own = at[a:b] - first
+            for out, (before, after) in zip(found, spans):
+                out[a:b] = hasher(own - before[a:b], own + after[a:b])
         return found
 
     def anchors(self, length: int, gram: int) -> np.ndarray:
@@ -134,26 +137,30 @@ class Search:
         fields, at = [], 0
         for count, kind in zip((n, m, m, n, n), cls.KINDS):
             step = int(count) * np.dtype(kind).itemsize
-            fields.append(np.frombuffer(raw[at : at + step], kind).astype(np.int64))
+            fields.append(np.frombuffer(raw[at : at + step], kind).copy())
             at += step
+        fields[0] = fields[0].astype(np.int64)
         return cls(*fields)
 
 
 def _names(block: Block, s: Search, level: list, length: int):
     """Names of core and hull of each asked interval, and the first and last offset that its text has room for."""
-    table = np.array(level)
-    at = s.anchors[s.index]
-    begin, end = block.bounds(at)
-    first, last = table[s.interval, 1], table[s.interval, 2]
-    low = np.maximum(first, length - (end - at))
-    high = np.minimum(last, at - begin)
-    room = low <= high
+    table = np.array(level, np.int16)
+    begin, end = block.bounds(s.anchors)
+    least = np.maximum(0, length - (end - s.anchors)).astype(np.int16)  # offsets that the text has room for
+    most = np.minimum(length, s.anchors - begin).astype(np.int16)
+    room = np.maximum(table[s.interval, 1], least[s.index]) <= np.minimum(table[s.interval, 2], most[s.index])
     s.index, s.interval = s.index[room], s.interval[room]
-    at, first, last, low, high = (x[room] for x in (at, first, last, low, high))
-    core, hull = block.hashes(at, [(at - first, at + length - last), (at - high, at + length - low)])
-    core = mix(core + _CORE + (first * 256 + last).astype(np.uint64))
-    hull = mix(hull + _HULL + (low * 256 + high).astype(np.uint64))
-    return core, hull, low, high
+    first, last = table[s.interval, 1], table[s.interval, 2]
+    low, high = np.maximum(first, least[s.index]), np.minimum(last, most[s.index])
+    spans = [(first, length - last)]
+    if (table[:, 1] < table[:, 2]).any():
+        spans.append((high, length - low))
+    found = block.hashes(s.anchors[s.index], spans)
+    core = mix(found[0] + (_CORE + (first.astype(np.uint64) << np.uint64(8)) + last.astype(np.uint64)))
+    if len(found) == 1:
+        return core, core, low, high
+    return core, mix(found[1] + (_HULL + (low.astype(np.uint64) << np.uint64(8)) + high.astype(np.uint64))), low, high
 
 
 def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish: bool, with_text: bool):
@@ -168,7 +175,7 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
                 anchors, np.repeat(np.arange(n), k), np.tile(np.arange(k), n), np.full(n, 255), np.zeros(n, np.int64)
             )
         else:
-            state = back.column("range").to_pylist().index(-1)
+            state = next(i for i, r in enumerate(back.column("range").to_pylist()) if r < 0)
             search = Search.unpack(back.column("mask")[state].as_py(), back.column("more")[state].as_py())
             core, hull, low, high = _names(block, search, levels[depth - 1], length)
             single = depth == len(levels)
@@ -177,23 +184,24 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
             cores = totals[np.searchsorted(asked.names, core)]
             hulls = cores if single else totals[np.searchsorted(asked.names, hull)]
             hit = hulls > 1
-            np.minimum.at(search.least, search.index[hit], low[hit])
-            np.maximum.at(search.most, search.index[hit], high[hit])
+            np.minimum.at(search.least, search.index[hit], low[hit].astype(search.least.dtype))
+            np.maximum.at(search.most, search.index[hit], high[hit].astype(search.most.dtype))
             if finish:
                 return _result(block, search, length, with_text)
             # go on where some share the core but not the hull
             on = cores > hulls
             children = [[i for i, (p, _, _) in enumerate(levels[depth]) if p == q] for q in range(len(levels[depth - 1]))]
-            many = np.array([len(c) for c in children])[search.interval[on]]
-            firsts = np.array([c[0] for c in children])[search.interval[on]]
+            many = np.array([len(c) for c in children], np.int32)[search.interval[on]]
+            firsts = np.array([c[0] for c in children], np.int32)[search.interval[on]]
             search.index = np.repeat(search.index[on], many)
-            search.interval = np.repeat(firsts, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            search.interval = spread(firsts, many).astype(np.int16)
+            del core, hull, low, high, asked, totals, cores, hulls, hit, on
         core, hull, _, _ = _names(block, search, levels[depth], length)
         asked = Asked(core if depth + 1 == len(levels) else np.concatenate([core, hull]), ranges)
         number = docs.column("block")[0].as_py()
         rows = asked.rows(number)
         sizes, raw = search.pack()
-        state = {"block": [number], "range": [-1], "names": [sizes], "counts": [raw]}
+        state = {"block": [number], "range": [-1 - number], "names": [sizes], "counts": [raw]}
         return pa.concat_tables([rows, pa.table(state, schema=rows.schema)])
 
     return run
@@ -201,7 +209,7 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
 
 def _result(block: Block, s: Search, length: int, with_text: bool) -> pa.Table:
     hit = s.least <= s.most
-    at, least, most = s.anchors[hit], s.least[hit], s.most[hit]
+    at, least, most = s.anchors[hit], s.least[hit].astype(np.int64), s.most[hit].astype(np.int64)
     edge = np.zeros(len(block.data) + 1, np.int32)
     np.add.at(edge, at - most, 1)
     np.add.at(edge, at + length - least, -1)
@@ -251,7 +259,7 @@ def deduplicated(
     """doc_id, `keep`, n_bytes, n_removed, n_spans, kept_sha256, and if asked for kept_text and the removed spans."""
     spark = df.sparkSession
     ship(spark)
-    n = blocks(df, text=text)
+    n = blocks(df, text=text, size=BLOCK_BYTES)
     block = F.pmod(F.xxhash64(doc, text), F.lit(n)).cast("int")
     others = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     docs = df.select(block.alias("block"), F.col(doc).alias("doc_id"), F.col(text).alias("text"), *others)
@@ -259,9 +267,7 @@ def deduplicated(
     first = _step(0, n, length, gram, levels, False, False)
     rows = docs.groupBy("block").applyInArrow(lambda table: first(table, None), ASK)
     for depth in range(1, len(levels) + 1):
-        answers = rows.filter("range >= 0").groupBy("range").applyInArrow(answer, ANSWER)
-        state = rows.filter("range < 0").select("block", "range", F.col("names").alias("mask"), F.col("counts").alias("more"))
-        back = answers.unionAll(state).groupBy("block")
+        back = rows.groupBy("range").applyInArrow(answer_or_pass, ANSWER).groupBy("block")
         finish = depth == len(levels)
         schema = ASK
         if finish:
