@@ -12,10 +12,11 @@ The steps:
 2. A block orders its shingles and emits the prefixes. A shingle of one document only can't meet another, so a document
    whose prefix is made of such ones emits nothing: passages that many documents share stay out of nearly all prefixes.
 3. Documents with equal sets form a class, represented by its smallest id.
-4. First round: per shingle, each class meets the class with the fewest shingles of its own. Verified links form
-   components. Copies of one text end here, however many there are.
-5. Second round: only pairs from different components that share enough prefix shingles, and whose sizes and unshared
-   shingles still allow a link, are verified. Nothing is capped, so no link between components is lost.
+4. First round: per shingle, each class meets the most central one, whose shingles are the most frequent: the text that
+   others are copies of. Verified links form components. Copies of one text end here, however many there are.
+5. Second round: only pairs from different components that share enough prefix shingles are verified, and only if their
+   sizes, their unshared shingles and what both are known to share with one central class, or to lack, still allow a link. Nothing is
+   capped, so no link between components is lost.
 
 Verification intersects the whole sets. Shingles are 64-bit hashes; the order uses 32 bits within a range of hashes, and
 a collision there only moves a shingle in the order, alike for all documents.
@@ -118,7 +119,7 @@ def _frequencies(answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
 
 
 PREFIXES = (
-    "doc_id {kind}, n long, s1 long, s2 long, unshared long, asks int, "
+    "doc_id {kind}, n long, s1 long, s2 long, unshared long, central double, asks int, "
     "tokens array<long>, levels array<int>, shingles binary"
 )
 
@@ -135,6 +136,7 @@ def _prefixes(size: int, ranges: int, percent: int):
         # texts whose prefix is not full of shingles of their own
         frequency = known[np.searchsorted(values, found)] if len(values) else np.zeros(0, np.int64)
         own = np.bincount(text[frequency == 1], minlength=len(counts))
+        total = np.bincount(text, weights=np.log(frequency), minlength=len(counts))
         maybe = maybe[own[maybe] < lengths[maybe]]
         tokens, levels, sets, asks = ([None] * len(counts) for _ in range(4))
         for i in maybe.tolist():
@@ -156,6 +158,7 @@ def _prefixes(size: int, ranges: int, percent: int):
                 "s1": pa.array(sums[0].view(np.int64)),
                 "s2": pa.array(sums[1].view(np.int64)),
                 "unshared": pa.array(own, pa.int64()),
+                "central": pa.array(total / np.maximum(1, counts), pa.float64()),
                 "asks": pa.array(asks, pa.int32()),
                 "tokens": pa.array(tokens, pa.list_(pa.int64())),
                 "levels": pa.array(levels, pa.list_(pa.int32())),
@@ -177,34 +180,50 @@ def prefixes(df: DataFrame, doc: str, text: str, size: int, percent: int) -> Dat
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefixes(size, n, percent), schema)
 
 
-def _intersect(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("x", "y"))
-            keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _intersect(batches):
+    for batch in batches:
+        shared, low, high = [], [], []
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.concatenate([x, y])
+            both.sort()
+            shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+            lacking = np.setdiff1d(y, x, assume_unique=True) >> np.uint64(57)
+            bits = np.zeros(128, np.uint8)
+            bits[lacking] = 1
+            words = np.packbits(bits).view(">i8")
+            low.append(int(words[0]))
+            high.append(int(words[1]))
+        columns = [*batch.select(["a", "b", "na", "nb"]).columns, *(pa.array(v, pa.int64()) for v in (shared, low, high))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "shared", "low", "high"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, shared: the sizes of the sets of each pair and of their intersection; low, high: 128 bits, of which
+    each shingle that b has and a lacks sets one."""
+    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
+    kind = pairs.schema["a"].dataType.simpleString()
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
+    return mapped(both, _intersect, f"a {kind}, b {kind}, na long, nb long, shared long, low long, high long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    kind = pairs.schema["a"].dataType.simpleString()
-    return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _intersect(percent), f"a {kind}, b {kind}")
+def _reached(shared: str, percent: int) -> str:
+    return f"100 * ({shared}) >= {percent} * (na + nb - ({shared}))"
 
 
 def _possible(percent: int) -> str:
     """Whether sizes and unshared shingles of both sides allow a link."""
-    most = "least(na - ua, nb - ub)"
-    return f"100 * {most} >= {percent} * (na + nb - {most})"
+    return _reached("least(na - ua, nb - ub)", percent)
+
+
+def _possible_beside(percent: int) -> str:
+    """Whether what both sides share with the same central class allows a link: of its set at most the smaller of the two
+    intersections, and not what either side lacks; beside it at most what is left without the unshared shingles."""
+    outside = [f"greatest(0L, n{s} - o{s} - u{s})" for s in "ab"]
+    lacking = "bit_count(xa | xb) + bit_count(ya | yb)"
+    most = f"least(oa, ob, za - ({lacking})) + least({outside[0]}, {outside[1]})"
+    return f"pa IS NULL OR pb IS NULL OR pa <> pb OR {_reached(most, percent)}"
 
 
 def links(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90):
@@ -220,43 +239,56 @@ def links(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3,
     )
     heads = store(heads.dropDuplicates(["doc_id"]), "heads")
     posts = heads.select(
-        "doc_id", "n", "unshared", "asks", F.inline(F.arrays_zip("tokens", "levels")).alias("token", "level")
+        "doc_id", "n", "unshared", "central", "asks", F.inline(F.arrays_zip("tokens", "levels")).alias("token", "level")
     )
     # first round: the most central class of each token
-    centre = F.struct("unshared", "n", "doc_id")
+    centre = F.struct((-F.col("central")).alias("far"), "unshared", "n", "doc_id")
     centres = posts.groupBy("token").agg(F.min(centre).alias("c"), F.count("*").alias("k")).filter("k > 1")
-    pairs = (
+    met = (
         posts.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("unshared").alias("ua"))
-        .join(centres.selectExpr("token", "c.doc_id AS b", "c.n AS nb", "c.unshared AS ub"), "token")
-        .filter("a <> b")
-        .filter(_possible(percent))
-        .select("a", "b")
-        .distinct()
+        .join(centres.selectExpr("token", "c.doc_id AS b", "c.n AS nb", "c.unshared AS ub", "c.far AS far"), "token")
+        .groupBy("a", "b", "na", "nb", "ua", "ub", "far")
+        .agg(F.count("*").alias("k"))
+    )
+    met = store(met, "centres")
+    first = store(compared(met.filter("a <> b").select("a", "b"), heads), "compared")
+    linked = first.filter(_reached("shared", percent)).select("a", "b")
+    known = store(components(linked), "components")
+    # what each class shares with the most central class that it met, itself included
+    own = met.filter("a = b").selectExpr("a", "b", "nb", "na AS shared", "0L AS low", "0L AS high")
+    near = first.select("a", "b", "nb", "shared", "low", "high").unionAll(own)
+    near = near.join(met.select("a", "b", "far"), ["a", "b"]).groupBy("a")
+    near = near.agg(F.min(F.struct("far", "b", "shared", "nb", "low", "high")).alias("c"))
+    near = near.selectExpr(
+        "a AS near_id", "c.b AS centre", "c.shared AS overlap", "c.nb AS centre_n", "c.low AS low", "c.high AS high"
     )
-    first = store(verified(pairs, heads, percent), "links-1")
-    known = store(components(first), "components-1")
     # second round: what different components still share
-    placed = posts.join(known, posts["doc_id"] == known["node"], "left").select(
-        *posts.columns, F.coalesce("component", "doc_id").alias("component")
+    placed = (
+        posts.join(known, posts["doc_id"] == known["node"], "left")
+        .join(near, F.col("doc_id") == F.col("near_id"), "left")
+        .select(*posts.columns, "centre", "overlap", "centre_n", "low", "high", F.coalesce("component", "doc_id").alias("component"))
     )
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = open_tokens.filter("lo <> hi").select("token")
     placed = store(placed.join(open_tokens, "token", "left_semi"), "open-posts")
-    sides = [
-        placed.select(
-            "token",
-            *(
-                F.col(c).alias(x + side)
-                for c, x in (("doc_id", ""), ("n", "n"), ("unshared", "u"), ("asks", "l"), ("level", "v"), ("component", "c"))
-            ),
-        )
-        for side in "ab"
-    ]
-    ask = "least(la, lb)"
-    met = sides[0].join(sides[1], "token").filter("a < b AND ca <> cb").filter(_possible(percent))
-    enough = met.filter(f"va <= {ask} AND vb <= {ask}").groupBy("a", "b", F.expr(ask).alias("ask")).count()
-    second = verified(enough.filter("count >= ask").select("a", "b"), heads, percent)
-    return rows, store(first.unionAll(second), "links")
+    short = {
+        "doc_id": "", "n": "n", "unshared": "u", "asks": "l", "component": "c", "centre": "p", "overlap": "o",
+        "centre_n": "z", "low": "x", "high": "y",
+    }
+    # a pair that links shares a shingle of the shortest prefixes; whether it shares enough of the longer ones is seen
+    # from the prefixes themselves
+    shortest = placed.filter("level = 1")
+    sides = [shortest.select("token", *(F.col(c).alias(x + side) for c, x in short.items())) for side in "ab"]
+    pairs = sides[0].join(sides[1], "token").filter("a < b AND ca <> cb")
+    pairs = pairs.filter(_possible(percent)).filter(_possible_beside(percent))
+    pairs = pairs.select("a", "b", F.expr("least(la, lb) AS ask")).distinct()
+    for side in "ab":
+        prefix = heads.select(F.col("doc_id").alias(side), F.arrays_zip("tokens", "levels").alias("prefix" + side))
+        pairs = pairs.join(prefix, side)
+    within = [f"transform(filter(prefix{side}, x -> x.levels <= ask), x -> x.tokens)" for side in "ab"]
+    enough = pairs.filter(f"size(array_intersect({within[0]}, {within[1]})) >= ask").select("a", "b")
+    second = compared(enough, heads).filter(_reached("shared", percent)).select("a", "b")
+    return rows, store(linked.unionAll(second), "links")
 
 
 def joined(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
