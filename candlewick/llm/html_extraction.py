@@ -9,8 +9,8 @@ not content. Each example is also shown with the statistics of other nodes, so t
 outweighs a name, without the hint that it stands outside an article, and link lists without any name.
 
 Decoding is hierarchical: what stands in a dropped element is dropped with it, and an element is kept only if all above
-are. From the leaves up, every node compares the probability of dropping it with that of keeping it and the best choice
-below it; contradictions between ancestor and descendant cannot arise.
+are. From the root down, a node below a kept one is kept if it is more likely content than not, given that its parent is;
+contradictions between ancestor and descendant cannot arise, and the number of descendants plays no part.
 
 Scripts, styles, comments, the head and markup never count as text. Character references are decoded; white space inside
 a block becomes one space; blocks are joined by two line feeds in page order. Null and empty pages have an empty text.
@@ -249,14 +249,9 @@ class Page:
 
     def text(self, content: np.ndarray) -> str:
         """The text of the nodes kept, given each node's probability of content if its parent is."""
-        keep = np.log(np.clip(content, 1e-9, 1))
-        drop = np.log(np.clip(1 - content, 1e-9, 1))
-        best = keep.copy()  # of keeping a node, with the best choices below it
-        for i in range(len(self.nodes) - 1, 0, -1):
-            best[self.nodes[i].parent] += max(best[i], drop[i])
         kept = [True] * len(self.nodes)
         for i in range(1, len(self.nodes)):
-            kept[i] = kept[self.nodes[i].parent] and best[i] > drop[i]
+            kept[i] = kept[self.nodes[i].parent] and bool(content[i] > 0.5)
         blocks: dict[int, list[str]] = {}
         for block, i, body in self.texts:
             if kept[i]:

@@ -167,3 +167,17 @@ def test_dropped_nodes_take_their_content_along():
     assert page.text(p) == "Three"
     assert Page("<p>a<p>b</div></p>c").text(np.full(9, 0.9)[: len(Page("<p>a<p>b</div></p>c").nodes)]) == "a\n\nb\n\nc"
     assert content(np.zeros((2, 15)), []).tolist() == [0.75, 0.75]
+
+
+def test_long_pages_are_kept_whole(spark):
+    rng = random.Random(3)
+    learnt = [(i, PAGE.replace("{i}", str(i)).replace("{body}", prose(rng, rng.randint(1, 80)))) for i in range(60)]
+    bodies = {n: [f"{k} {prose(rng, 12)}" for k in range(n)] for n in (10, 1_000, 50_000)}
+    wide = [(n, PAGE.replace("{i}", "0").replace("{body}", "</p><p>".join(b))) for n, b in bodies.items()]
+    schema = "page_id long, html string"
+    model = train(spark.createDataFrame(learnt, schema))
+    got = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(wide, schema), model, ["page_id"]).collect()}
+    for n, body in bodies.items():
+        assert got[n] == "\n\n".join(["Head 0", "First <part> of 0, it goes on.", *body])
+    page = Page("<div>" + "<p>x</p>" * 1_000 + "</div>")
+    assert page.text(np.full(len(page.nodes), 0.982)).count("x") == 1_000
