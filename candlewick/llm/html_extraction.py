@@ -46,6 +46,7 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 BOILERPLATE_TAGS = set("nav footer aside header form menu dialog button select fieldset search".split())
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_TOKENS = set(
@@ -98,7 +99,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack = [("html", 0)]  # open elements with the node they belong to
         block, links, at = 0, 0, 0
-        skipping = ""  # a raw element, or the head, that is being passed over
+        skipping = ""  # the head, while it is being passed over
 
         def text(raw: str) -> None:
             if not raw:
@@ -115,7 +116,7 @@ class Page:
                 node.words += len(body.split())
                 node.stops += sum(body.count(c) for c in ".,;!?")
 
-        for match in TOKEN.finditer(source):
+        while match := TOKEN.search(source, at):
             if not skipping:
                 text(source[at : match.start()])
             closing, tag, rest = match.groups()
@@ -123,15 +124,22 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if not closing and tag in RAW:
+                if not (rest.rstrip().endswith("/") and tag in ("svg", "math")):
+                    # what stands inside is no markup: tags are read again from its end, or nothing if it has none
+                    end = RAW_END[tag].search(source, at)
+                    at = end.start() if end else len(source)
+                continue
+            if closing and tag in RAW:
+                continue
             if skipping:
-                if tag == skipping and closing or skipping == "head" and tag == "body":
-                    skipping = ""
-                    if closing:
-                        continue
-                else:
+                if tag != "body" and not (tag == "head" and closing):
+                    continue
+                skipping = ""
+                if closing:
                     continue
-            if not closing and (tag in RAW or tag == "head"):
-                skipping = "" if rest.rstrip().endswith("/") and tag in ("svg", "math") else tag
+            if not closing and tag == "head":
+                skipping = tag
                 continue
             if tag in BLOCK:
                 block += 1

@@ -181,3 +181,19 @@ def test_long_pages_are_kept_whole(spark):
         assert got[n] == "\n\n".join(["Head 0", "First <part> of 0, it goes on.", *body])
     page = Page("<div>" + "<p>x</p>" * 1_000 + "</div>")
     assert page.text(np.full(len(page.nodes), 0.982)).count("x") == 1_000
+
+
+RAW_PARTS = (
+    "<script>for(i=0;i<n;i++){f(i);}</script>", "<SCRIPT>if(a<b)x='</p>'</Script >", "<script>s='<!-- ';t=\"it's\"</script>",
+    "<style>a::after{content:'<?'}</style>", "<textarea>1 <b and \"</textarea>", "<svg><text>x<y</text></svg>", "<svg/>",
+)
+
+
+@pytest.mark.parametrize("raw", [*RAW_PARTS, "".join(RAW_PARTS)])
+def test_raw_elements_end_at_their_own_end(raw):
+    for source in (
+        f"<body>{raw}<article><p>One</p>{raw}<p>Two</p></article>",
+        f"<head>{raw}<script>d='</head><body>'</script></head><body><article><p>One</p><p>Two</p></article>",
+    ):
+        page = Page(source)
+        assert page.text(np.ones(len(page.nodes))) == "One\n\nTwo"
