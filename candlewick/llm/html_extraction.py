@@ -1,12 +1,20 @@
 """Main text of web pages: boosted trees judge DOM nodes, a decoding over the tree makes the choices agree.
 
 A page is read into a tree of its block-level elements and of all elements with a class, id or role. Each node has
-features: depth, text and its density in the subtree, link density, punctuation, how it compares with its siblings, its
-place in the page, and whether its tag or attribute tokens name boilerplate or content. Gradient-boosted trees, fitted by
-Spark on the nodes of a bounded sample of TRAIN_PAGES pages, give the probability that a node is content if its parent
-is. Labels for the fit come from the pages: elements that name themselves boilerplate, or stand outside an article, are
-not content. Each example is also shown with the statistics of other nodes, so that no chance regularity of the text
-outweighs a name, without the hint that it stands outside an article, and link lists without any name.
+features: depth, text and its density in the subtree, link density, punctuation, how it compares with its siblings in
+length and tag, its place in the page, whether it is a paragraph or the like, whether it is named as content, and whether
+it stands outside an article. Gradient-boosted trees, fitted by Spark on the nodes of a bounded sample of TRAIN_PAGES
+pages, give the probability that a node is content if its parent is. Labels for the fit come from the pages: elements
+that name themselves boilerplate, or stand outside an article, are not content. These names are no features, so the trees
+must tell boilerplate by its structure; each example is also shown without the two hints that pages give, and once more
+without its tag, at depths that vary by page.
+
+What names itself boilerplate is dropped by its name: an element of such a kind, one with the attribute hidden or
+display:none, or one with a whole class, id or role that says so ("share-box", not "with-sidebar") and none that speaks
+of content. An article, a main part, or what a whole name calls so, is kept with all above it that names itself nothing
+else. A paragraph, list or table, or what holds half of its parent's text or more, is kept too unless most of it is links:
+fixtures of one make cannot teach the trees that such text may go. So boilerplate without a name that comes as bare
+paragraphs stays. All other nodes are judged by the trees.
 
 Decoding is hierarchical: what stands in a dropped element is dropped with it, and an element is kept only if all above
 are. From the root down, a node below a kept one is kept if it is more likely content than not, given that its parent is;
@@ -23,6 +31,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +45,9 @@ from candlewick.llm.common import mapped, store, table
 
 TRAIN_PAGES = 400
 TREES, DEPTH, STEP = 20, 4, 0.3
-FEATURES = 15
+FEATURES = 13
+# features that examples are also shown without, or with others
+DEEP, LINKED, RELATIVE, PLACE, LOGS, LENGTHS, TAGS, HINTS = 0, 3, 7, 9, [1, 4], [2, 6], [8, 10], [11, 12]
 
 # Element names of HTML by role, and attribute tokens that name a part of a page.
 BLOCK = set(
@@ -51,12 +62,17 @@ BOILERPLATE_TAGS = set("nav footer aside header form menu dialog button select f
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_TOKENS = set(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary "
-    "consent contentinfo cookie cookies copyright discussion disqus footer form gdpr header hidden login masthead menu "
+    "consent contentinfo cookie cookies copyright discussion disqus footer form gdpr header login masthead menu "
     "modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags teaser toc toolbar widget".split()
 )
 CONTENT_TOKENS = set("article body content entry main post story text".split())
+# words that leave the meaning of a name as it is
+NEUTRAL_TOKENS = set("area bar block box container group inner item items list outer section wrap wrapper".split())
+PARAGRAPHS = set(
+    "blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td tfoot th thead tr ul".split()
+)
 CLOSED_BY = {  # an open element that ends where one of these begins
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -72,16 +88,41 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMING = {"class", "id", "role", "itemprop"}
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+CAPITAL = re.compile(r"([a-z])([A-Z])")
 
 
-class Node:
-    __slots__ = ("tag", "parent", "children", "tokens", "chars", "links", "tags", "stops", "words", "blocks", "own", "at")
+def names_of(rest: str) -> tuple[list[set[str]], bool]:
+    """The names an element bears, each as its words, and whether it is hidden."""
+    names, hidden = [], False
+    for name, *values in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values)
+        if name in NAMING:
+            found = (re.findall("[a-z]+", CAPITAL.sub(r"\1 \2", x).lower()) for x in value.split())
+            names += [set(x) for x in found if x]
+        elif name == "hidden":
+            hidden |= value.lower() != "false"
+        elif name == "style":
+            hidden |= bool(UNSEEN.search(value))
+    return names, hidden
+
 
-    def __init__(self, tag: str, parent: int, tokens: frozenset[str], at: int):
-        self.tag, self.parent, self.tokens, self.at = tag, parent, tokens, at
+class Node:
+    __slots__ = (
+        "tag", "parent", "children", "content", "boilerplate", "main", "chars", "links", "tags", "stops", "words", "blocks",
+        "own", "at",
+    )
+
+    def __init__(self, tag: str, parent: int, names: list[set[str]], hidden: bool, at: int):
+        self.tag, self.parent, self.at = tag, parent, at
+        whole = [name - NEUTRAL_TOKENS for name in names]
+        self.main = tag in CONTENT_TAGS or {"main"} in whole
+        self.content = tag in CONTENT_TAGS or any(name and name <= CONTENT_TOKENS for name in whole)
+        named = any(name and name <= BOILERPLATE_TOKENS for name in whole)
+        named = named and not any(name & CONTENT_TOKENS for name in names)
+        self.boilerplate = hidden or tag in BOILERPLATE_TAGS or named
         self.children: list[int] = []
         self.chars = self.links = self.tags = self.stops = self.words = self.blocks = self.own = 0
 
@@ -90,18 +131,18 @@ class Page:
     """The tree of a page, parents before children, and its texts as (block, node, text)."""
 
     def __init__(self, source: str):
-        self.nodes = [Node("html", -1, frozenset(), 0)]
+        self.nodes = [Node("html", -1, [], False, 0)]
         self.texts: list[tuple[int, int, str]] = []
-        self.size = max(1, len(source))
         self._read(source)
         self._measure()
 
     def _read(self, source: str) -> None:
         stack = [("html", 0)]  # open elements with the node they belong to
-        block, links, at = 0, 0, 0
+        block, links, at, seen = 0, 0, 0, 0
         skipping = ""  # the head, while it is being passed over
 
         def text(raw: str) -> None:
+            nonlocal seen
             if not raw:
                 return
             body = references.unescape(raw)
@@ -109,6 +150,7 @@ class Page:
             self.texts.append((block, i, body))
             n = len(body.strip())
             if n:
+                seen += n
                 node = self.nodes[i]
                 node.own += n
                 node.chars += n
@@ -155,18 +197,10 @@ class Page:
             if tag in ("html", "body") or tag in VOID:
                 continue
             stack, links = self._close(stack, tag, links)
-            found = dict()
-            if "=" in rest or "hidden" in rest:
-                for name, *values in ATTRIBUTE.findall(rest):
-                    if name.lower() in NAMING:
-                        found[name.lower()] = " ".join(values)
-            names = {w for value in found.values() for w in re.findall(r"[a-z]+", re.sub(
-                r"([a-z])([A-Z])", r"\1 \2", value).lower())}
-            if rest and HIDDEN.search(rest):
-                names.add("hidden")
+            names, hidden = names_of(rest) if rest and not rest.isspace() else ([], False)
             parent = stack[-1][1]
-            if tag in BLOCK or tag in BOILERPLATE_TAGS or names:
-                self.nodes.append(Node(tag, parent, frozenset(names), match.start()))
+            if tag in BLOCK or tag in BOILERPLATE_TAGS or names or hidden:
+                self.nodes.append(Node(tag, parent, names, hidden, seen))
                 self.nodes[parent].children.append(len(self.nodes) - 1)
                 parent = len(self.nodes) - 1
             else:
@@ -198,7 +232,7 @@ class Page:
                 setattr(up, name, getattr(up, name) + getattr(node, name))
             up.tags += node.tags + 1
         # where a page has content elements: what lies inside them or around them
-        inside = [n.tag in CONTENT_TAGS or "main" in n.tokens for n in self.nodes]
+        inside = [n.main for n in self.nodes]
         self.marked = any(inside)
         around = list(inside)
         for i in range(len(self.nodes) - 1, 0, -1):
@@ -207,16 +241,9 @@ class Page:
             inside[i] |= inside[self.nodes[i].parent]
         self.outside = [self.marked and not (a or b) for a, b in zip(inside, around)]
 
-    @staticmethod
-    def named(node: Node) -> tuple[bool, bool, bool]:
-        return (
-            node.tag in BOILERPLATE_TAGS,
-            bool(node.tokens & BOILERPLATE_TOKENS),
-            node.tag in CONTENT_TAGS or bool(node.tokens & CONTENT_TOKENS),
-        )
-
     def features(self) -> np.ndarray:
         rows, depth = [], [0] * len(self.nodes)
+        alike = [Counter(self.nodes[i].tag for i in n.children) for n in self.nodes]
         for i, n in enumerate(self.nodes):
             up = self.nodes[n.parent] if i else n
             depth[i] = depth[n.parent] + 1 if i else 0
@@ -230,24 +257,23 @@ class Page:
                     math.log1p(n.own),
                     n.stops / max(1, n.words),
                     n.words / max(1, n.blocks),
-                    siblings,
-                    n.chars / max(1, up.chars),
                     n.chars * siblings / max(1, up.chars),
-                    n.at / self.size,
-                    *self.named(n),
+                    alike[n.parent][n.tag] / siblings if i else 1,
+                    n.at / max(1, self.nodes[0].chars),
+                    n.tag in PARAGRAPHS,
+                    n.content,
                     self.outside[i],
                 )
             )
         return np.array(rows, dtype=np.float64)
 
     def labels(self) -> list[int | None]:
-        """1 content, 0 not, None where the page does not tell or the parent is no content."""
+        """1 content, 0 not, None where the page does not tell or the parent is no content and the node not mere links."""
         found: list[int | None] = []
         for i, n in enumerate(self.nodes):
-            tag, token, _ = self.named(n)
             if i == 0 or found[n.parent] == 0 or found[n.parent] is None and n.parent > 0:
-                found.append(1 if i == 0 else None)
-            elif tag or token or self.outside[i]:
+                found.append(1 if i == 0 else 0 if n.links > 0.5 * n.chars else None)
+            elif n.boilerplate or self.outside[i]:
                 found.append(0)
             elif self.marked or n.chars > 80 and n.links < 0.3 * n.chars:
                 found.append(1)
@@ -255,6 +281,17 @@ class Page:
                 found.append(None)
         return found
 
+    def judged(self, content: np.ndarray) -> np.ndarray:
+        """The probabilities; 0 for nodes that name themselves boilerplate; 1 for those named as content or around such,
+        and for paragraphs and the bulk of their parent's text, if no more than half of them is links."""
+        sure = [n.content for n in self.nodes]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            sure[self.nodes[i].parent] |= sure[i] and not self.nodes[i].boilerplate
+        for i, n in enumerate(self.nodes):
+            bulk = 2 * n.chars >= self.nodes[max(0, n.parent)].chars
+            sure[i] |= (bulk or n.tag in PARAGRAPHS) and 2 * n.links <= n.chars
+        return np.where([n.boilerplate for n in self.nodes], 0.0, np.where(sure, 1.0, content))
+
     def text(self, content: np.ndarray) -> str:
         """The text of the nodes kept, given each node's probability of content if its parent is."""
         kept = [True] * len(self.nodes)
@@ -269,29 +306,34 @@ class Page:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    random = np.random.default_rng(7)
     for batch in batches:
-        rows, labels = [], []
+        rows, labels = [np.zeros((0, FEATURES))], []
         for source in batch.column("html").to_pylist():
             page = Page(source or "")
-            for x, y in zip(page.features().tolist(), page.labels()):
-                if y is not None:
-                    rows.append(x)
-                    labels.append(float(y))
-        x, y = np.array(rows, dtype=np.float64).reshape(len(rows), FEATURES), np.array(labels)
-        blind, random = x.copy(), np.random.default_rng(7)
-        blind[:, -1] = 0
-        mixed = [x, blind]
-        for source in (x, blind, blind):
-            other = source.copy()
-            for column in range(1, FEATURES - 4):
-                other[:, column] = random.permutation(x[:, column])
-            other[:, 0] = random.integers(0, 12, len(x))
-            mixed.append(other)
-        unnamed = blind[(y == 0) & (x[:, 3] > 0.5)]
-        unnamed[:, -4:] = 0
-        x, y = np.concatenate([*mixed, unnamed]), np.concatenate([np.tile(y, len(mixed)), np.zeros(len(unnamed))])
+            told = [(i, y) for i, y in enumerate(page.labels()) if i and y is not None]
+            x = page.features()[[i for i, _ in told]]
+            y = np.array([float(y) for _, y in told])
+            for copy in range(3):
+                shown = x.copy()
+                shown[:, DEEP] += random.integers(0, 6)
+                scale = np.exp(random.uniform(-4, 0))  # a page of the same make with shorter texts
+                shown[:, LOGS] = np.log1p(np.expm1(shown[:, LOGS]) * scale)
+                shown[:, LENGTHS] *= scale
+                some = (y == 1) & (random.random(len(y)) < 0.2)
+                shown[some, LINKED] = random.uniform(0, 0.7, int(some.sum()))
+                if copy > 0:
+                    shown[:, HINTS] = 0
+                if copy > 1:
+                    shown[:, TAGS] = (1, 0)
+                else:  # paragraphs of any length beside others of any kind, anywhere
+                    some = (y == 1) & (x[:, TAGS[1]] == 1) & (random.random(len(y)) < 0.3)
+                    shown[some, RELATIVE] = np.exp(random.uniform(-4, 1, int(some.sum())))
+                    shown[some, TAGS[0]], shown[some, PLACE] = random.random((2, int(some.sum())))
+                rows.append(shown)
+                labels += y.tolist()
         yield pa.RecordBatch.from_pydict(
-            {"x": pa.array(x.tolist(), pa.list_(pa.float64())), "label": pa.array(y, pa.float64())}
+            {"x": pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64())), "label": pa.array(labels, pa.float64())}
         )
 
 
@@ -303,11 +345,15 @@ def train(pages: DataFrame, html: str = "html", rows: int = TRAIN_PAGES) -> Tree
     """Boosted trees from a sample of at most `rows` pages; none if their nodes are all of one kind."""
     sample = pages.select(F.col(html).alias("html")).filter("html IS NOT NULL").orderBy(F.xxhash64("html")).limit(rows)
     nodes = store(mapped(sample, _examples, "x array<double>, label double"), "dom-nodes")
-    if len(nodes.select("label").distinct().take(2)) < 2:
+    kinds = {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()}
+    if len(kinds) < 2:
         return []
-    data = nodes.select(array_to_vector("x").alias("features"), "label")
+    # a page has many paragraphs and few menus; text lost counts twice as much as boilerplate kept
+    weight = F.when(F.col("label") == 1, 2 / kinds[1.0]).otherwise(1 / kinds[0.0]) * (sum(kinds.values()) / 3)
+    data = nodes.select(array_to_vector("x").alias("features"), "label", weight.alias("weight"))
     fit = GBTClassifier(
-        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, featureSubsetStrategy="0.5", seed=7, maxBins=64
+        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, featureSubsetStrategy="0.5", seed=7, maxBins=64,
+        weightCol="weight",
     ).fit(data)
     trees = []
     for weight, tree in zip(fit.treeWeights, fit.trees):
@@ -352,7 +398,7 @@ def _extract(trees: Trees):
                 pages = [Page(x or "") for x in batch.column("html")[first : first + 200].to_pylist()]
                 p = content(np.concatenate([page.features() for page in pages]), trees)
                 cuts = np.cumsum([len(page.nodes) for page in pages])
-                texts += [page.text(part) for page, part in zip(pages, np.split(p, cuts[:-1]))]
+                texts += [page.text(page.judged(part)) for page, part in zip(pages, np.split(p, cuts[:-1]))]
             kept = batch.drop_columns(["html"])
             found = {
                 "text": pa.array(texts, pa.string()),

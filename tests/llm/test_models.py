@@ -197,3 +197,26 @@ def test_raw_elements_end_at_their_own_end(raw):
     ):
         page = Page(source)
         assert page.text(np.ones(len(page.nodes))) == "One\n\nTwo"
+
+
+def test_boilerplate_by_structure_and_wrappers_by_whole_names(spark):
+    rng = random.Random(5)
+    bodies = ["</p><p>".join(prose(rng, rng.randint(5, 60)) for _ in range(rng.randint(2, 12))) for _ in range(80)]
+    ads = [prose(rng, rng.randint(4, 14)) for _ in bodies]
+    learnt = [
+        (i, PAGE.replace("{i}", str(i)).replace("{body}", b).replace("Buy now, really.", ad))
+        for i, (b, ad) in enumerate(zip(bodies, ads))
+    ]
+    paragraphs = [prose(rng, 30) for _ in range(8)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    menu = "<div class=x1><ul>" + "".join(f"<li><a href=/{k}>Entry {k}</a>" for k in range(6)) + "</ul></div>"
+    notice = "<div class=x2>We use small files, as you know.</div>"
+    wrappers = ("class='content with-sidebar'", "class=ad-free", "class='overflow-hidden'", "style='overflow: hidden'")
+    pages = [f"<body><div {w}>{body}</div></body>" for w in wrappers]
+    pages += [f"<body>{menu}<div>{body}</div></body>", f"<body><article>{menu}{body}</article></body>"]
+    pages += [f"<body>{notice}<article>{body}</article></body>"]
+    pages += [f"<body><div>{body}</div><div {w}>Gone.</div></body>" for w in ("hidden", "style='display:none'", "class='share-box'")]
+    schema = "page_id long, html string"
+    model = train(spark.createDataFrame(learnt, schema))
+    got = extracted(spark.createDataFrame(list(enumerate(pages)), schema), model, ["page_id"]).collect()
+    assert {r["page_id"] for r in got if r["text"] != "\n\n".join(paragraphs)} == set()
