@@ -3,6 +3,9 @@
 Texts become lower-case words between white space; a shingle is five words in a row, or the whole sequence where there
 are fewer. An item leaks into a document that holds at least 80 % of the item's distinct shingles.
 
+Items of fewer than five words are not searched inside longer documents: such an item is one shorter shingle, and only a
+document of exactly these words has it.
+
 Search: size-partitioned MinHash containment. Items are partitioned by shingle count, each partition spanning a factor
 of two. Within a partition an item is represented by its k smallest shingle hashes, k being one more than the number of
 shingles that an item of the partition's upper size may lack. So every containing document holds at least one of them,
