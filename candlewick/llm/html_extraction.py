@@ -12,7 +12,8 @@ without its tag, at depths that vary by page.
 What names itself boilerplate is dropped by its name: an element of such a kind, one with the attribute hidden or
 display:none, or one with a whole class, id or role that says so ("share-box", not "with-sidebar") and none that speaks
 of content. An article, a main part, or what a whole name calls so, is kept with all above it that names itself nothing
-else. A paragraph, list or table, or what holds half of its parent's text or more, is kept too unless most of it is links:
+else. A paragraph, list or table, or what is at least half as long as its siblings are on average, is kept too unless most of
+it is links:
 fixtures of one make cannot teach the trees that such text may go. So boilerplate without a name that comes as bare
 paragraphs stays. All other nodes are judged by the trees.
 
@@ -283,13 +284,14 @@ class Page:
 
     def judged(self, content: np.ndarray) -> np.ndarray:
         """The probabilities; 0 for nodes that name themselves boilerplate; 1 for those named as content or around such,
-        and for paragraphs and the bulk of their parent's text, if no more than half of them is links."""
+        and for paragraphs and what is at least half as long as its siblings on average, if no more than half is links."""
         sure = [n.content for n in self.nodes]
         for i in range(len(self.nodes) - 1, 0, -1):
             sure[self.nodes[i].parent] |= sure[i] and not self.nodes[i].boilerplate
         for i, n in enumerate(self.nodes):
-            bulk = 2 * n.chars >= self.nodes[max(0, n.parent)].chars
-            sure[i] |= (bulk or n.tag in PARAGRAPHS) and 2 * n.links <= n.chars
+            up = self.nodes[max(0, n.parent)]
+            long = 2 * n.chars * len(up.children) >= up.chars
+            sure[i] |= (long or n.tag in PARAGRAPHS) and 2 * n.links <= n.chars
         return np.where([n.boilerplate for n in self.nodes], 0.0, np.where(sure, 1.0, content))
 
     def text(self, content: np.ndarray) -> str:

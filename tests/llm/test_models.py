@@ -220,3 +220,5 @@ def test_boilerplate_by_structure_and_wrappers_by_whole_names(spark):
     model = train(spark.createDataFrame(learnt, schema))
     got = extracted(spark.createDataFrame(list(enumerate(pages)), schema), model, ["page_id"]).collect()
     assert {r["page_id"] for r in got if r["text"] != "\n\n".join(paragraphs)} == set()
+    short = Page("<body><div>Short note.</div><div>Another one.</div></body>")
+    assert short.text(short.judged(content(short.features(), model))) == "Short note.\n\nAnother one."
