@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from candlewick.llm import hard_negatives
 from candlewick.llm.decontamination import op1_decontamination
+from candlewick.llm.hard_negatives import op12_hard_negatives
 from candlewick.llm.html_extraction import op7_html_extraction
 from candlewick.llm.jaccard_join import op9_jaccard_join
 from candlewick.llm.language_id import op4_language_id
@@ -26,6 +28,7 @@ QUERIES = {
         op8_lm_scoring,
         op9_jaccard_join,
         op10_suffix_dedup,
+        op12_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": hard_negatives.SQL}
