@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from candlewick.llm import hard_negatives
+from candlewick.llm.conversation_repair import op13_conversation_repair
 from candlewick.llm.decontamination import op1_decontamination
 from candlewick.llm.hard_negatives import op12_hard_negatives
 from candlewick.llm.html_extraction import op7_html_extraction
@@ -29,6 +30,7 @@ QUERIES = {
         op9_jaccard_join,
         op10_suffix_dedup,
         op12_hard_negatives,
+        op13_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {"op12_hard_negatives": hard_negatives.SQL}
