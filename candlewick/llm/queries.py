@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from candlewick.llm import hard_negatives
+from candlewick.llm.adaptive_search import op11_nearest_neighbours
 from candlewick.llm.conversation_repair import op13_conversation_repair
 from candlewick.llm.decontamination import op1_decontamination
 from candlewick.llm.hard_negatives import op12_hard_negatives
@@ -29,6 +30,7 @@ QUERIES = {
         op8_lm_scoring,
         op9_jaccard_join,
         op10_suffix_dedup,
+        op11_nearest_neighbours,
         op12_hard_negatives,
         op13_conversation_repair,
     )
