@@ -61,9 +61,9 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """vec_id and embedding as doubles, one row per id."""
-    rows = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
+    """vec_id and embedding in its own precision, one row per id."""
+    rows = df.select("vec_id", "embedding")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     rows = rows.filter("vec_id IS NOT NULL").filter((norm > 0) & (norm <= 1.7e308))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
@@ -73,6 +73,7 @@ def matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
@@ -123,6 +124,8 @@ class Model:
 def _fit(rows: int, wanted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [matrix(b.column("embedding")) for b in batches if b.num_rows]
+        if not held:
+            return
         model = Model.fit(np.concatenate(held), rows, wanted)
         yield pa.RecordBatch.from_arrays([pa.array([model.dumped()], pa.binary())], names=["model"])
 
@@ -205,7 +208,7 @@ def _ask(model: Model, wanted: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
-                        pa.array([x.tobytes() for x in vectors], pa.binary()),
+                        pa.array([x.tobytes() for x in vectors.astype(np.float64)], pa.binary()),
                         pa.array([x.tobytes() for x in rotated], pa.binary()),
                         pa.array(cut.astype(np.float64)),
                         pa.array(bound.astype(np.float64) - 1e-6),
@@ -272,8 +275,8 @@ class Nearest:
         self.best = tuple(x[keep] for x in (queries, scores, ids, counts))
 
 
-def _search(model: Model, asked: list, wanted: int):
-    """Per task the best candidates of each query of the wave."""
+def _search(model: Model, asked: list, wanted: int, kind: type):
+    """Per task the best candidates of each query of the wave; `kind` is the precision of the stored vectors."""
     keys = np.array([r["key"] for r in asked], np.int64)
     vectors, rotated = b"".join(bytes(r["vector"]) for r in asked), b"".join(bytes(r["rotated"]) for r in asked)
     cuts, bounds = (np.array([r[c] for r in asked]) for c in ("cut", "bound"))
@@ -287,9 +290,9 @@ def _search(model: Model, asked: list, wanted: int):
         for batch in batches:
             for number, *cells in zip(*(batch.column(c) for c in ("list", "ids", "counts", "vectors", "rotated"))):
                 flat, counts, theirs, columns = (
-                    np.frombuffer(c.as_buffer(), k) for c, k in zip(cells, (np.int64, np.int32, np.float64, np.float32))
+                    np.frombuffer(c.as_buffer(), k) for c, k in zip(cells, (np.int64, np.int32, kind, np.float32))
                 )
-                theirs, columns = theirs.reshape(len(counts), -1), columns.reshape(-1, len(counts))
+                theirs, columns = theirs.reshape(len(counts), -1).astype(np.float64), columns.reshape(-1, len(counts))
                 ids = np.zeros((len(counts), wanted), np.int64)
                 ids[np.arange(wanted) < counts[:, None]] = flat
                 norms = np.sqrt(np.einsum("ij,ij->i", theirs, theirs))
@@ -320,18 +323,26 @@ def _of_one_length(rows: DataFrame, query: str, most: int) -> DataFrame:
     first = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= wanted)
     vectors = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    vectors = store(vectors.withColumn("turn", F.xxhash64("embedding")), "vectors")
-    total = vectors.count()
-    size = len(vectors.first()["embedding"])
-    sample = vectors.orderBy("turn", "ids").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))).select("embedding")
-    model = Model.loaded(bytes(mapped(sample.coalesce(1), _fit(total, wanted), "model binary").first()["model"]))
-
-    kind = "list int, turn long, ids array<long>, embedding array<double>"
-    assigned = store(mapped(vectors, _assign(model), kind), "assigned")
-    dealt = assigned.repartitionByRange("list", "turn").sortWithinPartitions("list", "turn")
+    total = rows.count()
+    size = len(rows.first()["embedding"])
+    precise = rows.schema["embedding"].dataType.elementType.simpleString()
+    kind = np.float32 if precise == "float" else np.float64
+    # equal vectors share a hash; a share of the hashes is enough, unless nearly all rows are copies of a few vectors
+    most_fitted = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))
+    turn = F.xxhash64("embedding")
+    for share in (1 + total // (8 * SAMPLE), 1):
+        drawn = rows.select("embedding", turn.alias("turn")).filter(F.pmod(F.xxhash64("turn"), F.lit(share)) == 0)
+        sample = drawn.distinct().orderBy("turn", "embedding").limit(most_fitted).select("embedding")
+        fitted = mapped(sample.coalesce(1), _fit(total, wanted), "model binary").collect()
+        if fitted:
+            break
+    model = Model.loaded(bytes(fitted[0]["model"]))
+
+    schema = f"list int, turn long, ids array<long>, embedding array<{precise}>"
+    assigned = store(mapped(vectors.withColumn("turn", turn), _assign(model), schema), "assigned")
+    tasks = 4 * spark.sparkContext.defaultParallelism + total // (64 * BLOCK_ROWS)
+    dealt = assigned.repartitionByRange(tasks, "list", "turn").sortWithinPartitions("list", "turn")
     blocks = store(mapped(dealt, _pack(model), BLOCKS), "search-blocks")
-    number = blocks.count()
-    blocks = store(blocks.repartition(max(1, min(number, 4 * spark.sparkContext.defaultParallelism + number // 256))), "dealt")
 
     asking = rows.filter(query)
     chosen = store(asking.groupBy("embedding").agg(F.min("vec_id").alias("key")), "queries")
@@ -340,7 +351,7 @@ def _of_one_length(rows: DataFrame, query: str, most: int) -> DataFrame:
     found = []
 
     def searched(asked: list) -> DataFrame:
-        near = mapped(blocks, _search(model, asked, wanted), "key long, score double, ids array<long>")
+        near = mapped(blocks, _search(model, asked, wanted, kind), "key long, score double, ids array<long>")
         best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
         near = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= wanted)
         return store(near.select("key", (-F.col("score")).alias("far"), F.explode("ids").alias("vec_id")), "near")
