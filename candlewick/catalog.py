@@ -21,7 +21,7 @@ from candlewick.operators.cells import over_series
 from candlewick.plans import run_analytics as runs
 from candlewick.plans.training import run_training
 from candlewick.session import stage, work_dir
-from candlewick.sinks.artifacts import append_tables, snapshot, write_snapshot
+from candlewick.sinks.artifacts import snapshot, write_snapshot
 from candlewick.sources.artifacts import read_runs
 from candlewick.sources.bars import read_bars, split_lines, type_bars
 from candlewick.sources.logs import log_preview, log_value, parse_log
@@ -578,13 +578,6 @@ def run_lookup(spark, sf):
     return runs.find_run(run_tables(spark, sf), "error" + RUN_SUFFIX)
 
 
-@query
-def metrics_sink(spark, sf):
-    root = f"{work_dir(spark)}/metrics-{uuid.uuid4().hex}"
-    append_tables({"precision": run_tables(spark, sf).precision.drop("position")}, root)
-    return spark.read.parquet(f"{root}/precision").filter(f"run_id <> '{LEFT_RUN}'")
-
-
 @query
 def run_summary(spark, sf):
     return runs.run_summary(run_tables(spark, sf))

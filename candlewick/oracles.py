@@ -335,7 +335,6 @@ ORACLES: dict[str, str] = {
   WHERE missing <> ''""",
     "run_lookup": f"""{RUNS} SELECT summary.* FROM summary JOIN status USING (run_id)
   WHERE missing = '' AND run_id = 'error{SUFFIX}'""",
-    "metrics_sink": f"{RUNS} SELECT * FROM prec WHERE run_id <> 'click{SUFFIX}'",
     "run_summary": f"{RUNS} SELECT * FROM summary",
     "scorecard": f"""{RUNS}, v AS (SELECT run_id, train_precision_at_0_5, val_precision_at_0_5, test_precision_at_0_5,
     val_baseline, test_baseline, val_lift_at_0_5, test_lift_at_0_5,

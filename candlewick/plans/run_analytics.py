@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions.sql import k_label, mean_present, run_timestamp, safe_ratio, text
+from candlewick.operators.cells import add_position, measure
 from candlewick.operators.ranking import best_per_group
 from candlewick.sources.artifacts import RunTables, artifact_status, complete_runs
 from candlewick.sources.logs import log_preview, log_value, parse_log
@@ -85,6 +86,20 @@ def list_runs(tables: RunTables) -> DataFrame:
     return summary.orderBy(F.desc("timestamp"), F.desc("run_id"))
 
 
+def overview(tables: RunTables) -> DataFrame:
+    """All runs newest first, complete and skipped ones: position, the reason of a skipped run, how many are skipped.
+
+    Positions are counted in blocks of run ids, so that a listing of any length is numbered without one task for all.
+    """
+    rows = artifact_status(tables.artifacts).selectExpr("run_id", f"{run_timestamp('run_id')} AS timestamp", "reason")
+    total = rows.agg(F.expr("count(1) AS runs"), F.expr("count(reason) AS skipped_runs")).head()
+    cells = measure(rows, [], ["substr(timestamp, 1, 7)", "timestamp", "run_id"])
+    numbered = add_position(rows, "oldest", groups=[], order=["timestamp", "run_id"], cells=cells)
+    numbered = numbered.selectExpr("*", f"{total['runs']}L + 1 - oldest AS position", f"{total['skipped_runs']}L AS skipped_runs")
+    facts = run_summary(tables).join(complete_runs(tables.artifacts), "run_id", "left_semi").drop("timestamp")
+    return numbered.drop("oldest").join(facts, "run_id", "left").orderBy("position")
+
+
 def find_run(tables: RunTables, run_id: str) -> DataFrame:
     """Summary of one run; no row if it is unknown or incomplete."""
     found = run_summary(tables).filter(f"run_id = {text(run_id)}")

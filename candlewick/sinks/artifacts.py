@@ -109,10 +109,10 @@ def write_snapshot(df: DataFrame, path: str, rows: int = SNAPSHOT_ROWS) -> None:
     snapshot(df, rows).select(*flat).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def append_tables(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Metric tables of one or many runs, appended and partitioned by run_id."""
-    for name, df in tables.items():
-        df.write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
+def write_documents(documents: DataFrame, root: str) -> None:
+    """Documents of many runs, (run_id, artifact, body), in one job: <root>/run_id=.../artifact=.../part files."""
+    columns = documents.select("run_id", "artifact", "body").repartition("run_id", "artifact")
+    columns.write.partitionBy("run_id", "artifact").text(root)
 
 
 def log_line(event: str, values: Mapping[str, Any], at: datetime | None = None) -> str:

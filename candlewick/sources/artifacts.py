@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.sql import text
-from candlewick.sources.logs import read_log_lines, run_of
+from candlewick.sources.logs import places_of, plain_part, read_log_lines, run_of
 
 # Artifacts a run must have, in the order in which missing ones are reported.
 REQUIRED_ARTIFACTS = ("metrics.json", "config.yaml", "feature_importance.csv")
@@ -80,7 +80,7 @@ def artifact_status(artifacts: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, artifact: str) -> DataFrame:
     """One small document per run as (run_id, body)."""
-    files = spark.read.text(f"{root}/*/{artifact}", wholetext=True)
+    files = spark.read.text(places_of(root, artifact), wholetext=True)
     return files.selectExpr(f"{run_of('_metadata.file_path', artifact)} AS run_id", "value AS body")
 
 
@@ -93,10 +93,9 @@ def read_metrics(documents: DataFrame) -> DataFrame:
 
 
 def _as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Config documents, JSON or YAML, to JSON."""
+    """Config documents, JSON or YAML, to JSON; a problem for what is no mapping."""
 
-    def convert(body: str) -> str | None:
-        """NULL for what is no mapping."""
+    def convert(body: str) -> tuple[str | None, str | None]:
         try:
             data = json.loads(body)
         except json.JSONDecodeError:
@@ -105,16 +104,38 @@ def _as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 data = yaml.safe_load(body)
             except yaml.YAMLError:
-                return None
-        return json.dumps(data, default=str) if isinstance(data, dict) else None
+                return None, "not YAML"
+        return (json.dumps(data, default=str), None) if isinstance(data, dict) else (None, "not a mapping")
 
     for batch in batches:
-        yield batch.assign(body=[convert(body) for body in batch["body"]])
+        pairs = [convert(body) for body in batch["body"]]
+        yield batch.assign(body=[p[0] for p in pairs], problem=[p[1] for p in pairs])
 
 
 def json_configs(documents: DataFrame) -> DataFrame:
-    """Config documents as (run_id, body), body being JSON or NULL."""
-    return documents.mapInPandas(_as_json, "run_id STRING, body STRING")
+    """Config documents as (run_id, body, problem): JSON, or why there is none."""
+    return documents.mapInPandas(_as_json, "run_id STRING, body STRING, problem STRING")
+
+
+def rejected_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that cannot be used, as (run_id, artifact, problem), whether their run is complete or not."""
+    metrics = read_documents(spark, root, "metrics.json").selectExpr(
+        "run_id",
+        "'metrics.json' AS artifact",
+        "CASE WHEN try_parse_json(body) IS NULL THEN 'not JSON' "
+        f"WHEN NOT {READABLE} THEN 'not an object' END AS problem",
+    )
+    configs = json_configs(read_documents(spark, root, "config.yaml")).selectExpr(
+        "run_id", "'config.yaml' AS artifact", "problem"
+    )
+    header = r"split(lower(split(trim(body), '\r?\n')[0]), ' *, *')"
+    importance = read_documents(spark, root, "feature_importance.csv").selectExpr(
+        "run_id",
+        "'feature_importance.csv' AS artifact",
+        f"CASE WHEN NOT arrays_overlap({header}, array('feature')) OR NOT arrays_overlap({header}, array('importance')) "
+        "THEN 'no columns feature and importance' END AS problem",
+    )
+    return metrics.unionAll(configs).unionAll(importance).filter("problem IS NOT NULL")
 
 
 def read_configs(documents: DataFrame) -> DataFrame:
@@ -147,7 +168,7 @@ def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root if "://" in root else os.path.abspath(root.removeprefix("file:"))
     pattern = text(re.escape(base.rstrip("/")) + "/([^/]+)/([^/]+)")
-    found = [f"regexp_extract(path, {pattern}, {i})" for i in (1, 2)]
+    found = [plain_part(f"regexp_extract(path, {pattern}, {i})") for i in (1, 2)]
     return (
         files.selectExpr(f"{found[0]} AS run_id", f"{found[1]} AS artifact").filter("run_id <> ''").distinct()
     )

@@ -11,9 +11,25 @@ PREVIEW_LINES = 12
 BLANK = "' \\t\\r\\n'"
 
 
+def plain_part(part: str) -> str:
+    """SQL text: a part of a path, which may be a partition column=value, as the value."""
+    value = f"regexp_replace({part}, '^(run_id|artifact)=', '')"
+    return f"CASE WHEN {part} LIKE '%=%' THEN url_decode(replace({value}, '+', '%2B')) ELSE {part} END"
+
+
+def places_of(root: str, artifact: str) -> str:
+    """Glob of an artifact of all runs, in both layouts."""
+    return f"{root}/*/{{{artifact},artifact={artifact}}}"
+
+
 def run_of(path: str, artifact: str) -> str:
-    """SQL text: run id in a file path <root>/<run_id>/<artifact>, be the artifact a file or a folder."""
-    return f"regexp_extract({path}, '([^/]+)/{artifact}(/[^/]+)?$', 1)"
+    """SQL text: run id in a file path <root>/<run_id>/<artifact>, be the artifact a file or a folder.
+
+    Both parts may come as partitions, run_id=.../artifact=..., the layout of many runs written at once. `path` is a
+    file's URI, as file metadata has it.
+    """
+    plain = f"url_decode(replace({path}, '+', '%2B'))"
+    return plain_part(f"regexp_extract({plain}, '([^/]+)/(artifact=)?{artifact}(/[^/]+)?$', 1)")
 
 
 def read_log_lines(spark: SparkSession, root: str, name: str = "logs.txt") -> DataFrame:
@@ -22,7 +38,7 @@ def read_log_lines(spark: SparkSession, root: str, name: str = "logs.txt") -> Da
     `line_no` orders the lines of a run and may have gaps: the position of the file part, then of the
     line in it. Files are read line by line, so a log of any size is split over tasks.
     """
-    lines = spark.read.text(f"{root}/*/{name}")
+    lines = spark.read.text(places_of(root, name))
     return lines.selectExpr(
         f"{run_of('_metadata.file_path', name)} AS run_id",
         "struct(_metadata.file_path AS file, _metadata.file_block_start AS part, "
