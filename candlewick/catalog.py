@@ -23,7 +23,7 @@ from candlewick.plans.training import run_training
 from candlewick.session import stage, work_dir
 from candlewick.sinks.artifacts import snapshot, write_snapshot
 from candlewick.sources.artifacts import read_runs
-from candlewick.sources.bars import read_bars, split_lines, type_bars
+from candlewick.sources.bars import layout_report, read_bars, read_text, split_lines, type_bars
 from candlewick.sources.logs import log_preview, log_value, parse_log
 from candlewick.sources.ticks import bars_from_ticks
 
@@ -108,6 +108,49 @@ def read_csv_bars(spark, sf):
     return read_bars(spark, path)
 
 
+def written_bars(spark, sf) -> str:
+    """Bars as files of several makes: comma or blank between fields, columns in different orders, times in three layouts."""
+    path = f"{work_dir(spark)}/bars-{uuid.uuid4().hex}"
+    rows = hourly(spark, sf)
+    prices = ("open", "high", "low", "close")
+    plain = [f"CAST({name} AS STRING) AS {name}" for name in prices]
+    day, clock = "date_format(datetime, 'yyyy.MM.dd') AS date", "date_format(datetime, 'HH:mm') AS time"
+    makes = {
+        "click": ("csv", ["CAST(datetime AS STRING) AS datetime", *plain, "series"]),
+        "view": ("csv", ["series", "date_format(datetime, 'MM/dd/yyyy HH:mm:ss') AS `<DateTime>`", *reversed(plain), "'7' AS tickvol"]),
+        "": ("text", ["series", day, *plain, clock]),
+    }
+    for number, (name, (kind, columns)) in enumerate(makes.items()):
+        part = rows.filter(f"series = '{name}'" if name else "series NOT IN ('click', 'view')").selectExpr(*columns)
+        place = f"{path}/{number}"
+        if kind == "csv":
+            part.write.csv(place, header=True)
+        else:
+            lines = part.selectExpr(f"concat_ws('  ', {', '.join(part.columns)}) AS value", "spark_partition_id() AS file")
+            header = "  ".join(f"<{c.upper()}>" for c in part.columns)
+            heads = lines.select("file").distinct().selectExpr(f"'{header}' AS value", "file")
+            both = heads.selectExpr("value", "file", "0 AS rank").unionAll(lines.selectExpr("value", "file", "1 AS rank"))
+            both.repartition(2, "file").sortWithinPartitions("file", "rank").select("value").write.text(place)
+    return f"{path}/*"
+
+
+@query
+def read_mixed_bars(spark, sf):
+    """Columns go by the name in each file's header, times by the layout of each row."""
+    return read_bars(spark, written_bars(spark, sf), layouts="each")
+
+
+@query
+def read_blank_bars(spark, sf):
+    """Blank-separated files, read as files."""
+    return read_bars(spark, written_bars(spark, sf).replace("/*", "/2")).select("series", "datetime", "open", "high", "low", "close")
+
+
+@query
+def time_layouts(spark, sf):
+    return layout_report(read_text(spark, written_bars(spark, sf)), ["series"])
+
+
 # ---- checks and summaries of raw bars ------------------------------------------------------------
 
 

@@ -227,6 +227,11 @@ ORACLES: dict[str, str] = {
     "parse_text_bars": f"""WITH {bars_cte()} SELECT *,
   CASE WHEN close > open THEN NULL ELSE CAST(7 AS DOUBLE) END AS tickvol FROM bars""",
     "read_csv_bars": f"WITH {bars_cte()} SELECT * FROM bars",
+    "read_mixed_bars": f"""WITH {bars_cte()} SELECT *, CASE WHEN series = 'view' THEN CAST(7 AS DOUBLE) END AS tickvol FROM bars""",
+    "read_blank_bars": f"WITH {bars_cte()} SELECT * FROM bars WHERE series NOT IN ('click', 'view')",
+    "time_layouts": f"""WITH {bars_cte()} SELECT series, CASE series WHEN 'click' THEN 'yyyy-MM-dd HH:mm:ss'
+  WHEN 'view' THEN 'MM/dd/yyyy HH:mm:ss' ELSE 'yyyy.MM.dd HH:mm' END AS layout, count(*) AS rows, CAST(0 AS BIGINT) AS unreadable
+  FROM bars GROUP BY series""",
     "quality_summary": quality("series,"),
     "quality_summary_total": quality(""),
     "validation_report": f"""{RAW}, c AS (SELECT count(*) AS n, {', '.join(f'count_if({x} IS NULL) AS {x}' for x in ('datetime', 'open', 'high', 'low', 'close'))} FROM raw)

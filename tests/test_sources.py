@@ -1,9 +1,10 @@
+import re
 from datetime import datetime
 
 import pytest
 
 from candlewick.operators.quality import check_bars, quality_summary, validation_report
-from candlewick.sources.bars import parse_time, read_bars, type_bars
+from candlewick.sources.bars import LAYOUTS, layout_report, parse_any_time, parse_time, read_bars, read_text, type_bars
 from helpers import linear_bars
 
 
@@ -94,10 +95,53 @@ def test_quality_counts_repeated_times_and_gaps(spark):
 
 
 @pytest.mark.parametrize("sep", [",", " "])
-def test_files_with_another_order_of_columns_are_refused(spark, tmp_path, sep):
+def test_files_with_another_order_of_columns_are_read_by_name(spark, tmp_path, sep):
     for name, header in (("a", "date time open high low close"), ("b", "date time close low high open")):
-        row = "2024-03-01 10:00:00 1 2 0.5 1.5"
+        row = "2024-03-01 10:00:00 1 2 0.5 1.5" if name == "a" else "2024-03-01 11:00:00 1.5 0.5 2 1"
         (tmp_path / f"{name}.csv").write_text("\n".join(x.replace(" ", sep) for x in (header, row)) + "\n")
     assert read_bars(spark, str(tmp_path / "a.csv"), check=False).count() == 1
-    with pytest.raises(Exception, match="order|header|Header"):
-        read_bars(spark, str(tmp_path / "*.csv"), check=False).collect()
+    both = read_bars(spark, str(tmp_path / "*.csv")).orderBy("datetime").select("datetime", "open", "high", "low", "close")
+    assert [tuple(r) for r in both.collect()] == [(datetime(2024, 3, 1, h), 1.0, 2.0, 0.5, 1.5) for h in (10, 11)]
+
+
+def test_files_of_all_kinds_together(spark, tmp_path):
+    files = {
+        "a.csv": "\ufeffDatetime,Open,High,Low,Close,Note\n2024-03-01 10:00:00,1,2,0.5,1.5,\"5,5\"\n",
+        "b.csv": "\n<DATE>\t<TIME>\t<CLOSE>\t<LOW>\t<HIGH>\t<OPEN>\n2024.03.01  11:00  1.5 0.5 2 1\n\n2024.03.01 12:00 1.5 0.5 2\n",
+        "c.csv": "close,datetime,high,low,open,open\n1.5,03/01/2024 13:00,2,0.5,1,99\nclose,datetime,high,low,open,open\n",
+        "empty.csv": "",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    got = read_bars(spark, str(tmp_path / "*.csv"), check=False, layouts="each").orderBy("datetime")
+    rows = [tuple(r) for r in got.select("datetime", "open", "high", "low", "close").collect()]
+    assert rows == [(datetime(2024, 3, 1, h), None if h == 12 else 1.0, 2.0, 0.5, 1.5) for h in (10, 11, 12, 13)]
+    assert sorted(got.columns) == ["close", "datetime", "high", "low", "note", "open", "series"]
+
+
+def test_each_row_in_its_own_layout(spark, tmp_path):
+    times = ["2025-03-09 02:30:00", "2025.03.09 02:30", "03/09/2025 02:30", "20250309", "2025-03-09T02:30:00.25", "2025-02-30 01:00", "soon", ""]
+    path = tmp_path / "sample.csv"
+    path.write_text("datetime,open,high,low,close\n" + "".join(f"{t},1,2,0,{i}\n" for i, t in enumerate(times)))
+    got = read_bars(spark, str(path), check=False, layouts="each").orderBy("close").collect()
+    at = datetime(2025, 3, 9, 2, 30)
+    assert [r["datetime"] for r in got] == [at, at, at, datetime(2025, 3, 9), at.replace(microsecond=250_000), None, None, None]
+    report = {r["layout"]: (r["rows"], r["unreadable"]) for r in layout_report(read_text(spark, str(path))).collect()}
+    assert report == {
+        "yyyy-MM-dd HH:mm:ss": (1, 0), "yyyy.MM.dd HH:mm": (1, 0), "MM/dd/yyyy HH:mm": (1, 0), "yyyyMMdd": (1, 0),
+        "yyyy-MM-dd HH:mm:ss.S": (1, 0), "yyyy-MM-dd HH:mm": (1, 1), None: (2, 2),
+    }
+    with pytest.raises(ValueError, match="layouts"):
+        read_bars(spark, str(path), layouts="any")
+
+
+def test_layouts_exclude_each_other(spark):
+    for layout in LAYOUTS:
+        stamp = datetime(2024, 11, 23, 21, 48, 57)
+        sample = layout.name.replace("yyyy", "2024").replace("MM", "11").replace("dd", "23")
+        sample = sample.replace("HH", "21").replace("mm", "48").replace("ss", "57").replace(".S", ".125")
+        fits = [other.name for other in LAYOUTS if re.match(other.pattern, sample)]
+        assert fits == [layout.name]
+        df = spark.createDataFrame([(sample,)], "t STRING").selectExpr(f"{parse_any_time('t')} AS a", f"{parse_time('t', sample)} AS b")
+        row = df.head()
+        assert row["a"] == row["b"] and row["a"].date() == stamp.date()
