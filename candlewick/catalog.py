@@ -19,9 +19,11 @@ from candlewick.operators import attribution, evaluation, events, features, fold
 from candlewick.operators import models, quality, ranking, sampling, signals, tuning
 from candlewick.operators.cells import over_series
 from candlewick.plans import run_analytics as runs
-from candlewick.plans.training import run_training
+from candlewick.plans.run_folder import RunStopped
+from candlewick.plans.training import STORE, run_training
 from candlewick.session import stage, work_dir
 from candlewick.sinks.artifacts import snapshot, write_snapshot
+from candlewick.sinks.run_store import read_store
 from candlewick.sources.artifacts import read_runs
 from candlewick.sources.bars import layout_report, read_bars, read_text, split_lines, type_bars
 from candlewick.sources.logs import log_preview, log_value, parse_log
@@ -744,17 +746,59 @@ def shap_importance(spark, sf):
 
 
 @query
-def train_and_evaluate(spark, sf):
+def fold_guard(spark, sf):
+    """Folds of bars that end before the last border."""
+    return folds.fold_report(folded(spark, sf).filter(f"datetime <= TIMESTAMP_NTZ'{VAL_END}'"))
+
+
+@query
+def column_guard(spark, sf):
+    """What must not be trained on is barred, whatever its type."""
+    return features.column_roles(scored(spark, sf).selectExpr("*", "1 AS rank_opportunity"))
+
+
+def trial(spark, sf) -> tuple[str, dict]:
+    """A config for a whole run, and the folder of its runs."""
     folder = f"{work_dir(spark)}/trial-{uuid.uuid4().hex}"
-    config = {
+    return f"{folder}/runs", {
         "run": {"model": "gbt", "dataset": "events", "output_dir": f"{folder}/runs"},
         "split": {"train_end": TRAIN_END, "val_end": VAL_END},
         "sampling": {"ratio": RATIO},
         "label": {"horizon_bars": HORIZON, "threshold": THRESHOLD},
-        "model": {**MODEL, "n_estimators": 3},
+        "model": STUMP,
         "evaluation": {"top_k": list(TOP_K)},
-        "features": {"enabled": MODEL_FEATURES},
+        "features": {"enabled": STUMP_FEATURES},
         "debug": {"output_dir": f"{folder}/debug"},
     }
-    run_training(spark, config, bars=stage(hourly(spark, sf), "bars"))
-    return runs.run_summary(read_runs(spark, f"{folder}/runs")).drop("run_id", "timestamp")
+
+
+@query
+def train_and_evaluate(spark, sf):
+    root, config = trial(spark, sf)
+    run_training(spark, config, bars=hourly(spark, sf))
+    return runs.run_summary(read_runs(spark, root)).drop("run_id", "timestamp")
+
+
+@query
+def resumed_training(spark, sf):
+    """A run that ended after the fit and was taken up again, its metrics as tables of the store."""
+    root, config = trial(spark, sf)
+    try:
+        run_training(spark, config, bars=hourly(spark, sf), stop_after="model")
+    except RunStopped as stopped:
+        run_id = str(stopped).split(" ")[0]
+    run_training(spark, config, resume=run_id)
+    tables = read_store(spark, f"{root}/{STORE}", run_id)
+    rows = tables.evaluation.select("fold", "rows")
+    return tables.precision.drop("run_id", "position").join(rows, "fold")
+
+
+@query
+def training_log(spark, sf):
+    """What a run wrote to its log, read back: counts taken while its tables were written."""
+    root, config = trial(spark, sf)
+    run_training(spark, config, bars=hourly(spark, sf))
+    found = parse_log(read_runs(spark, root).log_lines)
+    counts = ("rows", "nan_count", "train_rows_before", "train_rows_after", "positive_after", "negative_before", "val_size")
+    kept = found.filter("event IN ('data_loaded', 'features_built', 'split_summary', 'after_dropna', 'training_downsampled', 'model_trained')")
+    return kept.selectExpr("event", "split", *[f"{log_value(name, 'BIGINT')} AS {name}" for name in counts])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +20,18 @@ def complete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
     return kept.withColumn(LABEL, F.col(LABEL).cast("int")) if LABEL in df.columns else kept
 
 
-def time_split(df: DataFrame, train_end, val_end, time: str = "datetime") -> DataFrame:
-    """Append `fold`: train up to and including train_end, val up to and including val_end, then test."""
+def fold_of(train_end, val_end, time: str = "datetime") -> str:
+    """SQL text: train up to and including train_end, val up to and including val_end, then test."""
     first, second = boundary(train_end), boundary(val_end)
     if first >= second:
         raise ValueError(f"train_end {first} must come before val_end {second}")
     at = q(time)
-    return df.selectExpr(
-        "*",
-        f"CASE WHEN {at} <= {time_limit(first)} THEN 'train' WHEN {at} <= {time_limit(second)} "
-        "THEN 'val' ELSE 'test' END AS fold",
-    )
+    return f"CASE WHEN {at} <= {time_limit(first)} THEN 'train' WHEN {at} <= {time_limit(second)} THEN 'val' ELSE 'test' END"
+
+
+def time_split(df: DataFrame, train_end, val_end, time: str = "datetime") -> DataFrame:
+    """Append `fold`."""
+    return df.selectExpr("*", f"{fold_of(train_end, val_end, time)} AS fold")
 
 
 def fold_sizes(df: DataFrame) -> dict[str, int]:
@@ -38,15 +39,27 @@ def fold_sizes(df: DataFrame) -> dict[str, int]:
     return {row["fold"]: row["count"] for row in df.groupBy("fold").count().collect()}
 
 
-def check_folds(df: DataFrame) -> dict[str, int]:
-    """Rows per fold; raises ValueError naming the empty ones."""
-    sizes = fold_sizes(df)
+def refuse_empty(sizes: Mapping[str, int]) -> None:
+    """ValueError naming the folds without rows."""
     empty = [name for name in FOLDS if not sizes.get(name)]
     if empty:
         raise ValueError(f"Folds without rows: {empty}")
+
+
+def check_folds(df: DataFrame) -> dict[str, int]:
+    """Rows per fold; raises ValueError naming the empty ones."""
+    sizes = fold_sizes(df)
+    refuse_empty(sizes)
     return sizes
 
 
+def fold_report(df: DataFrame) -> DataFrame:
+    """All three folds with their rows, empty ones included, in one pass."""
+    counts = df.groupBy().pivot("fold", list(FOLDS)).count()
+    pairs = ", ".join(f"'{name}', coalesce({name}, 0L)" for name in FOLDS)
+    return counts.selectExpr(f"stack({len(FOLDS)}, {pairs}) AS (fold, rows)").selectExpr("*", "rows = 0 AS empty")
+
+
 def fold_summary(df: DataFrame) -> DataFrame:
     """Rows, label counts and positive rate of every fold in one pass."""
     return label_summary(df, ["fold"]).withColumnRenamed("labeled", "rows")

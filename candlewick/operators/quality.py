@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +34,30 @@ def validation_report(df: DataFrame) -> DataFrame:
     return df.agg(F.expr(f"array({', '.join(rules)})").alias("_rules")).selectExpr("inline(_rules)")
 
 
-def check_bars(df: DataFrame, required: Sequence[str] = REQUIRED) -> None:
-    """Raise ValueError if the table is not a usable bar table."""
-    absent = [name for name in required if name not in df.columns]
+def violations(columns: Sequence[str]) -> dict[str, str]:
+    """Aggregates of the rules as SQL text by name, for one pass with others."""
+    return {f"bad_{name}": f"count_if({name} IS NULL)" if name in columns else "count(1)" for name in REQUIRED}
+
+
+def refuse_columns(columns: Sequence[str], required: Sequence[str] = REQUIRED) -> None:
+    absent = [name for name in required if name not in columns]
     if absent:
         raise ValueError(f"Missing required columns: {absent}")
-    found = {row["rule"]: row["violations"] for row in validation_report(df).collect()}
-    if found["zero rows"]:
+
+
+def refuse(rows: int, bad: Mapping[str, int]) -> None:
+    """ValueError for the first rule that is violated; `bad` has the violations by column."""
+    if not rows:
         raise ValueError("The bar table is empty")
-    if found["datetime"]:
+    if bad["datetime"]:
         raise ValueError("Some rows have no readable datetime")
     for name in PRICES:
-        if found[name]:
+        if bad[name]:
             raise ValueError(f"Some rows have no number in column {name}")
+
+
+def check_bars(df: DataFrame, required: Sequence[str] = REQUIRED) -> None:
+    """Raise ValueError if the table is not a usable bar table."""
+    refuse_columns(df.columns, required)
+    found = {row["rule"]: row["violations"] for row in validation_report(df).collect()}
+    refuse(not found["zero rows"], found)

@@ -33,22 +33,20 @@ def sample_rows(
 
 
 def downsample_negatives(
-    df: DataFrame, ratio: int = 8, seed: int = 42, label: str = LABEL, **sample
+    df: DataFrame, ratio: int = 8, seed: int = 42, label: str = LABEL, counts: tuple[int, int] | None = None, **sample
 ) -> DataFrame:
-    """All positives and min(negatives, positives * ratio) negatives."""
+    """All positives and min(negatives, positives * ratio) negatives; `counts` spares counting both, if it is known."""
     if ratio < 1:
         raise ValueError("The ratio of negatives to positives must be 1 or more")
     y = q(label)
-    counts = df.agg(
-        F.expr(f"count_if({y} = 1) AS positive"), F.expr(f"count_if({y} = 0) AS negative")
-    ).head()
-    if not counts["positive"]:
+    positive, negative = counts or df.agg(F.expr(f"count_if({y} = 1)"), F.expr(f"count_if({y} = 0)")).head()
+    if not positive:
         raise ValueError("No positive rows to sample negatives for")
-    if not counts["negative"]:
+    if not negative:
         raise ValueError("No negative rows to sample from")
-    wanted = min(counts["negative"], counts["positive"] * ratio)
+    wanted = min(negative, positive * ratio)
     negatives = df.filter(f"{y} = 0")
-    if wanted < counts["negative"]:
+    if wanted < negative:
         negatives = sample_rows(negatives, wanted, seed=seed, **sample)
     return df.filter(f"{y} = 1").unionByName(negatives)
 

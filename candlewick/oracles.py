@@ -407,3 +407,35 @@ LOG_LINES = """[
 ORACLES["logs_preview"] = f"""{RUNS}, lines AS (SELECT run_id, unnest({LOG_LINES}) AS line,
     unnest([1, 2, 3, 4, 5, 6]) AS i FROM base)
   SELECT run_id, CAST(i AS INTEGER) AS line_rank, line FROM lines"""
+ORACLES["resumed_training"] = STUMP_EVALUATION
+ORACLES["train_and_evaluate"] = f"""WITH judged_k AS (SELECT * FROM ({STUMP_EVALUATION})), wide AS (SELECT
+  {', '.join(f"max(CASE WHEN fold = '{f}' AND k_percent = 0.5 THEN precision_at_k END) AS {f}_precision_at_0_5, max(CASE WHEN fold = '{f}' THEN baseline END) AS {f}_baseline, max(CASE WHEN fold = '{f}' THEN rows END) AS {f}_rows" for f in ('train', 'val', 'test'))}
+  FROM judged_k)
+SELECT CAST(1 AS INTEGER) AS feature_count, train_precision_at_0_5, val_precision_at_0_5, test_precision_at_0_5,
+  val_baseline, test_baseline, val_precision_at_0_5 / nullif(val_baseline, 0) AS val_lift_at_0_5,
+  test_precision_at_0_5 / nullif(test_baseline, 0) AS test_lift_at_0_5, val_rows, test_rows, CAST(1 AS BIGINT) AS n_estimators,
+  CAST(1 AS BIGINT) AS max_depth, CAST(0.1 AS DOUBLE) AS learning_rate, CAST(4 AS DOUBLE) AS scale_pos_weight,
+  'event_vol_spike' AS top_feature, CAST(1 AS DOUBLE) AS top_importance FROM wide"""
+ORACLES["training_log"] = f"""{SAMPLED}, gaps AS (SELECT CAST({' + '.join(f'count_if({f} IS NULL)' for f in FEATURES)} AS BIGINT) AS n FROM sig),
+sizes AS (SELECT fold, count(*) AS n FROM folded GROUP BY 1), kept AS (SELECT count(*) AS n, count_if(target_opportunity = 1) AS pos FROM sampled)
+SELECT 'data_loaded' AS event, NULL AS split, count(*) AS rows, CAST(NULL AS BIGINT) AS nan_count, CAST(NULL AS BIGINT) AS train_rows_before,
+  CAST(NULL AS BIGINT) AS train_rows_after, CAST(NULL AS BIGINT) AS positive_after, CAST(NULL AS BIGINT) AS negative_before,
+  CAST(NULL AS BIGINT) AS val_size FROM bars
+UNION ALL SELECT 'features_built', NULL, NULL, n, NULL, NULL, NULL, NULL, NULL FROM gaps
+UNION ALL SELECT 'after_dropna', NULL, CAST(sum(n) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL FROM sizes
+UNION ALL SELECT 'split_summary', fold, n, NULL, NULL, NULL, NULL, NULL, NULL FROM sizes
+UNION ALL SELECT 'training_downsampled', NULL, NULL, NULL, CAST(p + neg AS BIGINT), n, CAST(kept.pos AS BIGINT), CAST(neg AS BIGINT), NULL
+  FROM (SELECT pos AS p, neg FROM counts) c, kept
+UNION ALL SELECT 'model_trained', NULL, NULL, NULL, NULL, NULL, NULL, NULL, n FROM sizes WHERE fold = 'val'"""
+ORACLES["fold_guard"] = f"""{FOLDED} SELECT f.fold, count(folded.fold) AS rows, count(folded.fold) = 0 AS empty
+  FROM (SELECT unnest(['train', 'val', 'test']) AS fold) f
+  LEFT JOIN folded ON folded.fold = f.fold AND datetime <= TIMESTAMP '2024-01-25' GROUP BY 1"""
+ORACLES["column_guard"] = f"{SCORED} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{role}' AS role, count({value}) AS present FROM scored"
+    for role, value, names in (
+        ("not numeric", "series", "series fold"),
+        ("barred", "datetime", "datetime target_opportunity p_opportunity rank_opportunity"),
+        ("feature", "close", "open high low close atr_14 atr_28 ret_3 ret_6 range_ratio event_vol_spike event_impulse"),
+    )
+    for name in names.split()
+)

@@ -18,6 +18,7 @@ from candlewick.operators import attribution, models, ranking, sampling, tuning
 from candlewick.plans import run_analytics as runs
 from candlewick.session import stage, work_dir
 from candlewick.sinks import artifacts as sink
+from candlewick.sinks.run_documents import metrics_documents
 from candlewick.sinks.run_store import read_catalog, read_store, write_runs, write_table
 from candlewick.sources.artifacts import read_documents, read_importance, read_runs, rejected_documents
 
@@ -128,19 +129,6 @@ def run_comparison(spark, sf):
 
 def documents(tables: run_tables) -> DataFrame:
     """The artifacts of the runs as the documents that a training run writes: JSON, YAML text, CSV, log lines."""
-    at_k = "struct(k_percent, candidate_count, candidate_rate, precision_at_k, baseline)"
-    at_fold = tables.precision.groupBy("run_id", "fold").agg(F.expr(f"array_sort(collect_list({at_k})) AS at_k"))
-    folds = tables.evaluation.join(at_fold, ["run_id", "fold"]).groupBy("run_id").agg(
-        F.expr("map_from_entries(collect_list(struct(fold, struct(fold, rows, baseline, at_k AS precision_at_k)))) AS evaluation")
-    )
-    inside = tables.event_precision.groupBy("run_id", "fold", "event_name").agg(F.expr(f"array_sort(collect_list({at_k})) AS at_k"))
-    event = "struct(event_name, frequency, event_rate, trade_rate, at_k AS precision_at_k)"
-    events = tables.event_stats.join(inside, ["run_id", "fold", "event_name"]).groupBy("run_id", "fold")
-    events = events.agg(F.expr(f"array_sort(collect_list({event})) AS events")).groupBy("run_id")
-    events = events.agg(F.expr("map_from_entries(collect_list(struct(fold, events))) AS event_diagnostics"))
-    metrics = folds.join(events, "run_id", "left").join(tables.runs, "run_id").selectExpr(
-        "run_id", "'metrics.json' AS artifact", "to_json(struct(run_id, feature_columns, evaluation, event_diagnostics)) AS body"
-    )
     configs = tables.runs.selectExpr(
         "run_id",
         "'config.yaml' AS artifact",
@@ -155,7 +143,7 @@ def documents(tables: run_tables) -> DataFrame:
     )
     logs = tables.log_lines.groupBy("run_id").agg(F.expr("array_sort(collect_list(struct(line_no, line))) AS l"))
     logs = logs.selectExpr("run_id", "'logs.txt' AS artifact", "array_join(l.line, '\\n') AS body")
-    return metrics.unionAll(configs).unionAll(importance).unionAll(logs)
+    return metrics_documents(tables).unionAll(configs).unionAll(importance).unionAll(logs)
 
 
 def filed(spark, sf, change: str = "body") -> str:

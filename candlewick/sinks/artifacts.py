@@ -44,15 +44,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def write_lines(spark: SparkSession, lines: Sequence[str], path: str) -> None:
     """A short text document."""
-    spark.createDataFrame([(line,) for line in lines], "value STRING").coalesce(1).write.text(path)
+    spark.createDataFrame([(line,) for line in lines], "value STRING").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_json(spark: SparkSession, value: Any, path: str) -> None:
     """A small JSON document; times turn into ISO text."""
-    write_lines(spark, [json.dumps(value, default=_plain)], path)
+    write_lines(spark, [json.dumps(value, default=plain)], path)
 
 
-def _plain(value: Any) -> Any:
+def plain(value: Any) -> Any:
     if hasattr(value, "isoformat"):
         return value.isoformat()
     if hasattr(value, "tolist"):
@@ -76,17 +76,17 @@ def write_config(
 def write_importance(importance: DataFrame, run_dir: str) -> None:
     """feature_importance.csv, highest first."""
     ordered = importance.orderBy("position").select("feature", "importance").coalesce(1)
-    ordered.write.csv(f"{run_dir}/feature_importance.csv", header=True)
+    ordered.write.mode("overwrite").csv(f"{run_dir}/feature_importance.csv", header=True)
 
 
 def write_model(model: PipelineModel, run_dir: str) -> None:
-    model.write().save(f"{run_dir}/model")
+    model.write().overwrite().save(f"{run_dir}/model")
 
 
 def write_search(spark: SparkSession, best: Mapping[str, Any], results: DataFrame, run_dir: str) -> None:
     """best_params.json and cv_results.csv."""
     write_json(spark, best, f"{run_dir}/best_params.json")
-    results.coalesce(1).write.csv(f"{run_dir}/cv_results.csv", header=True, escape='"')
+    results.coalesce(1).write.mode("overwrite").csv(f"{run_dir}/cv_results.csv", header=True, escape='"')
 
 
 def write_attribution(importance: Mapping[str, float], spark: SparkSession, run_dir: str) -> None:

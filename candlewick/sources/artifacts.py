@@ -79,8 +79,13 @@ def artifact_status(artifacts: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, root: str, artifact: str) -> DataFrame:
-    """One small document per run as (run_id, body)."""
-    files = spark.read.text(places_of(root, artifact), wholetext=True)
+    """One small document per run as (run_id, body); none if no run has it."""
+    try:
+        files = spark.read.text(places_of(root, artifact), wholetext=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "run_id STRING, body STRING")
     return files.selectExpr(f"{run_of('_metadata.file_path', artifact)} AS run_id", "value AS body")
 
 
