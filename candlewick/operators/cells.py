@@ -32,7 +32,7 @@ from candlewick.functions.sql import (
     second_fraction,
 )
 from candlewick.operators.copies import expand_copies, merge_copies
-from candlewick.session import stage
+from candlewick.session import stage_counted
 
 MAX_ROWS = 500_000  # rows one cell may hold before it is split
 BROADCAST_ROWS = 200_000  # rows of a table of cells that may be broadcast; beyond, it is shuffled
@@ -95,8 +95,13 @@ class Listed:
 
     @staticmethod
     def of(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> Listed:
-        rows = stage(df, name)
-        return Listed(rows, rows.count() <= limit)
+        return Listed.counted(df, name, limit)[0]
+
+    @staticmethod
+    def counted(df: DataFrame, name: str, limit: int = BROADCAST_ROWS, **facts: str) -> tuple[Listed, dict]:
+        """The list, and further aggregates over it."""
+        rows, found = stage_counted(df, name, n="count(1)", **facts)
+        return Listed(rows, found["n"] <= limit), found
 
     def matched(self, left: DataFrame, keys: Sequence[str], how: str = "inner", **more: str) -> DataFrame:
         """`matched` with `left`; `more` are further columns, name=expression."""

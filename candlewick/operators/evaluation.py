@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.sql import UPTO, candidate_count, over, q, safe_ratio, text
 from candlewick.operators.cells import (
+    MAX_ROWS,
+    Cells,
     Listed,
     block_offsets,
     matched,
@@ -51,8 +53,7 @@ def precision_at_k(
 
     The best rows are those that `add_rank` puts first, whatever the ties. No sort of the table: rows are counted
     per score cell (combined map-side). Cells above a cut count in full. Only the one cell per (group, k) that the
-    cut runs through is ordered row by row. `df` is scanned three times, twice for a few columns, so hand in a
-    stored table (see `stage`). NULL is a group like any other. Without any k there are no rows. Further keywords
+    cut runs through is ordered row by row. `df` is scanned twice, once for a few columns, so hand in a (see `stage`). NULL is a group like any other. Without any k there are no rows. Further keywords
     go to `measure`.
     """
     return _precision(df, top_k, by, score, label, time, series, split).drop("rows")
@@ -63,23 +64,14 @@ def _precision(df, top_k, by, score, label, time, series, split) -> DataFrame:
     by = list(by)
     series = [name for name in series if name not in by]
     slim = df.select(*by, score, label, time, *series)
-    cells = measure(slim, by, [*score_levels(score), *time_levels(df, time)], **split)
+    levels = [*score_levels(score), *time_levels(df, time)]
+    # one histogram of the scores serves all groups and k; finer cells are only counted if a cut runs through a crowded one
+    cells = Cells(tuple(by), tuple(levels[:1]))
+    cuts, found = _cuts(slim, cells, top_k, label)
+    if (found["most"] or 0) > split.get("max_rows", MAX_ROWS):
+        cells = measure(slim, by, levels, **split)
+        cuts, _ = _cuts(slim, cells, top_k, label)
     keys = [*by, *cells.columns]
-    blocks = cells.assign(slim).groupBy(*keys).agg(
-        F.expr("count(1) AS _n"), F.expr(f"coalesce(sum(CAST({q(label)} AS BIGINT)), 0L) AS _pos")
-    )
-    totals = blocks.groupBy(*by).agg(F.expr("sum(_n) AS _rows"), F.expr("sum(_pos) AS _positives"))
-    each_k = _each_k(top_k) if top_k else "explode(CAST(array() AS ARRAY<DOUBLE>)) AS k_percent"
-    cuts = Listed.of(
-        matched(block_offsets(blocks, by, cells.columns, _pos_ahead="_pos"), totals, by)
-        .selectExpr("*", each_k)
-        .selectExpr("*", f"{candidate_count('_rows', 'k_percent')} AS candidate_count")
-        .selectExpr("*", "least(candidate_count, _rows) AS _last")
-        .filter("_ahead < _last AND _ahead + _n >= _last")
-        .selectExpr("*", "_last - _ahead AS _take")
-        .drop("_n", "_pos"),
-        "cuts",
-    )
     # equal rows are merged before they are ordered, so copies of one row cannot pile up in a task
     order = [*score_order(score, time, series), "_rest"]
     rest = row_hash(df, [*by, score, time, *series])
@@ -109,6 +101,26 @@ def _precision(df, top_k, by, score, label, time, series, split) -> DataFrame:
     )
 
 
+def _cuts(slim: DataFrame, cells: Cells, top_k: Sequence[float], label: str) -> tuple[Listed, dict]:
+    """Per group and k the cell that the cut runs through, with the sums of the cells above it; and the most rows of one."""
+    by = list(cells.groups)
+    keys = [*by, *cells.columns]
+    blocks = cells.assign(slim).groupBy(*keys).agg(
+        F.expr("count(1) AS _n"), F.expr(f"coalesce(sum(CAST({q(label)} AS BIGINT)), 0L) AS _pos")
+    )
+    totals = blocks.groupBy(*by).agg(F.expr("sum(_n) AS _rows"), F.expr("sum(_pos) AS _positives"))
+    each_k = _each_k(top_k) if top_k else "explode(CAST(array() AS ARRAY<DOUBLE>)) AS k_percent"
+    found = (
+        matched(block_offsets(blocks, by, cells.columns, _pos_ahead="_pos"), totals, by)
+        .selectExpr("*", each_k)
+        .selectExpr("*", f"{candidate_count('_rows', 'k_percent')} AS candidate_count")
+        .selectExpr("*", "least(candidate_count, _rows) AS _last")
+        .filter("_ahead < _last AND _ahead + _n >= _last")
+        .selectExpr("*", "_last - _ahead AS _take")
+    )
+    return Listed.counted(found, "cuts", most="max(_n)")
+
+
 def fold_evaluation(
     df: DataFrame,
     top_k: Sequence[float] = TOP_K,

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "candlewick", **conf: str) -> SparkSession:
@@ -45,6 +46,13 @@ def work_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def stage_counted(df: DataFrame, name: str, **facts: str) -> tuple[DataFrame, dict]:
+    """`stage`, and aggregates over the rows, name=SQL text, taken while they are written."""
+    seen = Observation(name)
+    rows = stage(df.observe(seen, *[F.expr(f"{value} AS {fact}") for fact, value in facts.items()]), name)
+    return rows, seen.get
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the work folder and read it back.
 
