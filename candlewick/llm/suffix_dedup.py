@@ -48,16 +48,23 @@ def intervals(length: int = LENGTH, gram: int = GRAM, splits=SPLITS) -> list[lis
     """Per level: (parent, first, last) offset of each interval; the last level holds single offsets."""
     levels = [[(-1, 0, length - gram)]]
     for split in splits:
+        if single(levels[-1]):
+            break
         level = []
         for parent, (_, a, b) in enumerate(levels[-1]):
             cuts = [a + (b - a + 1) * i // min(split, b - a + 1) for i in range(min(split, b - a + 1) + 1)]
             level += [(parent, x, y - 1) for x, y in zip(cuts, cuts[1:])]
         levels.append(level)
-    while any(a < b for _, a, b in levels[-1]):
+    while not single(levels[-1]):
         levels.append(
             [(p, x, x) for p, (_, a, b) in enumerate(levels[-1]) for x in range(a, b + 1)]
         )
-    return levels[1:]
+    return levels[1:] or levels
+
+
+def single(level: list[tuple[int, int, int]]) -> bool:
+    """Whether the level holds single offsets only, whose core and hull are one string."""
+    return all(a == b for _, a, b in level)
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -123,19 +130,23 @@ class Search:
     def __init__(self, anchors, index, interval, least, most):
         self.anchors, self.index, self.interval, self.least, self.most = anchors, index, interval, least, most
 
-    KINDS = (np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+    @staticmethod
+    def kinds(length: int) -> tuple[type, ...]:
+        """Types of the fields: offsets up to `length`, and fewer intervals than offsets."""
+        small = np.uint8 if length < 256 else np.uint16 if length < 65536 else np.uint32
+        return np.uint32, np.uint32, small, small, small
 
-    def pack(self) -> tuple[bytes, bytes]:
+    def pack(self, length: int) -> tuple[bytes, bytes]:
         """least > most where nothing repeats."""
         fields = (self.anchors, self.index, self.interval, self.least, self.most)
         sizes = np.array([len(self.anchors), len(self.index)], np.uint32)
-        return sizes.tobytes(), b"".join(f.astype(k).tobytes() for f, k in zip(fields, self.KINDS))
+        return sizes.tobytes(), b"".join(f.astype(k).tobytes() for f, k in zip(fields, self.kinds(length)))
 
     @classmethod
-    def unpack(cls, sizes: bytes, raw: bytes) -> Search:
+    def unpack(cls, sizes: bytes, raw: bytes, length: int) -> Search:
         n, m = np.frombuffer(sizes, np.uint32)
         fields, at = [], 0
-        for count, kind in zip((n, m, m, n, n), cls.KINDS):
+        for count, kind in zip((n, m, m, n, n), cls.kinds(length)):
             step = int(count) * np.dtype(kind).itemsize
             fields.append(np.frombuffer(raw[at : at + step], kind).copy())
             at += step
@@ -145,16 +156,16 @@ class Search:
 
 def _names(block: Block, s: Search, level: list, length: int):
     """Names of core and hull of each asked interval, and the first and last offset that its text has room for."""
-    table = np.array(level, np.int16)
+    table = np.array(level, np.int32)
     begin, end = block.bounds(s.anchors)
-    least = np.maximum(0, length - (end - s.anchors)).astype(np.int16)  # offsets that the text has room for
-    most = np.minimum(length, s.anchors - begin).astype(np.int16)
+    least = np.maximum(0, length - (end - s.anchors)).astype(np.int32)  # offsets that the text has room for
+    most = np.minimum(length, s.anchors - begin).astype(np.int32)
     room = np.maximum(table[s.interval, 1], least[s.index]) <= np.minimum(table[s.interval, 2], most[s.index])
     s.index, s.interval = s.index[room], s.interval[room]
     first, last = table[s.interval, 1], table[s.interval, 2]
     low, high = np.maximum(first, least[s.index]), np.minimum(last, most[s.index])
     spans = [(first, length - last)]
-    if (table[:, 1] < table[:, 2]).any():
+    if not single(level):
         spans.append((high, length - low))
     found = block.hashes(s.anchors[s.index], spans)
     core = mix(found[0] + (_CORE + (first.astype(np.uint64) << np.uint64(8)) + last.astype(np.uint64)))
@@ -172,17 +183,17 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
             anchors = block.anchors(length, gram)
             n, k = len(anchors), len(levels[0])
             search = Search(
-                anchors, np.repeat(np.arange(n), k), np.tile(np.arange(k), n), np.full(n, 255), np.zeros(n, np.int64)
+                anchors, np.repeat(np.arange(n), k), np.tile(np.arange(k), n), np.full(n, length), np.zeros(n, np.int64)
             )
         else:
             state = next(i for i, r in enumerate(back.column("range").to_pylist()) if r < 0)
-            search = Search.unpack(back.column("mask")[state].as_py(), back.column("more")[state].as_py())
+            search = Search.unpack(back.column("mask")[state].as_py(), back.column("more")[state].as_py(), length)
             core, hull, low, high = _names(block, search, levels[depth - 1], length)
-            single = depth == len(levels)
-            asked = Asked(core if single else np.concatenate([core, hull]), ranges)
+            alone = single(levels[depth - 1])
+            asked = Asked(core if alone else np.concatenate([core, hull]), ranges)
             totals = asked.totals(back)
             cores = totals[np.searchsorted(asked.names, core)]
-            hulls = cores if single else totals[np.searchsorted(asked.names, hull)]
+            hulls = cores if alone else totals[np.searchsorted(asked.names, hull)]
             hit = hulls > 1
             np.minimum.at(search.least, search.index[hit], low[hit].astype(search.least.dtype))
             np.maximum.at(search.most, search.index[hit], high[hit].astype(search.most.dtype))
@@ -194,13 +205,13 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
             many = np.array([len(c) for c in children], np.int32)[search.interval[on]]
             firsts = np.array([c[0] for c in children], np.int32)[search.interval[on]]
             search.index = np.repeat(search.index[on], many)
-            search.interval = spread(firsts, many).astype(np.int16)
+            search.interval = spread(firsts, many).astype(np.int32)
             del core, hull, low, high, asked, totals, cores, hulls, hit, on
         core, hull, _, _ = _names(block, search, levels[depth], length)
-        asked = Asked(core if depth + 1 == len(levels) else np.concatenate([core, hull]), ranges)
+        asked = Asked(core if single(levels[depth]) else np.concatenate([core, hull]), ranges)
         number = docs.column("block")[0].as_py()
         rows = asked.rows(number)
-        sizes, raw = search.pack()
+        sizes, raw = search.pack(length)
         state = {"block": [number], "range": [-1 - number], "names": [sizes], "counts": [raw]}
         return pa.concat_tables([rows, pa.table(state, schema=rows.schema)])
 

@@ -92,7 +92,7 @@ def repeats(pairs, length):
     return result
 
 
-@pytest.mark.parametrize("length, gram", [(200, 12), (30, 5), (13, 12)])
+@pytest.mark.parametrize("length, gram", [(200, 12), (30, 5), (13, 12), (12, 12), (300, 12), (700, 30)])
 def test_repeats_against_brute_force(spark, monkeypatch, length, gram):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2_000)
     pairs = rows(4) + [(i + 1000, t) for i, t in families(5, 6, 8)] + [(None, "abc" * 90), (2, "abc" * 70)]
