@@ -235,9 +235,11 @@ def links(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3,
     rows = table.select("doc_id", "n", "s1", "s2").join(sets, ["n", "s1", "s2"], "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class"))
     heads = table.filter("asks IS NOT NULL AND doc_id IS NOT NULL").join(
-        sets.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi"
+        sets.withColumnRenamed("class", "doc_id"), ["doc_id", "n", "s1", "s2"], "left_semi"
     )
-    heads = store(heads.dropDuplicates(["doc_id"]), "heads")
+    # an id that occurs with several texts may stand for several sets; each of them is compared
+    heads = store(heads.dropDuplicates(["doc_id", "n", "s1", "s2"]), "heads")
+    several = store(heads.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
     posts = heads.select(
         "doc_id", "n", "unshared", "central", "asks", F.inline(F.arrays_zip("tokens", "levels")).alias("token", "level")
     )
@@ -262,6 +264,9 @@ def links(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3,
     near = near.selectExpr(
         "a AS near_id", "c.b AS centre", "c.shared AS overlap", "c.nb AS centre_n", "c.low AS low", "c.high AS high"
     )
+    # which set of such an id was met is not known afterwards, so no bound follows from it
+    for side in ("near_id", "centre"):
+        near = near.join(several.withColumnRenamed("doc_id", side), side, "left_anti")
     # second round: what different components still share
     placed = (
         posts.join(known, posts["doc_id"] == known["node"], "left")
@@ -286,7 +291,7 @@ def links(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3,
         prefix = heads.select(F.col("doc_id").alias(side), F.arrays_zip("tokens", "levels").alias("prefix" + side))
         pairs = pairs.join(prefix, side)
     within = [f"transform(filter(prefix{side}, x -> x.levels <= ask), x -> x.tokens)" for side in "ab"]
-    enough = pairs.filter(f"size(array_intersect({within[0]}, {within[1]})) >= ask").select("a", "b")
+    enough = pairs.filter(f"size(array_intersect({within[0]}, {within[1]})) >= ask").select("a", "b").distinct()
     second = compared(enough, heads).filter(_reached("shared", percent)).select("a", "b")
     return rows, store(linked.unionAll(second), "links")
 

@@ -117,3 +117,13 @@ def test_text_without_repeats(spark):
     assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
     assert suffix_dedup.without_repeats(df).columns == df.columns
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
+    """Id 1 has two texts, each with a near copy under another id: all three are linked, whichever row comes first."""
+    rng = random.Random(9)
+    a, b = prose(rng, 120, 4000), prose(rng, 120, 4000)
+    near = [" ".join([*x.split(" ")[:-1], "changed"]) for x in (a, b)]
+    pairs = [(1, a), (1, b), (2, near[0]), (3, near[1]), (4, prose(rng, 120, 4000)), (5, near[0] + " more"), (0, prose(rng, 50, 4000))]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.joined(frame(spark, pairs)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (0, 0)}
