@@ -69,6 +69,8 @@ BOILERPLATE_TOKENS = set(
     "subscription tags teaser toc toolbar widget".split()
 )
 CONTENT_TOKENS = set("article body content entry main post story text".split())
+MANY_TOKENS = set("articles entries posts stories".split())  # lists of other pages, if they come with a word of these
+OTHER_TOKENS = set("promo promoted recommended related sponsored".split())
 # words that leave the meaning of a name as it is
 NEUTRAL_TOKENS = set("area bar block box container group inner item items list outer section wrap wrapper".split())
 PARAGRAPHS = set(
@@ -84,25 +86,29 @@ CLOSED_BY = {  # an open element that ends where one of these begins
     "option": {"option", "optgroup"},
 }
 
+# A quotation mark quotes only where a value begins, up to its next like; without one it is an ordinary character. No part
+# is tried twice, so the time is linear.
+CLOSERS = BLOCK | CLOSED_BY.keys() | {"p"}
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 NAMING = {"class", "id", "role", "itemprop"}
 UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 CAPITAL = re.compile(r"([a-z])([A-Z])")
 
 
-def names_of(rest: str) -> tuple[list[set[str]], bool]:
-    """The names an element bears, each as its words, and whether it is hidden."""
+def names_of(rest: str) -> tuple[list[list[str]], bool]:
+    """The names an element bears, each as its words in order, and whether it is hidden."""
     names, hidden = [], False
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name in NAMING:
             found = (re.findall("[a-z]+", CAPITAL.sub(r"\1 \2", x).lower()) for x in value.split())
-            names += [set(x) for x in found if x]
+            names += [x for x in found if x]
         elif name == "hidden":
             hidden |= value.lower() != "false"
         elif name == "style":
@@ -110,20 +116,31 @@ def names_of(rest: str) -> tuple[list[set[str]], bool]:
     return names, hidden
 
 
+def unwanted(name: list[str]) -> bool:
+    """Whether a name is one of boilerplate: in all its words, or, among words of content, in the last, which says what the
+    thing is (entry-comments, article-ad), or as a list of other pages (related-posts)."""
+    words = [word for word in name if word not in NEUTRAL_TOKENS]
+    if not words or not all(word in BOILERPLATE_TOKENS or word in CONTENT_TOKENS or word in MANY_TOKENS for word in words):
+        return False
+    if all(word in BOILERPLATE_TOKENS for word in words) or words[-1] in BOILERPLATE_TOKENS and words[-1] != "header":
+        return True
+    return words[0] in OTHER_TOKENS
+
+
 class Node:
     __slots__ = (
         "tag", "parent", "children", "content", "boilerplate", "main", "chars", "links", "tags", "stops", "words", "blocks",
         "own", "at",
     )
 
-    def __init__(self, tag: str, parent: int, names: list[set[str]], hidden: bool, at: int):
+    def __init__(self, tag: str, parent: int, names: list[list[str]], hidden: bool, at: int):
         self.tag, self.parent, self.at = tag, parent, at
-        whole = [name - NEUTRAL_TOKENS for name in names]
+        whole = [set(name) - NEUTRAL_TOKENS for name in names]
         self.main = tag in CONTENT_TAGS or {"main"} in whole
-        self.content = tag in CONTENT_TAGS or any(name and name <= CONTENT_TOKENS for name in whole)
-        named = any(name and name <= BOILERPLATE_TOKENS for name in whole)
-        named = named and not any(name & CONTENT_TOKENS for name in names)
-        self.boilerplate = hidden or tag in BOILERPLATE_TAGS or named
+        # a name acquits only if it is one of content as a whole
+        acquitted = any(name and name <= CONTENT_TOKENS for name in whole)
+        self.content = tag in CONTENT_TAGS or acquitted
+        self.boilerplate = hidden or tag in BOILERPLATE_TAGS or not acquitted and any(unwanted(name) for name in names)
         self.children: list[int] = []
         self.chars = self.links = self.tags = self.stops = self.words = self.blocks = self.own = 0
 
@@ -138,8 +155,23 @@ class Page:
         self._measure()
 
     def _read(self, source: str) -> None:
-        stack = [("html", 0)]  # open elements with the node they belong to
+        # open elements with the node they belong to and the links open around them; the places of each tag, and of the
+        # tags that take part in closing, so that no end is looked for in the whole stack
+        stack = [("html", 0, 0)]
+        places: dict[str, list[int]] = {}
+        closers: list[int] = []
         block, links, at, seen = 0, 0, 0, 0
+
+        def close(k: int) -> int:
+            """End the open element number k and all within it; the links open after it."""
+            left = stack[k][2]
+            for tag, _, _ in stack[k:]:
+                places[tag].pop()
+            del stack[k:]
+            while closers and closers[-1] >= k:
+                closers.pop()
+            return left
+
         skipping = ""  # the head, while it is being passed over
 
         def text(raw: str) -> None:
@@ -159,12 +191,16 @@ class Page:
                 node.words += len(body.split())
                 node.stops += sum(body.count(c) for c in ".,;!?")
 
-        while match := TOKEN.search(source, at):
+        last = source.rfind(">") + 1  # behind it no tag ends
+        while match := TOKEN.search(source, at, last):
             if not skipping:
                 text(source[at : match.start()])
             closing, tag, rest = match.groups()
             at = match.end()
             if tag is None:
+                opened = match.group()
+                if opened.startswith("<!--") and not opened.endswith("-->") or opened.startswith("<![") and not opened.endswith(">"):
+                    at = len(source)  # a comment without an end
                 continue
             tag = tag.lower()
             if not closing and tag in RAW:
@@ -189,15 +225,14 @@ class Page:
             if tag == "br":
                 self.texts.append((block, stack[-1][1], " "))
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
+                if places.get(tag):
+                    links = close(places[tag][-1])
                 continue
             if tag in ("html", "body") or tag in VOID:
                 continue
-            stack, links = self._close(stack, tag, links)
+            ended = self._ended(stack, closers, tag)
+            if ended:
+                links = close(ended)
             names, hidden = names_of(rest) if rest and not rest.isspace() else ([], False)
             parent = stack[-1][1]
             if tag in BLOCK or tag in BOILERPLATE_TAGS or names or hidden:
@@ -206,23 +241,26 @@ class Page:
                 parent = len(self.nodes) - 1
             else:
                 self.nodes[parent].tags += 1
-            stack.append((tag, parent))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in CLOSERS:
+                closers.append(len(stack))
+            stack.append((tag, parent, links))
             links += tag == "a"
         if not skipping:
-            text(source[at:])
+            text(re.split("<[!?]", source[at:], maxsplit=1)[0])
 
     @staticmethod
-    def _close(stack: list, tag: str, links: int) -> tuple[list, int]:
-        """Ends what the beginning of `tag` ends: an open paragraph, or an item of the same list."""
-        for k in range(len(stack) - 1, 0, -1):
+    def _ended(stack: list, closers: list[int], tag: str) -> int:
+        """The number of the element that the beginning of `tag` ends: an open paragraph, or an item of the same list; or 0."""
+        for k in reversed(closers):
             open_tag = stack[k][0]
             if open_tag == "p" and tag in BLOCK or tag in CLOSED_BY.get(open_tag, ()):
-                return stack[:k], links - sum(t == "a" for t, _ in stack[k:])
+                return k
             if open_tag in BLOCK and open_tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
                 break
             if open_tag in ("li", "td", "th", "dd") and tag not in CLOSED_BY[open_tag]:
                 break
-        return stack, links
+        return 0
 
     def _measure(self) -> None:
         for i in {i for _, i, t in self.texts if t.strip()}:

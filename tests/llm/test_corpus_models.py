@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,3 +223,36 @@ def test_boilerplate_by_structure_and_wrappers_by_whole_names(spark):
     assert {r["page_id"] for r in got if r["text"] != "\n\n".join(paragraphs)} == set()
     short = Page("<body><div>Short note.</div><div>Another one.</div></body>")
     assert short.text(short.judged(content(short.features(), model))) == "Short note.\n\nAnother one."
+
+
+def _kept(source):
+    page = Page(source)
+    return page.text(page.judged(np.full(len(page.nodes), 0.9)))
+
+
+def test_quotation_marks_in_attributes():
+    assert _kept("<p data-x=it's>One long text.</p><p>Two.</p><p>They don't stop.</p>") == "One long text.\n\nTwo.\n\nThey don't stop."
+    assert _kept('<p title="a>One</p>') == "One"
+    assert _kept("<p title='5 > 4' alt=\"x > y\">One</p><p a = 'b'c>Two</p><p \"x\">Three</p>") == "One\n\nTwo\n\nThree"
+    assert _kept("<p>One <b and no end") == "One <b and no end"
+    assert _kept("<p>One</p> two <!-- never closed <p>Three") == "One\n\ntwo"
+    assert _kept("<p>One</p><!-- > <p>gone") == "One"
+    assert _kept("1 < 2 and 3 > 2<br>a<b>b</b>") == "1 < 2 and 3 > 2 ab"
+
+
+def test_names_of_several_words():
+    body, thing = "Body text here, with words.", "Thing inside of it."
+    page = '<article><p>{}</p><div class="{}"><p>{}</p></div></article>'
+    for name in ("entry-comments", "post-comments", "related-posts", "article-ad", "main-nav", "postComments", "post__footer"):
+        assert _kept(page.format(body, name, thing)) == body, name
+    for name in ("comment-free", "content with-sidebar", "entry-header", "article__body", "post-list", "ad-free", "overflow-hidden"):
+        assert _kept(page.format(body, name, thing)) == f"{body}\n\n{thing}", name
+
+
+@pytest.mark.parametrize(
+    "part", ["<i>x", '<p title="a>x</p>', "<p title='it\"s a>x", "<div><i>", "</b>x", "<a href=x>y", "<li><dl><dt>", "<", "<p =", "<!--", "<td>"]
+)
+def test_malformed_pages_take_linear_time(part):
+    began = time.perf_counter()
+    _kept(part * 30_000)
+    assert time.perf_counter() - began < 10
