@@ -140,7 +140,7 @@ def slots(bins: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """`_number` from 0 within each key, without one task per key: numbered in salted groups plus the groups before."""
     groups = max(1, df.count() // GROUP_ROWS)
-    salted = df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    salted = df.withColumn("_group", F.pmod(order[0] if order == ["_row"] else F.xxhash64(*order), F.lit(groups)))
     before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         salted.groupBy(key, "_group")
@@ -164,8 +164,9 @@ def placed(cuts: DataFrame, length: int = LENGTH) -> DataFrame:
     table = spark.createDataFrame(
         slots(bins), "_length long, _first long, _stop long, _copies long, _sequence long, _offset long"
     )
-    own = [c for c in cuts.columns if c != "ids"]
-    rows = numbered(cuts, "length", ["doc_id", "piece", "ids_crc32"])
+    own = [c for c in cuts.columns if c not in ("ids", "_row")]
+    # rows that were stored with a number of their own are dealt by it, so that copies of a row spread as well
+    rows = numbered(cuts, "length", ["_row"] if "_row" in cuts.columns else ["doc_id", "piece", "ids_crc32"])
     at = F.col("_number") - F.col("_first")
     fits = (F.col("length") == F.col("_length")) & (at >= 0) & (F.col("_number") < F.col("_stop"))
     # the plan's size is bounded by the number of lengths
@@ -179,7 +180,8 @@ def placed(cuts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def packed(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """Pieces of all texts with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return placed(store(pieces(df, doc, text, length, **options), "pieces"), length)
+    cuts = pieces(df, doc, text, length, **options).withColumn("_row", F.monotonically_increasing_id())
+    return placed(store(cuts, "pieces"), length)
 
 
 def sequences(places: DataFrame) -> DataFrame:

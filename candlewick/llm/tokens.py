@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WHOLE = _BLANK + " (" + _BLANK + "|$)"
 _PLAIN = r"^[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
-SLICE_BYTES = 16 << 20
-# Distinct words whose ids an encoder keeps for later texts; beyond, it starts anew.
-CACHE_WORDS = 3_000_000
+SLICE_BYTES = 4 << 20
+# Bytes of distinct words and their ids that an encoder keeps for later texts; beyond, it starts anew.
+CACHE_BYTES = 24 << 20
 
 
 def vocabulary_path() -> str:
@@ -66,7 +66,7 @@ class Encoder:
     def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Begins in `self.ids` and lengths of distinct words, each with a space before it."""
         words = words.cast(pa.string())
-        if len(self.known) + len(words) > CACHE_WORDS:
+        if self.known.nbytes + self.ids.nbytes + self.begins.nbytes + self.lengths.nbytes > CACHE_BYTES:
             self._forget()
         index = pc.index_in(words, value_set=self.known)
         fresh = words.filter(pc.is_null(index))
