@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import documents, small, store, table
+from candlewick.llm.common import documents, small, store, table, unused
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -81,8 +81,8 @@ def leaks(
 ) -> DataFrame:
     """One row per document and item that it holds: doc, item, n_shingles, n_found, containment."""
     shingles = store(item_shingles(items, item, item_text, words), "item-shingles")
-    keyed = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("body"), text)
-    hashed = _with_words(keyed, text).select("doc", "body", "_w")
+    keyed = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    hashed = _with_words(keyed, "text").select("doc", "body", "_w")
     probes = small(sketches(shingles, containment))
     found = (
         hashed.select("doc", "body", F.explode(_hashes(words)).alias("h"))
@@ -95,7 +95,7 @@ def leaks(
     # null keys are keys too
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
     texts = keyed.join(suspects.select(F.col("doc").alias("_doc"), F.col("body").alias("_body")), same, "left_semi")
-    held = _with_words(texts, text).select("doc", "body", F.explode(F.array_distinct(_shingles(words))).alias("shingle"))
+    held = _with_words(texts, "text").select("doc", "body", F.explode(F.array_distinct(_shingles(words))).alias("shingle"))
     wanted = candidates.select(
         F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("item").alias("_item")
     )
@@ -111,9 +111,10 @@ def leaks(
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item, all columns kept."""
-    bad = leaks(docs, items, doc=doc, text=text).select(F.col(doc).alias("_doc"), F.col("body").alias("_body"))
-    bad = small(store(bad.distinct(), "leaking"))
-    same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_body"))
+    names = [unused(docs, "leak_doc"), unused(docs, "leak_body")]
+    found = leaks(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), items).select("doc_id", "body")
+    bad = small(store(found.distinct().toDF(*names), "leaking"))
+    same = F.col(doc).eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1]))
     return docs.join(bad, same, "left_anti")
 
 

@@ -55,12 +55,6 @@ STANDARD = Policy("standard", 1, tuple(rule.name for rule in RULES))
 LENIENT = Policy("lenient", 1, ("few_words", "repeated_words", "symbols", "repeated_lines"))
 POLICIES = (BASE, STANDARD, LENIENT)
 
-MEASURES = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_letters", "n_upper", "n_exclaims",
-)
-
-
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims",
 )
@@ -93,8 +87,10 @@ def measured(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
     kept = [c for c in keep if c not in MEASURES]
     words = F.filter(F.split(F.col("_t"), SPACE), lambda w: w != "")
     lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(
-        *kept, "_t", words.alias("_w"), lines.alias("_l")
+    # the columns kept travel as one, so that their names cannot clash with those used here
+    whole = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
+    first = df.select(whole.alias("_kept"), F.coalesce(F.col(text), F.lit("")).alias("_t")).select(
+        "_kept", "_t", words.alias("_w"), lines.alias("_l")
     )
     # windows of three words as hashes; only those with an equal hash elsewhere are compared as words
     index = F.sequence(F.lit(0), F.size("_w") - 3)
@@ -123,7 +119,8 @@ def measured(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
         "n_lines": F.size("_l"),
         "n_exclaims": _count("_t", "!"),
     }
-    return fourth.select(*kept, *(columns[m].cast("long").alias(m) for m in MEASURES))
+    own = [F.col("_kept")[c].alias(c) for c in kept]
+    return fourth.select(*own, *(columns[m].cast("long").alias(m) for m in MEASURES))
 
 
 def ledger(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -137,6 +134,12 @@ def verdicts(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long")) == 0)
 
 
+def passing(df: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFrame:
+    """The rows of `df` that the policy keeps, every column as it was, whatever its name."""
+    packed = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("text"))
+    return verdicts(ledger(packed, keep=["_row"]), policy).filter("kept").select("_row.*")
+
+
 def ablation(rows: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
     """Per policy and rule: documents, those the rule rejects, those it alone rejects, those kept without the rule.
 
