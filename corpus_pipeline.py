@@ -12,13 +12,13 @@ from candlewick.llm.common import store, table
 from candlewick.llm.decontamination import decontaminated
 from candlewick.llm.jaccard_join import one_of_each
 from candlewick.llm.packing import packed
-from candlewick.llm.quality_rules import ledger, verdicts
+from candlewick.llm.quality_rules import passing
 from candlewick.llm.suffix_dedup import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """Documents that pass every rule of the standard policy."""
-    return verdicts(ledger(docs, keep=docs.columns)).filter("kept").select(*docs.columns)
+    return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
