@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocks, documents, ship
-from candlewick.llm.exchange import ANSWER, ASK, Asked, answer_or_pass
+from candlewick.llm.exchange import ANSWER, ASK, Asked, answer_or_pass, planes, unplanes
 from candlewick.llm.textarrays import Hasher, flat, mix, parts
 from candlewick.llm.tokens import spread
 
 LENGTH = 200
 GRAM = 12
-BLOCK_BYTES = 4 << 20  # the anchors of a block and what they ask take a multiple of its text
+BLOCK_BYTES = 2 << 20  # the anchors of a block and what they ask take a multiple of its text
+BLOCKS_A_RANGE = 4  # of a range of names
+AT_ONCE = 1 << 19  # asked intervals that are named at once
 SPLITS = (2, 5, 5, 5)  # parts of an interval of offsets, level by level, down to single ones
 
 _CORE, _HULL = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -138,9 +140,12 @@ class Search:
 
     def pack(self, length: int) -> tuple[bytes, bytes]:
         """least > most where nothing repeats."""
-        fields = (self.anchors, self.index, self.interval, self.least, self.most)
+        # what ascends goes as differences, whose leading bytes are mostly zero
+        rising = [planes(np.diff(f.astype(np.uint32), prepend=np.uint32(0))) for f in (self.anchors, self.index)]
+        small = self.kinds(length)[-1]
+        rest = [f.astype(small).tobytes() for f in (self.interval, self.least, self.most)]
         sizes = np.array([len(self.anchors), len(self.index)], np.uint32)
-        return sizes.tobytes(), b"".join(f.astype(k).tobytes() for f, k in zip(fields, self.kinds(length)))
+        return sizes.tobytes(), b"".join([*rising, *rest])
 
     @classmethod
     def unpack(cls, sizes: bytes, raw: bytes, length: int) -> Search:
@@ -148,7 +153,8 @@ class Search:
         fields, at = [], 0
         for count, kind in zip((n, m, m, n, n), cls.kinds(length)):
             step = int(count) * np.dtype(kind).itemsize
-            fields.append(np.frombuffer(raw[at : at + step], kind).copy())
+            part = raw[at : at + step]
+            fields.append(np.cumsum(unplanes(part, kind), dtype=kind) if len(fields) < 2 else np.frombuffer(part, kind).copy())
             at += step
         fields[0] = fields[0].astype(np.int64)
         return cls(*fields)
@@ -156,22 +162,31 @@ class Search:
 
 def _names(block: Block, s: Search, level: list, length: int):
     """Names of core and hull of each asked interval, and the first and last offset that its text has room for."""
+    small = np.int16 if length < 1 << 15 else np.int32
     table = np.array(level, np.int32)
     begin, end = block.bounds(s.anchors)
-    least = np.maximum(0, length - (end - s.anchors)).astype(np.int32)  # offsets that the text has room for
-    most = np.minimum(length, s.anchors - begin).astype(np.int32)
+    least = np.maximum(0, length - (end - s.anchors)).astype(small)  # offsets that the text has room for
+    most = np.minimum(length, s.anchors - begin).astype(small)
     room = np.maximum(table[s.interval, 1], least[s.index]) <= np.minimum(table[s.interval, 2], most[s.index])
     s.index, s.interval = s.index[room], s.interval[room]
-    first, last = table[s.interval, 1], table[s.interval, 2]
-    low, high = np.maximum(first, least[s.index]), np.minimum(last, most[s.index])
-    spans = [(first, length - last)]
-    if not single(level):
-        spans.append((high, length - low))
-    found = block.hashes(s.anchors[s.index], spans)
-    core = mix(found[0] + (_CORE + (first.astype(np.uint64) << np.uint64(8)) + last.astype(np.uint64)))
-    if len(found) == 1:
-        return core, core, low, high
-    return core, mix(found[1] + (_HULL + (low.astype(np.uint64) << np.uint64(8)) + high.astype(np.uint64))), low, high
+    n, alone = len(s.index), single(level)
+    core = np.empty(n, np.uint64)
+    hull = core if alone else np.empty(n, np.uint64)
+    low, high = np.empty(n, small), np.empty(n, small)
+    for at in range(0, n, AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        index = s.index[part]
+        first, last = table[s.interval[part], 1], table[s.interval[part], 2]
+        low[part], high[part] = np.maximum(first, least[index]), np.minimum(last, most[index])
+        spans = [(first, length - last)]
+        if not alone:
+            spans.append((high[part].astype(np.int32), length - low[part].astype(np.int32)))
+        found = block.hashes(s.anchors[index], spans)
+        core[part] = mix(found[0] + (_CORE + (first.astype(np.uint64) << np.uint64(8)) + last.astype(np.uint64)))
+        if not alone:
+            edges = (low[part].astype(np.uint64) << np.uint64(8)) + high[part].astype(np.uint64)
+            hull[part] = mix(found[1] + (_HULL + edges))
+    return core, hull, low, high
 
 
 def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish: bool, with_text: bool):
@@ -205,7 +220,7 @@ def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish:
             many = np.array([len(c) for c in children], np.int32)[search.interval[on]]
             firsts = np.array([c[0] for c in children], np.int32)[search.interval[on]]
             search.index = np.repeat(search.index[on], many)
-            search.interval = spread(firsts, many).astype(np.int32)
+            search.interval = spread(firsts, many).astype(np.int16 if length < 1 << 15 else np.int32)
             del core, hull, low, high, asked, totals, cores, hulls, hit, on
         core, hull, _, _ = _names(block, search, levels[depth], length)
         asked = Asked(core if single(levels[depth]) else np.concatenate([core, hull]), ranges)
@@ -275,7 +290,8 @@ def deduplicated(
     others = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     docs = df.select(block.alias("block"), F.col(doc).alias("doc_id"), F.col(text).alias("text"), *others)
     levels = intervals(length, gram)
-    first = _step(0, n, length, gram, levels, False, False)
+    ranges = max(1, n // BLOCKS_A_RANGE)
+    first = _step(0, ranges, length, gram, levels, False, False)
     rows = docs.groupBy("block").applyInArrow(lambda table: first(table, None), ASK)
     for depth in range(1, len(levels) + 1):
         back = rows.groupBy("range").applyInArrow(answer_or_pass, ANSWER).groupBy("block")
@@ -288,7 +304,7 @@ def deduplicated(
             own += ["kept_text string, spans array<struct<begin: long, end: long>>"] * with_text
             schema = ", ".join(own)
         rows = docs.groupBy("block").cogroup(back).applyInArrow(
-            _step(depth, n, length, gram, levels, finish, with_text), schema
+            _step(depth, ranges, length, gram, levels, finish, with_text), schema
         )
     for i, c in enumerate(keep):
         rows = rows.withColumnRenamed(f"keep_{i}", c)
