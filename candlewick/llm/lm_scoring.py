@@ -152,6 +152,24 @@ def _answers(
     )
 
 
+def wide(counts: np.ndarray) -> type:
+    """Counts over the corpus outgrow 32 bits; as long as they do not, they need no more."""
+    return np.uint64 if counts.size and counts.max() >= 1 << 32 else np.uint32
+
+
+def counts_out(counts: np.ndarray) -> bytes:
+    """Counts, row by row if they have several, behind a byte with their width."""
+    kind = wide(counts)
+    return bytes([np.dtype(kind).itemsize]) + pack(counts.reshape(-1).astype(kind))
+
+
+def counts_in(raw: bytes) -> np.ndarray:
+    """All counts in a row."""
+    if not raw:
+        return np.zeros(0, np.uint32)
+    return unpack(raw[1:], np.uint32 if raw[0] == 4 else np.uint64)
+
+
 def _answer_words(ranges: int):
     def run(table: pa.Table) -> pa.Table:
         """The training counts of all blocks; in `sums` a bit for each word that occurs in the asking block alone; short
@@ -165,10 +183,10 @@ def _answer_words(ranges: int):
         names[np.lexsort((distinct, -total))] = np.arange(len(distinct), dtype=np.uint64)
         names = names * np.uint64(ranges) + np.uint64(table.column("range")[0].as_py())
         cuts = np.cumsum([0, *map(len, asked)])
-        back, alone = total[inverse].astype(np.uint64), blocks_with[inverse] == 1
+        back, alone = total[inverse], blocks_with[inverse] == 1
         pieces = list(zip(cuts, cuts[1:]))
         return _answers(
-            table, 1, [pack(back[a:b]) for a, b in pieces], statistics(total),
+            table, 1, [counts_out(back[a:b]) for a, b in pieces], statistics(total),
             [np.packbits(alone[a:b]).tobytes() for a, b in pieces], [pack(names[inverse[a:b]]) for a, b in pieces],
         )
 
@@ -186,7 +204,7 @@ def _totals(answers: pa.Table, kind: int) -> tuple[list[int], np.ndarray]:
 def _word_counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Training counts and names of the block's words, which of them occur in this block alone, and the statistics."""
     rows, stats = _totals(answers, 1)
-    counts = [unpack(answers.column("counts")[i].as_py(), np.uint64) for i in rows]
+    counts = [counts_in(answers.column("counts")[i].as_py()) for i in rows]
     names = [unpack(answers.column("names")[i].as_py(), np.uint64) for i in rows]
     bits = [np.frombuffer(answers.column("sums")[i].as_py(), np.uint8) for i in rows]
     alone = [np.unpackbits(b, count=len(c)).astype(bool) for b, c in zip(bits, counts)]
@@ -229,7 +247,7 @@ def _ask_pairs(ranges: int):
             columns["contexts"].append(pack(contexts[context[a:b][at]]))
             columns["runs"].append(pack(np.diff(np.append(at, b - a)).astype(np.uint32)))
             columns["next"].append(pack(names[word[a:b]]))
-            columns["next_counts"].append(pack(counts[word[a:b]].astype(np.uint64)))
+            columns["next_counts"].append(counts_out(counts[word[a:b]]))
             columns["pairs"].append(pack(pairs[a:b].astype(np.uint32)))
             columns["unspread"].append(int((~spread[a:b][at]).sum()))
         block = docs.column("block")[0].as_py()
@@ -278,14 +296,14 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     order = np.lexsort((following, context))
     context, following = context[order], following[order]
     pairs = np.concatenate(get("pairs", np.uint32))[order].astype(np.int64)
-    counts = np.concatenate(get("next_counts", np.uint64))[order].astype(np.int64)
+    counts = np.concatenate([counts_in(x.as_py()) for x in table.column("next_counts")])[order].astype(np.int64)
     new_context = np.zeros(len(context), dtype=bool)
     new_context[_begins(context)] = True
     new = new_context.copy()
     new[1:] |= following[1:] != following[:-1]
     firsts = np.flatnonzero(new)
     total = np.add.reduceat(pairs, firsts)
-    back = np.empty(len(order), dtype=np.uint64)
+    back = np.empty(len(order), dtype=wide(total))
     back[order] = total[np.cumsum(new) - 1]
     begins = np.flatnonzero(new_context[firsts])
     sums = _context_sums(total, counts[firsts], begins)
@@ -293,8 +311,8 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *sizes])
     own = [sums[:, np.searchsorted(names, c[:u])] for c, u in zip(contexts, unspread)]
     result = _answers(
-        table, 2, [pack(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total) + known,
-        [b"".join(pack(row.astype(np.uint64)) for row in s) for s in own],
+        table, 2, [counts_out(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total) + known,
+        [counts_out(s) for s in own],
     )
     # sums of spread contexts go out once per range, named
     hot = np.unique(np.concatenate([c[u:] for c, u in zip(contexts, unspread)]))
@@ -369,7 +387,7 @@ def _score(ranges: int):
         rows, pair_stats = _totals(answers, 2)
         d = discounts(pair_stats)
         seen = pairs.astype(np.int64)
-        seen[order] = np.concatenate([unpack(answers.column("counts")[i].as_py(), np.uint64) for i in rows])
+        seen[order] = np.concatenate([counts_in(answers.column("counts")[i].as_py()) for i in rows])
         # sums by context: unspread ones come in the order of the asking, spread ones by name
         sums = np.zeros((SUMS, len(contexts)), dtype=np.int64)
         if len(own):
@@ -379,10 +397,9 @@ def _score(ranges: int):
         asked = asked[_begins(asked)]
         at = 0
         for i in rows:
-            raw = answers.column("sums")[i].as_py()
-            n = len(raw) // (8 * SUMS)
-            for j in range(SUMS):
-                sums[j, asked[at : at + n]] = unpack(raw[8 * n * j : 8 * n * (j + 1)], np.uint64)
+            own_sums = counts_in(answers.column("sums")[i].as_py()).reshape(SUMS, -1)
+            n = own_sums.shape[1]
+            sums[:, asked[at : at + n]] = own_sums
             at += n
         kinds = answers.column("kind").to_pylist()
         for i in (i for i, k in enumerate(kinds) if k == 3):

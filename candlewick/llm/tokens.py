@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WHOLE = _BLANK + " (" + _BLANK + "|$)"
 _PLAIN = r"^[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 # Bytes of distinct words and their ids that an encoder keeps for later texts; beyond, it starts anew.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 
 
 def vocabulary_path() -> str:

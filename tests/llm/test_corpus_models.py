@@ -256,3 +256,11 @@ def test_malformed_pages_take_linear_time(part):
     began = time.perf_counter()
     _kept(part * 30_000)
     assert time.perf_counter() - began < 10
+
+
+def test_counts_beyond_32_bits():
+    for counts in (np.array([1, 2, (1 << 32) - 1]), np.array([[1, 1 << 32], [5, (1 << 40) + 3]]), np.zeros(0, np.int64)):
+        back = lm_scoring.counts_in(lm_scoring.counts_out(counts))
+        assert back.tolist() == counts.reshape(-1).tolist()
+    assert lm_scoring.counts_in(b"").tolist() == []
+    assert lm_scoring.wide(np.array([1 << 32])) is np.uint64 and lm_scoring.wide(np.array([7])) is np.uint32
