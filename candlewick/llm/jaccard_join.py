@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocked, components, documents, mapped, ship, store
+from candlewick.llm.exchange import ranges_of
 from candlewick.llm.textarrays import mix, shingles, word_hashes
 
 LONGEST = 6  # most shared shingles asked for
@@ -61,23 +62,24 @@ def _sets(texts: pa.Array, size: int):
 
 
 def _asked(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles ascending, their counts, and the bounds of the ranges of hashes in them."""
+    """Distinct shingles ascending, their counts, and the ranges of hashes that they are in."""
     values, counts = np.unique(found, return_counts=True)
-    of = (values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    return values, counts, np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+    return values, counts, ranges_of(values, ranges)
 
 
 def _ask(size: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
+        """A row per range that is asked anything: never more than there are shingles, however many the ranges."""
         found, text, _, _, new = _sets(table.column("text"), size)
-        values, counts, bounds = _asked(found[new[text]], ranges)
+        values, counts, of = _asked(found[new[text]], ranges)
         keys = values.astype(np.uint32)
         counts = np.minimum(counts, 65535).astype(np.uint16)
-        cuts = list(zip(bounds[:-1], bounds[1:]))
+        asked, firsts = np.unique(of, return_index=True)
+        cuts = list(zip(firsts, np.append(firsts[1:], len(of))))
         return pa.table(
             {
-                "block": pa.array([table.column("block")[0].as_py()] * ranges, pa.int32()),
-                "range": pa.array(range(ranges), pa.int32()),
+                "block": pa.array([table.column("block")[0].as_py()] * len(asked), pa.int32()),
+                "range": pa.array(asked, pa.int32()),
                 "keys": pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
                 "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary()),
             }
@@ -109,10 +111,10 @@ def _answer(table: pa.Table) -> pa.Table:
     )
 
 
-def _frequencies(answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    found = np.ones(bounds[-1], dtype=np.int64)
+def _frequencies(answers: pa.Table, of: np.ndarray) -> np.ndarray:
+    found = np.ones(len(of), dtype=np.int64)
     for i, mask, more in zip(*(answers.column(c).to_pylist() for c in ("range", "mask", "more"))):
-        a, b = bounds[i], bounds[i + 1]
+        a, b = np.searchsorted(of, [i, i + 1])
         hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a).astype(bool)
         found[a:b][hit] = np.frombuffer(more, np.uint32)
     return found
@@ -127,8 +129,8 @@ PREFIXES = (
 def _prefixes(size: int, ranges: int, percent: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found, text, counts, sums, new = _sets(docs.column("text"), size)
-        values, _, bounds = _asked(found[new[text]], ranges)
-        known = _frequencies(answers, bounds)
+        values, _, of = _asked(found[new[text]], ranges)
+        known = _frequencies(answers, of)
         firsts = np.cumsum(counts) - counts
         lengths = counts - needed(counts, percent) + 1  # of the prefix for one shared shingle
         smallest = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1) or n == 100)  # else links are equal sets

@@ -26,6 +26,8 @@ rows are counted and scored each. Extra columns are ignored. An empty table give
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,7 @@ HIGHEST = 5  # counts above are taken as they are
 HOT_SHARE = 1000  # a context with more than one in so many tokens is spread
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 STATS = 2 + HIGHEST + 1  # sum, types, types by count 1 .. HIGHEST + 1
+FOR_ALL = 10  # added to the kind of a row that is meant for all blocks
 SUMS = 2 * (1 + HIGHEST)  # per context: high counts and types by count of its pairs, then of its next words
 
 
@@ -117,41 +120,80 @@ ASK = "block int, range int, words binary, counts binary"
 ANSWER = "block int, range int, kind int, counts binary, stats binary, sums binary, names binary"
 
 
+def _cuts(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """Range, begin and end of the runs of equal ranges."""
+    at = _begins(of)
+    return list(zip(of[at].tolist(), at.tolist(), [*at[1:].tolist(), len(of)]))
+
+
 def _ask_words(ranges: int):
     def run(docs: pa.Table) -> pa.Table:
         t = Tokens(docs)
-        bounds = np.searchsorted(ranges_of(t.words, ranges), np.arange(ranges + 1))
+        cuts = _cuts(ranges_of(t.words, ranges))
         counts = t.counts.astype(np.uint32)
-        cuts = list(zip(bounds[:-1], bounds[1:]))
         return pa.table(
             {
-                "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int32()),
-                "range": pa.array(range(ranges), pa.int32()),
-                "words": pa.array([pack(np.diff(t.words[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()),
-                "counts": pa.array([pack(counts[a:b]) for a, b in cuts], pa.binary()),
+                "block": pa.array([docs.column("block")[0].as_py()] * len(cuts), pa.int32()),
+                "range": pa.array([i for i, _, _ in cuts], pa.int32()),
+                "words": pa.array([pack(np.diff(t.words[a:b], prepend=np.uint64(0))) for _, a, b in cuts], pa.binary()),
+                "counts": pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
             }
         )
 
     return run
 
 
+NO_SUMS = np.zeros((SUMS, 0), np.int64)
+
+
 def _answers(
-    table: pa.Table, kind: int, counts: list[bytes], stats: np.ndarray, sums: list[bytes], names: list[bytes] | None = None
-) -> pa.Table:
+    table: pa.Table, kind: int, counts: list[bytes], sums: list[bytes], names: list[bytes],
+    stats: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64), hot_sums: np.ndarray = NO_SUMS,
+) -> pa.Table:
+    """The answers to the blocks, and one row for all of them: statistics, and names and sums of spread contexts."""
     n = len(table)
     return pa.table(
         {
-            "block": table.column("block"),
-            "range": table.column("range"),
-            "kind": pa.array([kind] * n, pa.int32()),
-            "counts": pa.array(counts, pa.binary()),
-            "stats": pa.array([stats.tobytes()] * n, pa.binary()),
-            "sums": pa.array(sums, pa.binary()),
-            "names": pa.array(names or [b""] * n, pa.binary()),
+            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int32()),
+            "range": pa.array([*table.column("range").to_pylist(), table.column("range")[0].as_py()], pa.int32()),
+            "kind": pa.array([kind] * n + [kind + FOR_ALL], pa.int32()),
+            "counts": pa.array([*counts, hot.tobytes()], pa.binary()),
+            "stats": pa.array([b""] * n + [stats.tobytes()], pa.binary()),
+            "sums": pa.array([*sums, hot_sums.astype(np.int64).tobytes()], pa.binary()),
+            "names": pa.array([*names, b""], pa.binary()),
         }
     )
 
 
+def _for_all(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, and names and sums of the spread contexts, added up over the rows for all blocks."""
+    rows = [i for i, k in enumerate(answers.column("kind").to_pylist()) if k == kind + FOR_ALL]
+    get = lambda c, kind: [np.frombuffer(answers.column(c)[i].as_py(), kind) for i in rows]
+    stats = np.sum([np.zeros(STATS, np.int64), *get("stats", np.int64)], axis=0)
+    names = np.concatenate([np.zeros(0, np.uint64), *get("counts", np.uint64)])
+    sums = np.concatenate([NO_SUMS, *(x.reshape(SUMS, -1) for x in get("sums", np.int64))], axis=1)
+    distinct, inverse = np.unique(names, return_inverse=True)
+    total = np.zeros((SUMS, len(distinct)), np.int64)
+    np.add.at(total, (slice(None), inverse), sums)
+    return stats, distinct, total
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    kind = table.column("kind")[0].as_py() - FOR_ALL
+    return _answers(table.slice(0, 1), kind, [b""], [b""], [b""], *_for_all(table, kind)).slice(1)
+
+
+def _dealt_to_all(answers: DataFrame, blocks: int) -> DataFrame:
+    """The rows for all blocks added up, at most HOT_SHARE contexts and the begin, one for each block. No task sees more
+    rows than the square root of the number of blocks."""
+    hops = math.isqrt(blocks - 1) + 1 if blocks > 1 else 1
+    parts = answers.filter("block < 0").withColumn("range", F.pmod("range", F.lit(hops)))
+    whole = parts.groupBy("range").applyInArrow(_add_up, ANSWER).groupBy("kind").applyInArrow(_add_up, ANSWER)
+    groups = whole.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(hops - 1)))).repartition("range")
+    block = F.explode(F.sequence(F.col("range"), F.lit(blocks - 1), F.lit(hops)))
+    return groups.withColumn("block", block).select(answers.columns)
+
+
 def wide(counts: np.ndarray) -> type:
     """Counts over the corpus outgrow 32 bits; as long as they do not, they need no more."""
     return np.uint64 if counts.size and counts.max() >= 1 << 32 else np.uint32
@@ -186,24 +228,23 @@ def _answer_words(ranges: int):
         back, alone = total[inverse], blocks_with[inverse] == 1
         pieces = list(zip(cuts, cuts[1:]))
         return _answers(
-            table, 1, [counts_out(back[a:b]) for a, b in pieces], statistics(total),
-            [np.packbits(alone[a:b]).tobytes() for a, b in pieces], [pack(names[inverse[a:b]]) for a, b in pieces],
+            table, 1, [counts_out(back[a:b]) for a, b in pieces], [np.packbits(alone[a:b]).tobytes() for a, b in pieces],
+            [pack(names[inverse[a:b]]) for a, b in pieces], statistics(total),
         )
 
     return run
 
 
-def _totals(answers: pa.Table, kind: int) -> tuple[list[int], np.ndarray]:
-    """Rows of the kind by range, and the sum of their statistics."""
+def _rows(answers: pa.Table, kind: int) -> list[int]:
+    """Rows of the kind by range."""
     kinds, ranges = answers.column("kind").to_pylist(), answers.column("range").to_pylist()
-    rows = sorted((i for i, k in enumerate(kinds) if k == kind), key=lambda i: ranges[i])
-    stats = [np.frombuffer(answers.column("stats")[i].as_py(), np.int64) for i in rows]
-    return rows, np.sum(stats, axis=0) if stats else np.zeros(STATS, np.int64)
+    return sorted((i for i, k in enumerate(kinds) if k == kind), key=lambda i: ranges[i])
 
 
 def _word_counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Training counts and names of the block's words, which of them occur in this block alone, and the statistics."""
-    rows, stats = _totals(answers, 1)
+    rows = _rows(answers, 1)
+    stats, _, _ = _for_all(answers, 1)
     counts = [counts_in(answers.column("counts")[i].as_py()) for i in rows]
     names = [unpack(answers.column("names")[i].as_py(), np.uint64) for i in rows]
     bits = [np.frombuffer(answers.column("sums")[i].as_py(), np.uint8) for i in rows]
@@ -232,17 +273,32 @@ def _begins(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
 
 
+ASK_PAIRS = (
+    "block int, range int, contexts binary, runs binary, next binary, next_counts binary, pairs binary, unspread int, "
+    "known binary"
+)
+
+
+def _none(schema: str, key: pa.DataType = pa.int64()) -> pa.Table:
+    """No rows of a schema; what is meant for all blocks also comes to those that hold no text."""
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.table({name: pa.array([], types.get(kind, key)) for name, kind in columns})
+
+
 def _ask_pairs(ranges: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _none(ASK_PAIRS)
         t = Tokens(docs)
         counts, names, alone, stats = _word_counts(answers)
         context, word, pairs, _, _ = t.pairs()
         contexts, of, spread, order, own = _dealt(names, context, word, counts, alone, int(stats[0]), ranges)
         known = statistics(pairs[own]).tobytes()
         context, word, pairs, of, spread = (x[order] for x in (context, word, pairs, of, spread))
-        bounds = np.searchsorted(of, np.arange(ranges + 1))
+        cuts = _cuts(of) or [(0, 0, 0)]  # what is known goes out in any case
         columns = {c: [] for c in ("contexts", "runs", "next", "next_counts", "pairs", "unspread")}
-        for a, b in zip(bounds[:-1], bounds[1:]):
+        for _, a, b in cuts:
             at = _begins(context[a:b])
             columns["contexts"].append(pack(contexts[context[a:b][at]]))
             columns["runs"].append(pack(np.diff(np.append(at, b - a)).astype(np.uint32)))
@@ -253,22 +309,16 @@ def _ask_pairs(ranges: int):
         block = docs.column("block")[0].as_py()
         return pa.table(
             {
-                "block": pa.array([block] * ranges, pa.int32()),
-                "range": pa.array(range(ranges), pa.int32()),
+                "block": pa.array([block] * len(cuts), pa.int32()),
+                "range": pa.array([i for i, _, _ in cuts], pa.int32()),
                 **{c: pa.array(columns[c], pa.int32() if c == "unspread" else pa.binary()) for c in columns},
-                "known": pa.array([known] + [b""] * (ranges - 1), pa.binary()),
+                "known": pa.array([known] + [b""] * (len(cuts) - 1), pa.binary()),
             }
         )
 
     return run
 
 
-ASK_PAIRS = (
-    "block int, range int, contexts binary, runs binary, next binary, next_counts binary, pairs binary, unspread int, "
-    "known binary"
-)
-
-
 def _context_sums(pairs: np.ndarray, following: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Per context: counts above HIGHEST, types by count 1 .. HIGHEST of its pairs; the same of the words after it."""
     sums = np.zeros((SUMS, len(begins)), dtype=np.int64)
@@ -291,7 +341,7 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     sizes = [int(r.sum()) for r in runs]
     if not len(following):
         nothing = [b""] * len(table)
-        return _answers(table, 2, nothing, known, nothing)
+        return _answers(table, 2, nothing, nothing, nothing, known)
     context = np.repeat(np.concatenate(contexts), np.concatenate(runs))
     order = np.lexsort((following, context))
     context, following = context[order], following[order]
@@ -310,52 +360,12 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     names = context[firsts][begins]
     cuts = np.cumsum([0, *sizes])
     own = [sums[:, np.searchsorted(names, c[:u])] for c, u in zip(contexts, unspread)]
-    result = _answers(
-        table, 2, [counts_out(back[a:b]) for a, b in zip(cuts, cuts[1:])], statistics(total) + known,
-        [counts_out(s) for s in own],
-    )
     # sums of spread contexts go out once per range, named
     hot = np.unique(np.concatenate([c[u:] for c, u in zip(contexts, unspread)]))
-    if not len(hot):
-        return result
-    at = np.searchsorted(names, hot)
-    spread = pa.table(
-        {
-            "block": pa.array([-1], pa.int32()),
-            "range": pa.array([table.column("range")[0].as_py()], pa.int32()),
-            "kind": pa.array([3], pa.int32()),
-            "counts": pa.array([hot.tobytes()], pa.binary()),
-            "stats": pa.array([b""], pa.binary()),
-            "sums": pa.array([sums[:, at].tobytes()], pa.binary()),
-            "names": pa.array([b""], pa.binary()),
-        }
-    )
-    return pa.concat_tables([result.cast(spread.schema), spread])
-
-
-def _gather_spread(blocks: int):
-    """Adds up the sums of the spread contexts, at most HOT_SHARE and the begin, and sends them to every block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        names = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("counts")])
-        sums = np.concatenate(
-            [np.frombuffer(x.as_py(), np.int64).reshape(SUMS, -1) for x in table.column("sums")], axis=1
-        )
-        distinct, inverse = np.unique(names, return_inverse=True)
-        total = np.stack([np.bincount(inverse, weights=row, minlength=len(distinct)) for row in sums])
-        return pa.table(
-            {
-                "block": pa.array(range(blocks), pa.int32()),
-                "range": pa.array([0] * blocks, pa.int32()),
-                "kind": pa.array([3] * blocks, pa.int32()),
-                "counts": pa.array([distinct.tobytes()] * blocks, pa.binary()),
-                "stats": pa.array([b""] * blocks, pa.binary()),
-                "sums": pa.array([total.astype(np.int64).tobytes()] * blocks, pa.binary()),
-                "names": pa.array([b""] * blocks, pa.binary()),
-            }
-        )
-
-    return run
+    return _answers(
+        table, 2, [counts_out(back[a:b]) for a, b in zip(cuts, cuts[1:])], [counts_out(s) for s in own],
+        [b""] * len(table), statistics(total) + known, hot, sums[:, np.searchsorted(names, hot)],
+    )
 
 
 RESULT = (
@@ -379,15 +389,18 @@ def backoff(sums: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> tuple[np.nda
 
 def _score(ranges: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _none(RESULT, docs.column("doc_id").type)
         t = Tokens(docs)
         counts, names, alone, stats = _word_counts(answers)
         unigrams = Unigrams(stats)
         context, word, pairs, inverse, _ = t.pairs()
         contexts, of, spread, order, own = _dealt(names, context, word, counts, alone, int(stats[0]), ranges)
-        rows, pair_stats = _totals(answers, 2)
+        rows = _rows(answers, 2)
+        pair_stats, hot, hot_sums = _for_all(answers, 2)
         d = discounts(pair_stats)
         seen = pairs.astype(np.int64)
-        seen[order] = np.concatenate([counts_in(answers.column("counts")[i].as_py()) for i in rows])
+        seen[order] = np.concatenate([np.zeros(0, np.uint32), *(counts_in(answers.column("counts")[i].as_py()) for i in rows)])
         # sums by context: unspread ones come in the order of the asking, spread ones by name
         sums = np.zeros((SUMS, len(contexts)), dtype=np.int64)
         if len(own):
@@ -401,13 +414,8 @@ def _score(ranges: int):
             n = own_sums.shape[1]
             sums[:, asked[at : at + n]] = own_sums
             at += n
-        kinds = answers.column("kind").to_pylist()
-        for i in (i for i, k in enumerate(kinds) if k == 3):
-            hot = np.frombuffer(answers.column("counts")[i].as_py(), np.uint64)
-            values = np.frombuffer(answers.column("sums")[i].as_py(), np.int64).reshape(SUMS, -1)
-            where = {h: j for j, h in enumerate(hot.tolist())}
-            for c in np.unique(context[order[spread[order]]]).tolist():
-                sums[:, c] = values[:, where[int(contexts[c])]]
+        wanted = np.unique(context[order[spread[order]]])
+        sums[:, wanted] = hot_sums[:, np.searchsorted(hot, contexts[wanted])]
         size, alpha = backoff(sums, d, unigrams)
         p = unigrams(counts)[word]
         backed = np.where(np.isnan(alpha[context]), p, alpha[context] * p)
@@ -442,10 +450,10 @@ def scored(df: DataFrame, held_out: str, doc: str = "doc_id", text: str = "text"
     docs = flagged.select(block.alias("block"), F.col(doc).alias("doc_id"), F.col(text).alias("text"), "held_out")
     words = docs.groupBy("block").applyInArrow(_ask_words(n), ASK)
     words = words.groupBy("range").applyInArrow(_answer_words(n), ANSWER)
+    words = words.filter("block >= 0").unionAll(_dealt_to_all(words, n))
     pairs = docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(n), ASK_PAIRS)
     pairs = pairs.groupBy("range").applyInArrow(_answer_pairs, ANSWER)
-    spread = pairs.filter("block < 0").groupBy("kind").applyInArrow(_gather_spread(n), ANSWER)
-    answers = words.unionAll(pairs.filter("block >= 0")).unionAll(spread)
+    answers = words.unionAll(pairs.filter("block >= 0")).unionAll(_dealt_to_all(pairs, n))
     schema = RESULT.format(kind=df.schema[doc].dataType.simpleString())
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n), schema)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any substrings of `data`, each in constant time."""
+    """Hashes of any substrings of `data`, each in constant time: a polynomial modulo 2**64 under a bijection.
+
+    Certain regular strings of some hundred bytes or more collide whatever the base; `span_hashes` has no such pairs.
+    """
 
     def __init__(self, data: np.ndarray):
         _, _, value = _tables()
@@ -75,6 +81,24 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[begins]) * self.inverse[begins] + (ends - begins).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of substrings of `data`, eight bytes after eight; those of one length up to eight bytes are all different."""
+    left = (ends - begins).astype(np.int64)
+    found = mix(left.astype(np.uint64) * _ODD)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        found[i] = int.from_bytes(blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    on = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, left = begins[on], left[on]
+    while len(on):
+        found[on] = mix(found[on] ^ (eight[at] & masks[np.minimum(left, 8)]))
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    return found
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word `[^\\x20\\x09-\\x0D]+` and the text that it stands in."""
     blank, _, _ = _tables()
@@ -110,7 +134,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     for first, stop in parts(offsets):
         piece = data[offsets[first] : offsets[stop]]
         begins, ends, owner = words(piece, offsets[first : stop + 1] - offsets[first])
-        hashes.append(Hasher(lowered(piece) if lower else piece)(begins, ends))
+        hashes.append(span_hashes(lowered(piece) if lower else piece, begins, ends))
         owners.append(owner + first)
     return np.concatenate(hashes), np.concatenate(owners), len(offsets) - 1
 

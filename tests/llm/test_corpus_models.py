@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from candlewick.llm import language_id, lm_scoring, quality_classifier
+from candlewick.llm import jaccard_join, language_id, lm_scoring, quality_classifier
 from candlewick.llm.html_extraction import Page, content, extracted, train
 from texts import ODD, frame, prose, rows, words
 
@@ -62,6 +62,28 @@ def test_katz_scores_against_brute_force(spark, small_blocks, monkeypatch, hot):
         assert mass == pytest.approx(1)
 
 
+@pytest.mark.parametrize("blocks", [2, 7, 1000])
+def test_katz_scores_do_not_depend_on_the_blocks(spark, monkeypatch, blocks):
+    """With far more ranges than words most ranges are asked nothing and have no row."""
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 20)
+    df = frame(spark, rows(n=25))
+    result = lambda: sorted((r["doc_id"], r["n_known"], r["base_score"], round(r["score"], 9)) for r in lm_scoring.scored(df, "doc_id % 4 = 0").collect())
+    want = result()
+    monkeypatch.setattr(lm_scoring, "blocks", lambda *a, **k: blocks)
+    assert result() == want
+
+
+def test_messages_are_bounded_by_the_words_of_a_block():
+    texts = ["a b c a b", "b c d", None]
+    docs = pa.table({"block": pa.array([5] * 3, pa.int32()), "text": texts, "held_out": [False, True, False]})
+    for ranges in (1, 3, 10**6):
+        asked = lm_scoring._ask_words(ranges)(docs)
+        assert 1 <= len(asked) <= min(ranges, 5)
+        answers = pa.concat_tables([lm_scoring._answer_words(ranges)(asked.slice(i, 1)) for i in range(len(asked))])
+        assert len(lm_scoring._ask_pairs(ranges)(docs, answers)) <= 10
+        assert len(jaccard_join._ask(1, ranges)(docs)) <= min(ranges, 4)
+
+
 def test_katz_edge_cases(spark):
     df = frame(spark, [])
     assert lm_scoring.scored(df, "false").count() == 0

@@ -75,3 +75,16 @@ def test_empty_table_clashing_and_repeated(spark):
 def test_rules_catch(spark, text, rule):
     bit = next(1 << r.bit for r in rules.RULES if r.name == rule)
     assert rules.ledger(frame(spark, [(1, text)])).head()["failed"] & bit
+
+
+def test_regular_and_long_words_have_hashes_of_their_own():
+    """The word of Thue and Morse and its complement have one value under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    regular = ["".join("ab"[b ^ flip] for b in bits[:n]) for n in (64, 128, 256, 1024, 4096) for flip in (0, 1)]
+    lengths = ["x" * n for n in [*range(1, 40), 255, 256, 257, 100_000]] + ["x" * 99_999 + "y", "\0", "\0\0", "\0" * 9]
+    texts = [*regular, *lengths]
+    hashes, owner, _ = word_hashes(pa.array(texts))
+    assert owner.tolist() == list(range(len(texts)))
+    assert len(set(hashes.tolist())) == len(texts)
+    again, _, _ = word_hashes(pa.array(["some text before", " ".join(texts), None]))
+    assert again[3:].tolist() == hashes.tolist()
