@@ -29,6 +29,7 @@ from candlewick.llm.common import crc_mod, mapped, ship, table
 from candlewick.llm.textarrays import flat, lowered, parts
 
 BITS = 15
+SALTS = 64
 PER_LANGUAGE = 400
 EPOCHS = 6
 RATE = 4.0
@@ -144,9 +145,12 @@ def train(examples: DataFrame, text: str = "text", lang: str = "lang", per_langu
     rows = examples.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("turn")
     )
-    # the hash of the last text wanted of each language is found without the texts; copies count once
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
-    chosen = rows.select("lang", "turn").distinct().withColumn("k", number).filter(F.col("k") <= per_language)
+    # the hash of the last text wanted of each language is found without the texts; copies count once. A language that
+    # fills the table is cut down in SALTS parts first, so at most SALTS * per_language hashes meet in one task
+    chosen = rows.select("lang", "turn").distinct().withColumn("salt", F.pmod("turn", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("turn"))
+        chosen = chosen.withColumn("k", number).filter(F.col("k") <= per_language)
     last = {r["lang"]: r["turn"] for r in chosen.groupBy("lang").agg(F.max("turn").alias("turn")).collect()}
     names = sorted(last)
     if not names:
