@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.llm.textarrays import trim
 from candlewick.session import work_dir
 
 # Upper bounds of what may be broadcast.
@@ -89,9 +90,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+    """mapInArrow with this package at hand in the workers, which are trimmed after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def blocked(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:

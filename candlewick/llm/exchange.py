@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from candlewick.llm.textarrays import trimmed
+
 ASK = "block int, range int, names binary, counts binary"
 ANSWER = "block int, range int, mask binary, more binary"
 
@@ -49,6 +51,7 @@ class Asked:
         return found
 
 
+@trimmed
 def answer(table: pa.Table) -> pa.Table:
     """Per block, the counts over all blocks of the names it asked for: a bit where above one, then those."""
     names = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("names")]

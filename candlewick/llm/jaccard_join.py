@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocked, components, documents, mapped, ship, store
 from candlewick.llm.exchange import ranges_of
-from candlewick.llm.textarrays import mix, shingles, word_hashes
+from candlewick.llm.textarrays import mix, shingles, trimmed, word_hashes
+from candlewick.llm.tokens import release
 
 LONGEST = 6  # most shared shingles asked for
 VERIFY_COST = 16  # of one candidate, in shingles looked at
@@ -68,8 +69,10 @@ def _asked(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _ask(size: int, ranges: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         """A row per range that is asked anything: never more than there are shingles, however many the ranges."""
+        release()
         found, text, _, _, new = _sets(table.column("text"), size)
         values, counts, of = _asked(found[new[text]], ranges)
         keys = values.astype(np.uint32)
@@ -88,6 +91,7 @@ def _ask(size: int, ranges: int):
     return run
 
 
+@trimmed
 def _answer(table: pa.Table) -> pa.Table:
     """Per block, the frequencies over all blocks of what it asked for: a bit where above one, then those."""
     keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
@@ -127,7 +131,9 @@ PREFIXES = (
 
 
 def _prefixes(size: int, ranges: int, percent: int):
+    @trimmed
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         found, text, counts, sums, new = _sets(docs.column("text"), size)
         values, _, of = _asked(found[new[text]], ranges)
         known = _frequencies(answers, of)

@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.common import blocks, documents, ship
 from candlewick.llm.exchange import ANSWER, ASK, Asked, answer_or_pass, planes, unplanes
-from candlewick.llm.textarrays import Hasher, flat, mix, parts
-from candlewick.llm.tokens import spread
+from candlewick.llm.textarrays import Hasher, flat, mix, parts, trimmed
+from candlewick.llm.tokens import release, spread
 
 LENGTH = 200
 GRAM = 12
 BLOCK_BYTES = 2 << 20  # the anchors of a block and what they ask take a multiple of its text
+SLICE_BYTES = (1 << 18) - 4096  # text that is hashed at once, or one text
 BLOCKS_A_RANGE = 4  # of a range of names
 AT_ONCE = 1 << 19  # asked intervals that are named at once
 SPLITS = (2, 5, 5, 5)  # parts of an interval of offsets, level by level, down to single ones
@@ -84,7 +85,7 @@ class Block:
     def __init__(self, docs: pa.Table):
         self.docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.data, self.offsets = flat(self.docs.column("text"))
-        self.ranges = parts(self.offsets)
+        self.ranges = parts(self.offsets, SLICE_BYTES)
         self.cuts = np.array([self.offsets[a] for a, _ in self.ranges] + [len(self.data)])
 
     def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,9 @@ def _names(block: Block, s: Search, level: list, length: int):
 def _step(depth: int, ranges: int, length: int, gram: int, levels: list, finish: bool, with_text: bool):
     """Takes in the answers to level depth - 1 and asks level `depth`, or gives the results."""
 
+    @trimmed
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        release()
         block = Block(docs)
         if depth == 0:
             anchors = block.anchors(length, gram)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+import os
+from collections.abc import Callable
+from functools import lru_cache, wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -14,6 +17,35 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 LONG_WORD = 256
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: workers outlive tasks and stages, and what they keep is taken from others."""
+    pa.default_memory_pool().release_unused()
+    # only glibc keeps what was freed and has this call
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if give_back is not None:
+        give_back(0)
+
+
+def trimmed(function: Callable) -> Callable:
+    """`function` of one group of rows, or of one of each side, after which the worker is trimmed."""
+
+    def one(table):
+        try:
+            return function(table)
+        finally:
+            trim()
+
+    def both(left, right):
+        try:
+            return function(left, right)
+        finally:
+            trim()
+
+    # Spark looks at the number of arguments
+    return wraps(function)(one if function.__code__.co_argcount == 1 else both)
+
+
+
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes in a row and the offsets of the texts; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -72,7 +104,7 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         _, _, value = _tables()
-        size = 1 << max(20, int(len(data) + 1).bit_length())
+        size = 1 << max(18, int(len(data) + 1).bit_length())
         power, self.inverse = _powers(size)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(value[data] * power[: len(data)], out=self.sums[1:])

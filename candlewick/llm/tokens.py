@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from candlewick.llm.textarrays import trim
+
 # white space of any kind around a space, or the name of a special token
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WHOLE = _BLANK + " (" + _BLANK + "|$)"
 _PLAIN = r"^[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20  # the arrays of a slice take some twenty times its text
 # Bytes of distinct words and their ids that an encoder keeps for later texts; beyond, it starts anew.
 CACHE_BYTES = 64 << 20
 
@@ -46,6 +48,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def release() -> None:
+    """Give back what encoders of an earlier stage still hold in this worker: workers outlive stages and queries, and two
+    of them with a vocabulary and its words take some 250 MB of an executor that the stages after have no use for."""
+    if not encoder.cache_info().currsize:
+        return
+    encoder.cache_clear()
+    trim()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

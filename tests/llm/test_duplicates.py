@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from candlewick.llm import common, jaccard_join, suffix_dedup
+from candlewick.llm.tokens import encoder, vocabulary_path
 from texts import frame, prose, rows, words
 
 
@@ -127,3 +129,19 @@ def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
     pairs = [(1, a), (1, b), (2, near[0]), (3, near[1]), (4, prose(rng, 120, 4000)), (5, near[0] + " more"), (0, prose(rng, 50, 4000))]
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.joined(frame(spark, pairs)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (0, 0)}
+
+
+def test_blocks_give_back_the_encoders_of_earlier_stages():
+    docs = pa.table({"block": pa.array([0], pa.int32()), "doc_id": [1], "text": ["one two three four"]})
+    asked = jaccard_join._ask(3, 1)
+    answers = jaccard_join._answer(asked(docs))
+    levels = suffix_dedup.intervals()
+    for step in (
+        lambda: asked(docs),
+        lambda: jaccard_join._prefixes(3, 1, 90)(docs, answers),
+        lambda: suffix_dedup._step(0, 1, suffix_dedup.LENGTH, suffix_dedup.GRAM, levels, False, False)(docs, None),
+    ):
+        assert len(encoder(vocabulary_path()).encode(docs["text"].combine_chunks())[0]) == 4
+        step()
+        assert encoder.cache_info().currsize == 0
+    assert len(encoder(vocabulary_path()).encode(docs["text"].combine_chunks())[0]) == 4
