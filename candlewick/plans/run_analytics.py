@@ -292,18 +292,23 @@ def row_funnel(tables: RunTables) -> DataFrame:
     return training_summary(tables).selectExpr("run_id", stages).filter("rows IS NOT NULL")
 
 
-def _sides(left: str, right: str, names: dict[str, str]) -> list[str]:
+def _id(run: str | None) -> str:
+    """SQL text of a run id; NULL, which no id equals, if there is no such run."""
+    return "NULL" if run is None else text(run)
+
+
+def _sides(left: str, right: str | None, names: dict[str, str]) -> list[str]:
     """Aggregates that put a column of the left and of the right run side by side."""
     return [
-        f"max(CASE WHEN run_id = {text(run)} THEN {value} END) AS {name.format(side)}"
+        f"max(CASE WHEN run_id = {_id(run)} THEN {value} END) AS {name.format(side)}"
         for side, run in (("left", left), ("right", right))
         for value, name in names.items()
     ]
 
 
-def compare_importance(importance: DataFrame, left: str, right: str, n: int = TOP_FEATURES) -> DataFrame:
+def compare_importance(importance: DataFrame, left: str, right: str | None, n: int = TOP_FEATURES) -> DataFrame:
     """Top features of two runs side by side: those of the left run in order, then new right ones."""
-    top = top_importance(importance.filter(f"run_id IN ({text(left)}, {text(right)})"), n)
+    top = top_importance(importance.filter(f"run_id IN ({_id(left)}, {_id(right)})"), n)
     names = {"importance": "{}_importance", "rank": "_{}"}
     both = top.groupBy("feature").agg(*[F.expr(a) for a in _sides(left, right, names)])
     return both.selectExpr(
@@ -314,9 +319,9 @@ def compare_importance(importance: DataFrame, left: str, right: str, n: int = TO
     )
 
 
-def compare_events(tables: RunTables, left: str, right: str) -> DataFrame:
+def compare_events(tables: RunTables, left: str, right: str | None) -> DataFrame:
     """Event figures of two runs per fold and event; NULL on the side that lacks the event."""
-    both = event_series(tables).filter(f"run_id IN ({text(left)}, {text(right)})")
+    both = event_series(tables).filter(f"run_id IN ({_id(left)}, {_id(right)})")
     names = {value: "{}_" + value for value in ("event_rate", "trade_rate", "precision_at_0_5")}
     return both.groupBy("fold", "event_name").agg(*[F.expr(a) for a in _sides(left, right, names)])
 
@@ -349,14 +354,17 @@ def run_detail(tables: RunTables, run_id: str) -> dict[str, DataFrame]:
     }
 
 
-def compare_runs(tables: RunTables, left: str, right: str | None = None) -> dict[str, object]:
-    """Two runs side by side; the partner defaults to the newest other run."""
+def compare_runs(tables: RunTables, left: str, right: str | None = None, alone: bool = False) -> dict[str, object]:
+    """Two runs side by side; the partner defaults to the newest other run.
+
+    Without any other run this is an error or, if the left run may stand `alone`, a comparison whose right side is NULL.
+    """
     right = right or default_partner(tables, left)
-    if right is None:
+    if right is None and not alone:
         raise RunNotFound(f"No other complete run to compare with {left}")
     return {
         "left": run_detail(tables, left),
-        "right": run_detail(tables, right),
+        "right": None if right is None else run_detail(tables, right),
         "feature_importance": compare_importance(tables.importance, left, right),
         "event_comparison": compare_events(tables, left, right),
     }

@@ -47,8 +47,8 @@ def stored(spark, sf) -> str:
 
 
 def newest(spark, root: str, n: int = 1) -> list[str]:
-    """The newest complete runs, from the catalog alone."""
-    complete = read_catalog(spark, root).filter("reason IS NULL")
+    """The newest complete runs, from the catalog alone; none if all runs lack artifacts."""
+    complete = read_catalog(spark, root).filter("reason IS NULL AND run_id IS NOT NULL")
     return [r["run_id"] for r in complete.orderBy(F.desc("timestamp"), F.desc("run_id")).limit(n).collect()]
 
 
@@ -110,21 +110,24 @@ def run_detail(spark, sf):
 
 @query
 def run_comparison(spark, sf):
-    """The newest run beside the newest other one, chosen by default."""
+    """The newest run beside the newest other one, chosen by default; alone if there is no other, no rows if there is none."""
     root = stored(spark, sf)
-    left = newest(spark, root)[0]
-    both = runs.compare_runs(read_store(spark, root), left)
+    found = newest(spark, root)
+    if not found:
+        return spark.createDataFrame([], "view STRING, item STRING, left_value DOUBLE, right_value DOUBLE")
+    both = runs.compare_runs(read_store(spark, root), found[0], alone=True)
     features = both["feature_importance"].selectExpr(
         "'importance' AS view", "feature AS item", "left_importance AS left_value", "right_importance AS right_value"
     )
     events = both["event_comparison"].selectExpr(
         "'event' AS view", "concat(fold, ' ', event_name) AS item", "left_precision_at_0_5", "right_precision_at_0_5"
     )
-    rows = [both[side]["summary"].selectExpr("'rows' AS view", "run_id AS item", "val_rows") for side in ("left", "right")]
-    sides = rows[0].selectExpr("view", "item", "CAST(val_rows AS DOUBLE) AS l", "CAST(NULL AS DOUBLE) AS r").unionAll(
-        rows[1].selectExpr("view", "item", "CAST(NULL AS DOUBLE) AS l", "CAST(val_rows AS DOUBLE) AS r")
-    )
-    return features.unionAll(events).unionAll(sides)
+    rows = features.unionAll(events)
+    for side, other in (("left", "right"), ("right", "left")):
+        if both[side] is not None:
+            values = {side: "CAST(val_rows AS DOUBLE)", other: "CAST(NULL AS DOUBLE)"}
+            rows = rows.unionAll(both[side]["summary"].selectExpr("'rows' AS view", "run_id AS item", values["left"], values["right"]))
+    return rows
 
 
 def documents(tables: run_tables) -> DataFrame:
