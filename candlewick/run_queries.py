@@ -103,8 +103,12 @@ def detail_rows(detail: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def run_detail(spark, sf):
+    """All views of the newest complete run; no rows if there is none."""
     root = stored(spark, sf)
-    run_id = newest(spark, root)[0]
+    found = newest(spark, root)
+    if not found:
+        return spark.createDataFrame([], "view STRING, item STRING, value DOUBLE, run_id STRING")
+    run_id = found[0]
     return detail_rows(runs.run_detail(read_store(spark, root, run_id), run_id)).withColumn("run_id", F.lit(run_id))
 
 

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from candlewick.run_queries import run_comparison
+from candlewick.run_queries import run_comparison, run_detail
 
 # A run of 8 or 10 complete bars has all artifacts, one of 6 lacks its config, one of 9 its config and importances.
 WARM_UP = 27 + 5  # bars that get no features or no label
@@ -52,3 +52,19 @@ def test_two_newest_runs_are_compared(spark, tmp_path):
     by = views(run_comparison(spark, events(spark, tmp_path, one=8, three=10, odd=9)).collect())
     assert by["rows", run_of("three")] == (9, None) and by["rows", run_of("one")] == (None, 7)
     assert all(None not in by["importance", f] for f in FEATURES)
+
+
+@pytest.mark.parametrize("bars", [{"odd": 9}, {"odd": 9, "unset": 6}])
+def test_detail_has_no_rows_if_no_run_is_complete(spark, tmp_path, bars):
+    found = run_detail(spark, events(spark, tmp_path, **bars))
+    assert found.dtypes == [("view", "string"), ("item", "string"), ("value", "double"), ("run_id", "string")]
+    assert found.collect() == []
+
+
+def test_detail_of_the_newest_complete_run(spark, tmp_path):
+    found = run_detail(spark, events(spark, tmp_path, one=8, odd=9))
+    assert found.dtypes == [("view", "string"), ("item", "string"), ("value", "double"), ("run_id", "string")]
+    rows = found.collect()
+    assert {r["run_id"] for r in rows} == {run_of("one")}
+    assert {r["item"] for r in rows if r["view"] == "importance"} == FEATURES
+    assert [r["value"] for r in rows if (r["view"], r["item"]) == ("summary", "val_rows")] == [7]
